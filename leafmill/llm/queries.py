@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op2_language_id
 from .quality_rules import op7_quality_rules
+from .sentencepiece_codec import op4_sentencepiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_quality_rules,)}
+    return {f.__name__: f for f in (op2_language_id, op4_sentencepiece, op7_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
