@@ -11,7 +11,6 @@ alike. Extra columns are carried along or ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import chain
 
@@ -45,26 +44,35 @@ class ChunkTable:
         self.processor = sentencepiece.SentencePieceProcessor(model_file=model_file)
         if crosses_markers(self.processor):
             raise ValueError("pieces of this model can cross white-space markers")
-        self.ids: dict[str, list[int]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
 
-    def segment(self, chunks: list[str]) -> list[list[int]]:
+    def segment(self, chunks: list[str]) -> None:
+        """Add chunks to the table: their ids, packed, and what these decode to."""
         # The library sets one marker before what it is given, unless that is empty: hand over each chunk without its first.
-        alone = [self.processor.piece_to_id(MARK)]
-        return [x or alone for x in self.processor.encode([c[1:] for c in chunks], num_threads=1)]
-
-    def encode(self, texts: list[str]) -> list[list[list[int]]]:
-        """For each text, the ids of each of its chunks in turn."""
+        mark = self.processor.piece_to_id(MARK)
+        found = [x or [mark] for x in self.processor.encode([c[1:] for c in chunks], num_threads=1)]
+        # Decoding drops a marker at the very start only; with one id in front, every chunk keeps its own.
+        decoded = self.processor.decode([[mark, *x] for x in found]) if found else []
+        for c, x, d in zip(chunks, found, decoded, strict=True):
+            self.ids[c] = np.array(x, np.int32).tobytes()
+            self.decoded[c] = d
+
+    def run(self, texts: list[str]) -> tuple[list[bytes], list[str]]:
+        """For each text, its ids as packed int32, and the text that they decode to."""
         cut = [_chunks(t) for t in texts]
         if len(self.ids) > TABLE_CHUNKS:
             self.ids.clear()
+            self.decoded.clear()
         new = list(set(chain.from_iterable(cut)).difference(self.ids))
-        found = self.ids
-        found.update(zip(new, self.segment(new), strict=True))
-        out = [list(map(found.__getitem__, c)) for c in cut]
+        self.segment(new)
+        get, say = self.ids.__getitem__, self.decoded.__getitem__
+        ids = [b"".join(map(get, c)) for c in cut]
+        decoded = ["".join(map(say, c))[1:] for c in cut]
         for c in new:
             if len(c) > LONG_CHUNK:
-                del found[c]
-        return out
+                del self.ids[c], self.decoded[c]
+        return ids, decoded
 
 
 def _chunks(text: str) -> list[str]:
@@ -101,22 +109,15 @@ def encode_decode(df: DataFrame, model_file: str | None = None, text: str = "tex
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         chunks = chunk_table(model_file)
         texts = batch.column("text").fill_null("").to_pylist()
-        ids = [list(chain.from_iterable(c)) for c in chunks.encode(texts)]
-        offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
-        return {
-            "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-            "decoded": pa.array(chunks.processor.decode(ids) if ids else [], pa.string()),
-        }
+        ids, decoded = chunks.run(texts)
+        offsets = np.cumsum([0, *map(len, ids)]) // 4
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        return {"ids": pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat)), "decoded": pa.array(decoded, pa.string())}
 
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
     return map_texts(df, kernel, fields, df.columns if carry is None else carry, text=text)
 
 
-def digest(ids: list[int]) -> str:
-    return hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-
-
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select(
