@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op2_language_id
+from .pii import op8_pii
 from .quality_classifier import op3_quality_classifier
 from .quality_rules import op7_quality_rules
 from .secret_scan import op1_secret_scan
@@ -14,7 +15,7 @@ from .sentencepiece_codec import op4_sentencepiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality_classifier, op4_sentencepiece, op7_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality_classifier, op4_sentencepiece, op7_quality_rules, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
