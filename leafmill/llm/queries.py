@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .hash_forest import op10_hash_forest
 from .jaccard_join import op5_jaccard_join
 from .language_id import op2_language_id
+from .lm_scoring import op9_lm_scoring
 from .mixing import op6_mixing
 from .pii import op8_pii
 from .quality_classifier import op3_quality_classifier
@@ -18,7 +19,7 @@ from .sentencepiece_codec import op4_sentencepiece
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality_classifier, op4_sentencepiece, op5_jaccard_join, op6_mixing, op7_quality_rules, op8_pii, op10_hash_forest)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op3_quality_classifier, op4_sentencepiece, op5_jaccard_join, op6_mixing, op7_quality_rules, op8_pii, op9_lm_scoring, op10_hash_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
