@@ -171,7 +171,7 @@ def fitted_rates(members: DataFrame, targets: tuple[float, ...], s: Settings = S
     budget = slack * min(have[i] / goal[i] for i in range(k) if goal[i] > 0)
     budget = budget or have.sum()
     rate: Column = F.lit(1.0)
-    expected = have / budget
+    expected, before = have / budget, np.full(k, np.inf)
     moves: list[np.ndarray] = []
 
     def folded() -> Column:
@@ -192,8 +192,9 @@ def fitted_rates(members: DataFrame, targets: tuple[float, ...], s: Settings = S
         row = np.array(d.agg(*sums).first(), float) / budget
         expected, moment = row[:k], row[k:].reshape(k, k)
         gap = expected - goal
-        if np.abs(gap).max() < s.tolerance:
+        if np.abs(gap).max() < s.tolerance or np.abs(expected - before).max() < s.tolerance / 10:
             break
+        before = expected
         move = np.linalg.solve(moment + 1e-3 * max(np.trace(moment) / k, 1e-9) * np.eye(k), gap)
         moves.append(np.clip(move, -2, 2))
         rate = folded()
