@@ -67,17 +67,20 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are drawn with their fitted rates, which go from 0 to 1 here: no document is repeated. The budget is a
-    quarter more than the largest that needs no repeats, so that documents of the main domain stay."""
+    quarter more than the largest that needs no repeats, so that documents of the main domain stay. Rows that share an id
+    go or stay together; rows without one stay."""
     model = mixing.fit(docs, mixing.labelled_domains(table(spark, sf_dir, "labels")))
-    rate, _ = mixing.fitted_rates(checkpoint(mixing.memberships(docs, model, ["doc_id"])), mixing.TARGETS, max_rate=1.0, slack=1.25)
-    return mixing.memberships(docs, model, docs.columns).where(mixing.copies(rate, F.col("row.doc_id")) > 0).select("row.*")
+    members = checkpoint(mixing.memberships(docs, model, ["doc_id"]))
+    rate, _ = mixing.fitted_rates(members, mixing.TARGETS, max_rate=1.0, slack=1.25)
+    drawn = members.select("row.doc_id", mixing.copies(rate, F.col("row.doc_id")).alias("copies"))
+    gone = checkpoint(drawn.where("copies = 0 and doc_id is not null").select("doc_id").distinct())
+    return docs.join(_small(gone, "doc_id"), "doc_id", "left_anti").select(_columns(docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the ids of the text, how many, and whether they decode to the text again."""
-    out = sentencepiece_codec.encode_decode(docs, carry=["doc_id", "lang", "source", "text"])
-    same = F.col("decoded") == F.coalesce("row.text", F.lit(""))
-    return out.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    """doc_id, lang, source, the ids of the text, how many, and the hash of what they decode to."""
+    out = sentencepiece_codec.encode_decode(docs, carry=["doc_id", "lang", "source"])
+    return out.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
