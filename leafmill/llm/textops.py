@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Bytes that end a word: space and tab to carriage return.
 DELIMITER = np.zeros(256, bool)
