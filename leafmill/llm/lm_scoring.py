@@ -4,11 +4,12 @@ Base: how often each word occurs in all training texts is counted by Spark. The
 doesn't grow) are broadcast; a text's other words are joined with the whole count table by shuffle, salted, so every word
 gets its exact count.
 
-Model: a word is cut into the subwords of a public tokenizer, each of which belongs to a class (by its shape). A layer of
-causal self-attention over the classes of the last CONTEXT subwords, with a bias for each distance, predicts the next
-class; within a class, subwords have their frequency in all training texts (smoothed). The first part has a few thousand
-weights. They are trained in numpy inside Spark tasks, on windows from one in `every` training documents (so the training
-data grow with the corpus); Spark averages the tasks' weights by the windows they saw, in a few rounds.
+Model: a word is cut into the subwords of a public tokenizer. A layer of causal self-attention over the embeddings of the
+last CONTEXT subword ids, with a bias for each distance, gives a context vector. The next id is predicted by a two-level
+softmax: first its group, then the id within the group, and both levels depend on the context. Groups are cut from the ids
+in order of frequency, so often met groups are small. The weights start as the frequencies of groups and ids in all
+training texts (smoothed) and are trained in numpy inside Spark tasks, each round on every window of every training
+document; Spark averages the tasks' weights by the windows they saw, in a few rounds.
 
 Scoring cuts a text into windows of CONTEXT subwords as context and STRIDE to score, so that each subword is scored once;
 a whole batch of windows goes through masked attention at once. The text ends with one end symbol, which is scored too.
@@ -20,6 +21,7 @@ remainder isn't 0). Repeated rows count each. Extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -37,14 +39,15 @@ SALTS = 8
 CONTEXT = 16
 STRIDE = 16
 WIDTH = 8
-CLASSES = 32
+FIRST_GROUP, GROWTH = 16, 1.2  # ids in the first group of the softmax, and how much larger each next one is
+LOGITS = 1 << 20  # of one group, held at once
 END = 2  # the tokenizer's own end symbol
 _END_WORD = np.uint64(0)
 
 
 @dataclass(frozen=True)
 class Settings:
-    every: int = 64
+    every: int = 1  # train on one in so many documents, by hash; 1: on all
     rounds: int = 2
     rate: float = 0.02
     batch: int = 256
@@ -127,27 +130,6 @@ def processor(model_file: str):
     return _processors[model_file]
 
 
-def piece_classes(p) -> np.ndarray:
-    """Class of each subword id, by its shape: where it stands, its kind of characters and its length."""
-    out = np.empty(p.get_piece_size(), np.int32)
-    for i in range(len(out)):
-        piece = p.id_to_piece(i)
-        body = piece.lstrip("▁")
-        if i == END:
-            out[i] = 0
-        elif p.is_byte(i) or not body:
-            out[i] = 1
-        else:
-            first = body[0]
-            kind = 0 if first.islower() and first.isascii() else 1 if first.isupper() else 2 if first.isalpha() else 3
-            size = min(len(body), 4) - 1
-            vowel = body[-1].lower() in "aeiou"
-            out[i] = 2 + (kind * 2 + (piece != body)) * 4 + size if kind else 2 + ((piece != body) * 4 + size)
-            if kind == 0 and vowel:
-                out[i] = 26 + min(size, 2) * 2 + (piece != body)
-    return np.minimum(out, CLASSES - 1)
-
-
 def subwords(model_file: str, words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the words' subwords end to end, and how many each word has; None is the end symbol."""
     ids = processor(model_file).encode([w or "" for w in words], num_threads=1)
@@ -175,14 +157,31 @@ def subword_counts(counts: DataFrame, model_file: str) -> np.ndarray:
 
 # ---- the attention model -----------------------------------------------------------------------------------------
 
-_SHAPES = {"embed": (CLASSES + 1, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH), "distance": (CONTEXT + STRIDE,), "out": (WIDTH, CLASSES), "skip": (CLASSES + 1, CLASSES)}
-#: In place of a class: nothing stands there.
-NOTHING = CLASSES
+#: In place of an id: nothing stands there. As an index it is the last row of the embeddings.
+NOTHING = -1
+
+
+def group_bounds(ids: int) -> np.ndarray:
+    """Where the groups of the softmax begin, over ids in order of frequency, and the end of the last."""
+    out, size = [0], float(FIRST_GROUP)
+    while out[-1] < ids:
+        out.append(min(out[-1] + int(size), ids))
+        size *= GROWTH
+    return np.array(out)
+
+
+def _shapes(ids: int) -> dict[str, tuple[int, ...]]:
+    square, groups = (WIDTH, WIDTH), len(group_bounds(ids)) - 1
+    return {"embed": (ids + 1, WIDTH), "query": square, "key": square, "value": square, "skip": square, "distance": (CONTEXT + STRIDE,), "out": (WIDTH, groups), "level": (groups,), "inner": (ids, WIDTH), "bias": (ids,)}
+
+
+def _size(ids: int) -> int:
+    return sum(int(np.prod(shape)) for shape in _shapes(ids).values())
 
 
 def unpack(weights: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in _SHAPES.items():
+    for name, shape in _shapes(bisect_left(range(1 << 24), len(weights), lo=1, key=_size)).items():
         size = int(np.prod(shape))
         out[name] = weights[at : at + size].reshape(shape)
         at += size
@@ -190,25 +189,27 @@ def unpack(weights: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def pack(parts: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([parts[name].ravel() for name in _SHAPES])
+    return np.concatenate([parts[name].ravel() for name in _shapes(len(parts["bias"]))])
 
 
-def first_weights(class_counts: np.ndarray) -> np.ndarray:
+def first_weights(counts: np.ndarray) -> np.ndarray:
+    """counts: of each id, by place. The last layers begin at 0, so that before any training the frequencies are predicted."""
     rng = np.random.default_rng(11)
-    parts = {name: rng.standard_normal(shape) * 0.3 for name, shape in _SHAPES.items()}
-    parts["distance"] = np.zeros(_SHAPES["distance"])
-    parts["out"] *= 0.1
-    parts["skip"] = np.tile(np.log((class_counts + 1) / (class_counts.sum() + CLASSES)), (CLASSES + 1, 1))
+    parts = {name: rng.standard_normal(shape) * 0.3 for name, shape in _shapes(len(counts)).items()}
+    for name in ("distance", "out", "inner"):
+        parts[name][:] = 0
+    parts["level"] = np.log(np.add.reduceat(counts, group_bounds(len(counts))[:-1]))
+    parts["bias"] = np.log(counts)
     return pack(parts)
 
 
-def windows(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of CONTEXT + STRIDE classes, the last STRIDE of which are to be predicted (NOTHING where there is none), and
+def windows(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of CONTEXT + STRIDE ids, the last STRIDE of which are to be predicted (NOTHING where there is none), and
     which positions of the flat result belong to a text, in order."""
-    counts = [-(-len(c) // STRIDE) for c in classes]
+    counts = [-(-len(c) // STRIDE) for c in lines]
     out = np.full((sum(counts), CONTEXT + STRIDE), NOTHING, np.int32)
     at = 0
-    for c, n in zip(classes, counts, strict=True):
+    for c, n in zip(lines, counts, strict=True):
         line = np.full(CONTEXT + n * STRIDE, NOTHING, np.int32)
         line[CONTEXT : CONTEXT + len(c)] = c
         out[at : at + n] = np.lib.stride_tricks.sliding_window_view(line, CONTEXT + STRIDE)[::STRIDE]
@@ -221,171 +222,227 @@ _DISTANCE = _ROWS - np.arange(CONTEXT + STRIDE - 1)[None, :]
 _CAUSAL = (_DISTANCE >= 0) & (_DISTANCE < CONTEXT)
 
 
-def _forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """x: windows. Gives log probabilities of the classes at each target, and what the gradient needs."""
+def _attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """x: windows. Gives the context vector of each target, and what the gradient needs."""
     seen = x[:, :-1]
-    last = seen[:, CONTEXT - 1 :]
-    q = (w["embed"] @ w["query"])[last]
-    k, v = (w["embed"] @ w["key"])[seen], (w["embed"] @ w["value"])[seen]
-    a = q @ k.transpose(0, 2, 1) / np.sqrt(WIDTH) + np.where(_CAUSAL, w["distance"][np.clip(_DISTANCE, 0, CONTEXT - 1)], -1e9)[None]
-    a = np.where((seen == NOTHING)[:, None, :] & (_DISTANCE > 0)[None], -1e9, a)
+    e = w["embed"][seen]
+    q, k, v = e[:, CONTEXT - 1 :] @ w["query"], e @ w["key"], e @ w["value"]
+    bias = np.where(_CAUSAL, w["distance"][np.clip(_DISTANCE, 0, CONTEXT - 1)], -1e9).astype(e.dtype)
+    a = q @ k.transpose(0, 2, 1)
+    a *= 1 / WIDTH**0.5
+    a += bias
+    if (seen == NOTHING).any():
+        a[(seen == NOTHING)[:, None, :] & (_DISTANCE > 0)[None]] = -1e9
     a -= a.max(axis=2, keepdims=True)
     np.exp(a, out=a)
     a /= a.sum(axis=2, keepdims=True)
-    mixed = a @ v
-    z = mixed @ w["out"] + w["skip"][last]
-    z -= z.max(axis=2, keepdims=True)
-    log_p = z - np.log(np.exp(z).sum(axis=2, keepdims=True))
-    return log_p, seen, last, q, k, v, a, mixed
-
-
-def class_log_p(w: dict[str, np.ndarray], x: np.ndarray, block: int = 1024) -> np.ndarray:
-    """Log probability of each target's class (0 where there is none): the same as `_forward`, for scoring.
-
-    An attention score hangs on two classes and a distance only, so its exponential is looked up in two small tables."""
-    scores = (w["embed"] @ w["query"]) @ (w["embed"] @ w["key"]).T / np.sqrt(WIDTH)
-    scores[:NOTHING, NOTHING] = -np.inf  # what isn't there is seen only from where nothing stands either
-    by_class = np.exp(scores - scores[:, :NOTHING].max()).astype(np.float32)
-    by_class[NOTHING, NOTHING] = 1
-    by_class[NOTHING, :NOTHING] = 0
-    bias = w["distance"][np.clip(_DISTANCE, 0, CONTEXT - 1)]
-    by_distance = np.where(_CAUSAL, np.exp(bias - w["distance"][:CONTEXT].max()), 0).astype(np.float32)
-    values, last_layer, skip = ((w["embed"] @ w["value"]).astype(np.float32), w["out"].astype(np.float32), w["skip"].astype(np.float32))
-    flat = by_class.ravel()
-    out = np.empty((len(x), STRIDE), np.float32)
+    return a @ v + e[:, CONTEXT - 1 :] @ w["skip"], seen, e, q, k, v, a
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=-1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=-1, keepdims=True))
+    return z
+
+
+def _forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Log probabilities of all ids at each target: the definition of the model, for few ids only."""
+    h, *rest = _attend(w, x)
+    bounds = group_bounds(len(w["bias"]))
+    level = _log_softmax(h @ w["out"] + w["level"])
+    log_p = [level[..., [g]] + _log_softmax(h @ w["inner"][a:b].T + w["bias"][a:b]) for g, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
+    return np.concatenate(log_p, axis=2), *rest
+
+
+def _in_groups(target: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int, np.ndarray]]]:
+    """Group of each target; and first id, end and rows of each group met, LOGITS figures at most at a time."""
+    group = np.searchsorted(bounds, target, side="right") - 1
+    order = np.argsort(group, kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(len(bounds)))
+
+    def parts() -> Iterator[tuple[int, int, np.ndarray]]:
+        for g in np.flatnonzero(np.diff(cuts)):
+            a, b = int(bounds[g]), int(bounds[g + 1])
+            step = max(LOGITS // (b - a), 1)
+            for i in range(cuts[g], cuts[g + 1], step):
+                yield a, b, order[i : min(i + step, cuts[g + 1])]
+
+    return group, parts()
+
+
+def class_log_p(w: dict[str, np.ndarray], x: np.ndarray, block: int = 512) -> np.ndarray:
+    """Log probability of each target (0 where there is none): the same as `_forward`, but only a target's own group is
+    looked at."""
+    w = {name: part.astype(np.float32, copy=False) for name, part in w.items()}
+    bounds = group_bounds(len(w["bias"]))
+    out = np.zeros((len(x), STRIDE), np.float32)
     for i in range(0, len(x), block):
-        part = x[i : i + block].astype(np.int64)
-        seen, target = part[:, :-1], part[:, CONTEXT:]
-        last = seen[:, CONTEXT - 1 :]
-        a = flat[(last * (CLASSES + 1))[:, :, None] + seen[:, None, :]]
-        a *= by_distance
-        mixed = (a @ values[seen]) / a.sum(axis=2, keepdims=True)
-        z = mixed @ last_layer
-        z += skip[last]
-        most = z.max(axis=2)
-        picked = np.take_along_axis(z, np.minimum(target, CLASSES - 1)[..., None], axis=2)[..., 0]
-        z -= most[..., None]
-        np.exp(z, out=z)
-        out[i : i + block] = np.where(target == NOTHING, 0, picked - most - np.log(z.sum(axis=2)))
+        part = x[i : i + block]
+        real = part[:, CONTEXT:] != NOTHING
+        h, target = _attend(w, part)[0][real], part[:, CONTEXT:][real]
+        group, parts = _in_groups(target, bounds)
+        log_p = np.take_along_axis(_log_softmax(h @ w["out"] + w["level"]), group[:, None], axis=1)[:, 0]
+        for a, b, rows in parts:
+            z = h[rows] @ w["inner"][a:b].T
+            z += w["bias"][a:b]
+            log_p[rows] += _log_softmax(z)[np.arange(len(rows)), target[rows] - a]
+        out[i : i + block][real] = log_p
     return out
 
 
 def gradient(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean log loss over the targets, and its gradient."""
-    log_p, seen, last, q, k, v, a, mixed = _forward(w, x)
-    target = x[:, CONTEXT:]
-    real = target != NOTHING
-    n = max(int(real.sum()), 1)
-    loss = -np.take_along_axis(log_p, np.minimum(target, CLASSES - 1)[..., None], axis=2)[..., 0][real].sum() / n
-    dz = np.exp(log_p)
-    rows = np.nonzero(real)
-    dz[rows[0], rows[1], target[rows]] -= 1
-    dz[~real] = 0
-    dz /= n
-    g = {"out": np.einsum("btd,btc->dc", mixed, dz), "skip": np.zeros_like(w["skip"])}
-    np.add.at(g["skip"], last, dz)
-    d_mixed = dz @ w["out"].T
-    da = d_mixed @ v.transpose(0, 2, 1)
-    ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-    g["distance"] = np.zeros_like(w["distance"])
+    vectors, seen, e, q, k, v, a = _attend(w, x)
+    real = x[:, CONTEXT:] != NOTHING
+    h, target = vectors[real], x[:, CONTEXT:][real]
+    n = max(len(target), 1)
+    group, parts = _in_groups(target, group_bounds(len(w["bias"])))
+    g = {name: np.zeros_like(w[name]) for name in ("distance", "inner", "bias")}
+
+    def last_layer(z: np.ndarray, right: np.ndarray) -> tuple[float, np.ndarray]:
+        log_p = _log_softmax(z)
+        at = np.arange(len(right))
+        loss = -float(log_p[at, right].sum(dtype=np.float64)) / n
+        dz = np.exp(log_p, out=log_p)
+        dz[at, right] -= 1
+        dz /= n
+        return loss, dz
+
+    loss, dz = last_layer(h @ w["out"] + w["level"], group)
+    g["out"], g["level"], dh = h.T @ dz, dz.sum(axis=0), dz @ w["out"].T
+    for first, end, rows in parts:
+        more, dz = last_layer(h[rows] @ w["inner"][first:end].T + w["bias"][first:end], target[rows] - first)
+        loss += more
+        g["inner"][first:end] += dz.T @ h[rows]
+        g["bias"][first:end] += dz.sum(axis=0)
+        dh[rows] += dz @ w["inner"][first:end]
+    d = np.zeros_like(vectors)
+    d[real] = dh
+    ds = d @ v.transpose(0, 2, 1)
+    ds -= (a * ds).sum(axis=2, keepdims=True)
+    ds *= a
     np.add.at(g["distance"], np.clip(_DISTANCE, 0, CONTEXT - 1)[_CAUSAL], ds.sum(axis=0)[_CAUSAL])
-    dq, dk, dv = ds @ k / np.sqrt(WIDTH), ds.transpose(0, 2, 1) @ q / np.sqrt(WIDTH), a.transpose(0, 2, 1) @ d_mixed
-    g["embed"] = np.zeros_like(w["embed"])
-    for name, at, d in (("query", last, dq), ("key", seen, dk), ("value", seen, dv)):
-        by_class = np.zeros_like(w["embed"])
-        np.add.at(by_class, at, d)
-        g[name] = w["embed"].T @ by_class
-        g["embed"] += by_class @ w[name].T
-    return float(loss), g
+    ds *= 1 / WIDTH**0.5
+    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d
+    flat = lambda z: z.reshape(-1, WIDTH)
+    last = flat(e[:, CONTEXT - 1 :]).T
+    g["query"], g["skip"], g["key"], g["value"] = last @ flat(dq), last @ flat(d), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
+    de = dk @ w["key"].T + dv @ w["value"].T
+    de[:, CONTEXT - 1 :] += dq @ w["query"].T + d @ w["skip"].T
+    at = (seen % len(w["embed"])).ravel()
+    g["embed"] = np.stack([np.bincount(at, column, len(w["embed"])) for column in flat(de).T], axis=1).astype(e.dtype)
+    return loss, g
+
+
+BLOCK = 1024  # weights that Spark adds up together
 
 
-def trained(sample: DataFrame, weights: np.ndarray, model_file: str, s: Settings) -> np.ndarray:
+def trained(texts_only: DataFrame, weights: np.ndarray, place: np.ndarray, model_file: str, s: Settings) -> np.ndarray:
     """One round: every task trains on its own windows from the same weights; the results are averaged by windows seen.
 
-    sample: a column `text`. Each task returns one row a weight; Spark adds them up before anything reaches the driver."""
-    shared = sample.sparkSession.sparkContext.broadcast(weights)
+    texts_only: a column `text`. Each task returns the blocks of weights that it changed, as differences; Spark adds them up
+    before anything reaches the driver."""
+    shared = texts_only.sparkSession.sparkContext.broadcast((weights.astype(np.float32), place))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = piece_classes(processor(model_file))
-        w = {name: part.copy() for name, part in unpack(shared.value).items()}
+        start, place = shared.value
+        w = unpack(start.copy())
         m = {name: np.zeros_like(part) for name, part in w.items()}
         u = {name: np.zeros_like(part) for name, part in w.items()}
         steps = seen = 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 18):
                 texts = Texts(part.column("text"))
-                _, starts, ends, first = _words(texts)
-                ids, sizes = subwords(model_file, _strings(texts, starts, ends))
-                cuts = np.concatenate([[0], np.cumsum(sizes)])[first]
-                x, _ = windows([np.append(classes[ids[a:b]], classes[END]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+                hashes, starts, ends, first = _words(texts)
+                _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
+                own = Lexicon(place, model_file, [*_strings(texts, starts[where], ends[where]), None])
+                line, cuts = lines([own], np.insert(which, first[1:], len(where)), first + np.arange(len(first)))
+                x, _ = windows([line[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
                 x = x[np.random.default_rng(len(x)).permutation(len(x))]
                 for i in range(0, len(x), s.batch):
                     _, g = gradient(w, x[i : i + s.batch])
                     steps += 1
+                    rate = s.rate / np.sqrt(1 + steps / 100) / (1 - 0.9**steps)
                     for name in w:
-                        m[name] = 0.9 * m[name] + 0.1 * g[name]
-                        u[name] = 0.99 * u[name] + 0.01 * g[name] ** 2
-                        w[name] -= s.rate / np.sqrt(1 + steps / 100) * (m[name] / (1 - 0.9**steps)) / (np.sqrt(u[name] / (1 - 0.99**steps)) + 1e-8)
+                        # Only rows with a gradient move: most ids aren't in a batch.
+                        rows = np.flatnonzero(g[name].reshape(len(g[name]), -1).any(axis=1))
+                        d = g[name][rows]
+                        m[name][rows] = mean = 0.9 * m[name][rows] + 0.1 * d
+                        u[name][rows] = square = 0.99 * u[name][rows] + 0.01 * d * d
+                        w[name][rows] -= np.float32(rate) * mean / (np.sqrt(square / np.float32(1 - 0.99**steps)) + np.float32(1e-8))
                 seen += len(x)
         if seen:
-            flat = pack(w)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "w", "n"])
-
-    rows = sample.mapInArrow(run, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-    if not rows.num_rows:
-        return weights
-    out = np.empty(len(weights))
-    out[rows.column("i").to_numpy()] = rows.column("w").to_numpy()
-    return out
+            moved = pack(w) - start
+            moved = np.append(moved, np.zeros(-len(moved) % BLOCK, np.float32)).reshape(-1, BLOCK)
+            at = np.flatnonzero(moved.any(axis=1))
+            # Block -1 only tells how many windows there were.
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.append(at, -1).astype(np.int32)), pa.array([*[(moved[i] * seen).astype(np.float64).tobytes() for i in at], b""], pa.binary()), pa.array(np.full(len(at) + 1, float(seen)))],
+                names=["i", "w", "n"],
+            )
+
+    def total(rows: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.float64) for x in rows.column("w").to_pylist()]
+        return pa.table({"i": rows.column("i").slice(0, 1), "w": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary()), "n": pa.array([float(sum(rows.column("n").to_pylist()))])})
+
+    rows = texts_only.mapInArrow(run, "i int, w binary, n double").groupBy("i").applyInArrow(total, "i int, w binary, n double").toArrow().to_pylist()
+    seen = sum(r["n"] for r in rows if r["i"] < 0)
+    out = np.append(weights, np.zeros(-len(weights) % BLOCK)).reshape(-1, BLOCK)
+    for r in rows:
+        if r["i"] >= 0:
+            out[r["i"]] += np.frombuffer(r["w"], np.float64) / seen
+    return out.ravel()[: len(weights)]
 
 
 class Lexicon:
-    """Classes of words' subwords, end to end, and the log probability of each word's subwords within their classes."""
+    """Places of words' subwords, end to end."""
+
+    def __init__(self, place: np.ndarray, model_file: str, words: list[str | None]) -> None:
+        ids, self.sizes = subwords(model_file, words)
+        self.places = place[ids]
 
-    def __init__(self, model: Model, words: list[str | None]) -> None:
-        ids, self.sizes = subwords(model.model_file, words)
-        self.classes = model.classes[ids].astype(np.int8)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        sums = np.concatenate([[0.0], np.cumsum(model.inside[ids])])
-        self.inside = sums[self.starts + self.sizes] - sums[self.starts]
+
+def lines(lexicons: list[Lexicon], words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words: numbers in the lexicons, one after another, of all texts' words; first: where each text's begin. Gives the
+    places of the subwords of all texts and where each text's begin."""
+    sizes = np.concatenate([x.sizes for x in lexicons])
+    places = np.concatenate([x.places for x in lexicons])
+    starts = np.cumsum(sizes) - sizes
+    size = sizes[words]
+    ends = np.cumsum(size)
+    line = places[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[words] - (ends - size), size)]
+    return line, np.concatenate([[0], ends])[first]
 
 
 @dataclass
 class Model:
     weights: np.ndarray
-    inside: np.ndarray  # log probability of each subword within its class
-    classes: np.ndarray
+    place: np.ndarray  # of each subword id in the order of frequency
     model_file: str
 
+    def lexicon(self, words: list[str | None]) -> Lexicon:
+        return Lexicon(self.place, self.model_file, words)
+
     def log10_p(self, lexicons: list[Lexicon], words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """words: places in the lexicons, one after another, of all texts' words; first: where each text's begin."""
-        sizes = np.concatenate([x.sizes for x in lexicons])
-        classes = np.concatenate([x.classes for x in lexicons])
-        starts = np.cumsum(sizes) - sizes
-        inside = np.concatenate([x.inside for x in lexicons])
-        size = sizes[words]
-        ends = np.cumsum(size)
-        line = classes[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[words] - (ends - size), size)].astype(np.int32)
-        cuts = np.concatenate([[0], ends])[first]
+        line, cuts = lines(lexicons, words, first)
         x, real = windows([line[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
         sums = np.concatenate([[0.0], np.cumsum(class_log_p(unpack(self.weights), x)[real].astype(np.float64))])
-        per_word = np.concatenate([[0.0], np.cumsum(inside[words])])
-        return (np.diff(sums[cuts]) + np.diff(per_word[first])) / np.log(10)
+        return np.diff(sums[cuts]) / np.log(10)
 
 
 def fit(docs: DataFrame, counts: DataFrame, text: str, id_column: str, model_file: str | None = None, s: Settings = Settings()) -> Model:
     """Learn from all rows of `docs`, whose word counts are given."""
     model_file = model_file or public_model()
     pieces = subword_counts(counts, model_file)
-    classes = piece_classes(processor(model_file))
-    smooth = pieces + s.smoothing
-    inside = np.log(smooth / np.bincount(classes, smooth, CLASSES)[classes])
-    weights = first_weights(np.bincount(classes, pieces, CLASSES))
+    order = np.argsort(-pieces, kind="stable")
+    place = np.empty(len(pieces), np.int32)
+    place[order] = np.arange(len(pieces))
+    weights = first_weights(pieces[order] + s.smoothing)
     texts = docs.select(quoted(text).cast("string").alias("text"), F.xxhash64(quoted(id_column).cast("string")).alias("h"))
-    sample = checkpoint(texts.where(F.pmod("h", F.lit(s.every)) == 0).select("text"))
+    chosen = texts.where(F.pmod("h", F.lit(s.every)) == 0).select("text")
     for _ in range(s.rounds):
-        weights = trained(sample, weights, model_file, s)
-    return Model(weights, inside, classes, model_file)
+        weights = trained(chosen, weights, place, model_file, s)
+    return Model(weights.astype(np.float32), place, model_file)
 
 
 # ---- scoring -----------------------------------------------------------------------------------------------------
@@ -399,7 +456,7 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
     words, n, spellings = most_frequent(counts)
     fitted = fit(training, counts, text, id_column, s=s)
     # HOT_WORDS words at most, and a vocabulary's worth of figures.
-    hot = context.broadcast((words, n, Lexicon(fitted, spellings)))
+    hot = context.broadcast((words, n, fitted.lexicon(spellings)))
     model = context.broadcast(fitted)
     floor = np.log10(total + 0.1 * (distinct + 1))
     source = docs.select(quoted(id_column).alias("id"), quoted(text).cast("string").alias("text"))
@@ -410,7 +467,7 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
         logs = np.log10(n + 0.1)
         end = int(np.searchsorted(words, _END_WORD))
         end_count = int(n[end]) if end < len(words) and words[end] == _END_WORD else 0
-        last = Lexicon(model.value, [None])
+        last = model.value.lexicon([None])
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = Texts(part.column("text"))
@@ -430,7 +487,7 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
                 bounds = np.searchsorted(owner[order[cut]], np.arange(len(sizes) + 1))
                 # The model: places of all words in the broadcast lexicon, the one of this slice's rare words, and the end.
                 _, where, which = np.unique(hashes[rest], return_index=True, return_inverse=True)
-                own = Lexicon(model.value, _strings(texts, starts[rest[where]], ends[rest[where]]))
+                own = model.value.lexicon(_strings(texts, starts[rest[where]], ends[rest[where]]))
                 place = at.astype(np.int64)
                 place[rest] = len(words) + which
                 place = np.insert(place, first[1:], len(words) + len(where))

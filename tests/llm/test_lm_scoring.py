@@ -103,3 +103,20 @@ def test_awkward_rows(spark):
     nothing = score(docs, awkward.empty(spark)).collect()
     assert len(nothing) == len(got) and {(r.n_known, r.train_tokens) for r in nothing} == {(0, 0)}
     assert score(awkward.empty(spark), docs).count() == 0
+
+
+def test_order_of_words_and_their_identity_count(spark):
+    """Three words of one shape take turns: their order tells what comes next, the frequencies don't."""
+    rng = np.random.default_rng(6)
+    train = spark.createDataFrame([(i, " ".join(["bad", "cat", "dig"][k % 3] for k in range(j, j + 200))) for i, j in enumerate(rng.integers(0, 3, 3000).tolist())], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "bad cat dig " * 20), (1, "cat bad dig " * 20)], "doc_id long, text string")
+    right, wrong = (r.score for r in score(asked, train).orderBy("id").collect())
+    assert right > wrong + 5
+
+
+def test_every_training_row_is_learned_from(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id doc_id", "concat('word', id, ' and more') text")
+    met = []
+    monkeypatch.setattr(lm, "trained", lambda texts, weights, *more: met.append(texts.count()) or weights)
+    lm.fit(rows, lm.word_counts(rows.select("text")), "text", "doc_id")
+    assert met == [300] * lm.Settings().rounds
