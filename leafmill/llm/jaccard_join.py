@@ -268,19 +268,24 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_column: s
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """fp, comp for every class that has an edge: comp is the least fp that can be reached."""
-    both = checkpoint(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpoint(both.groupBy(F.col("a").alias("fp")).agg(F.least(F.min("b"), F.col("a")).alias("comp")))
-    for _ in range(most_rounds):
-        heard = both.join(labels.select(F.col("fp").alias("b"), "comp"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("comp").alias("heard"))
-        after = checkpoint(labels.join(heard, "fp").select("fp", "comp", F.least("comp", "heard").alias("next")))
-        # Jump: follow the label's own label.
-        jump = checkpoint(after.join(after.select(F.col("fp").alias("next"), F.col("next").alias("far")), "next", "left").select("fp", "comp", F.least("next", F.coalesce("far", "next")).alias("next")))
-        labels = jump.select("fp", F.col("next").alias("comp"))
-        if jump.where("comp <> next").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """fp, comp for every class that has an edge: comp is the least fp that can be reached.
+
+    Large stars and small stars in turn (Kiveris and others, 2014): both keep what is connected, and the rounds grow with
+    the logarithm of the classes, however long a chain is. Edges go from the larger fp (u) to the smaller (v)."""
+    least = lambda d: d.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    edges = checkpoint(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        both = edges.union(edges.select("v", "u"))
+        # Large star: the larger neighbours of each class are linked with its least one.
+        large = checkpoint(both.join(least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # Small star: so are the class and its smaller neighbours.
+        near = large.join(least(large), "u")
+        edges = near.select("u", F.col("m").alias("v")).union(near.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = checkpoint(edges.distinct())
+        # Done when every class has one edge, and that leads to a class that has none.
+        if edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            return edges.select(F.col("u").alias("fp"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
 
 
 def star_pairs(classes: DataFrame) -> DataFrame:

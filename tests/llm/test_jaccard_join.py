@@ -116,3 +116,11 @@ def test_components_of_a_long_chain(spark):
     random.Random(1).shuffle(ids)
     edges = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])] + [(100, 101)], "a long, b long")
     assert {(r.fp, r.comp) for r in components(edges).collect()} == {(i, 1) for i in ids} | {(100, 100), (101, 100)}
+
+
+@pytest.mark.parametrize("links", [59, 500])
+def test_components_of_chains_of_any_length(spark, links):
+    ids = list(range(-5, links - 4))
+    random.Random(2).shuffle(ids)
+    edges = spark.createDataFrame([(min(p), max(p)) for p in zip(ids, ids[1:])] + [(1000, 1001), (1000, 1002)], "a long, b long")
+    assert sorted((r.fp, r.comp) for r in components(edges).collect()) == [(i, -5) for i in sorted(ids)] + [(i, 1000) for i in (1000, 1001, 1002)]
