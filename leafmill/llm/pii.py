@@ -1,9 +1,11 @@
 """Personal data: patterns, and bootstrapped contextual extraction. DataFrame functions only.
 
-The patterns' finds are seeds. A lexical context is the two words before an identifier; contexts and identifiers form a
+The patterns' finds are seeds. A lexical context is the two words before an identifier, the first
+of which may be the start of the text; contexts and identifiers form a
 graph that Spark scores in turns: a context is as trustworthy, for a kind, as the share of its identifiers that belong
 to that kind (with one doubtful identifier added); an unseen identifier is as likely as the chance that at least one of
-its contexts is right. After ROUNDS turns, identifiers that reach THRESHOLD for a kind are reported as `context_<kind>`.
+its contexts is right. After ROUNDS turns, identifiers that reach THRESHOLD for a kind are reported as `context_<kind>`
+wherever they stand, with or without a context.
 Only tokens with several digits that the patterns don't cover may be discovered.
 
 Defined results: a null or empty text has no spans. Each distinct identifier counts once for a context, so copies of a
@@ -69,8 +71,10 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _context(before: Column) -> Column:
-    """The last two words ahead, in lower case, with digits masked; empty where there are fewer than two."""
-    words = F.regexp_extract(before, r"(\S+\s+\S+)\s*$", 1)
+    """The last two words ahead, in lower case, with digits masked; ^ stands for the start of the text, and nothing but that
+    is no context (empty)."""
+    ahead = F.when(F.length(before) < CONTEXT, F.concat(F.lit("^ "), before)).otherwise(before)
+    words = F.regexp_extract(ahead, r"(\S+\s+\S+)\s*$", 1)
     return F.regexp_replace(F.regexp_replace(F.lower(words), r"[0-9]+", "0"), r"\s+", " ")
 
 
@@ -113,9 +117,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
     )
     found = checkpoint(found.withColumn("row_id", F.monotonically_increasing_id()))
     free = found.select("row_id", "base", F.explode("candidates").alias("c")).where(~F.exists("base", lambda b: (b["start"] < F.col("c.stop")) & (F.col("c.start") < b["stop"])))
-    free = free.select("row_id", "c", _context(F.col("c.before")).alias("context"), F.lower("c.value").alias("identifier")).where("context <> ''")
+    free = free.select("row_id", "c", _context(F.col("c.before")).alias("context"), F.lower("c.value").alias("identifier"))
     seeds = found.select(F.explode("base").alias("b")).select(_context(F.col("b.before")).alias("context"), F.lower("b.value").alias("identifier"), F.col("b.kind").alias("kind")).where("context <> ''")
-    edges = seeds.unionByName(free.select("context", "identifier", F.lit(None).cast("string").alias("kind"))).groupBy("context", "identifier", "kind").agg(F.count("*").alias("n")).drop("n")
+    edges = seeds.unionByName(free.where("context <> ''").select("context", "identifier", F.lit(None).cast("string").alias("kind"))).groupBy("context", "identifier", "kind").agg(F.count("*").alias("n")).drop("n")
     guesses = discover(edges).where(F.col("score") >= THRESHOLD)
     best = guesses.groupBy("identifier").agg(F.max_by("kind", F.struct("score", *[F.col("kind") == k for k in KINDS])).alias("kind"))
     hits = salted_join(free.select("row_id", "c", "identifier"), best, "identifier", "row_id")

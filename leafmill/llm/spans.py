@@ -13,20 +13,21 @@ SPAN = "array<struct<start:int,stop:int,value:string,before:string>>"
 
 
 def matches(text: Column, pattern: str, guard: Column, context: int = 0) -> Column:
-    """Array of (start, stop, value, before): `before` is what stands ahead, `context` code points at most, back to the
-    previous match of the same pattern. Texts without a match, and null texts, give an empty array."""
+    """Array of (start, stop, value, before): `before` is what stands ahead in the text, `context` code points at most,
+    earlier matches included. Texts without a match, and null texts, give an empty array."""
     empty = F.lit(None).cast(SPAN)
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("spans"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         stop = start + F.length(pair["value"])
-        before = F.substring(pair["gap"], -context, context) if context else F.lit("")
+        last = lambda *parts: F.substring(F.concat(*parts), -context, context) if context else F.lit("")
+        before = last(acc["tail"], pair["gap"])
         made = F.struct(start.alias("start"), stop.alias("stop"), pair["value"].alias("value"), before.alias("before"))
-        return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(made)).alias("spans"))
+        return F.struct(stop.alias("at"), last(acc["tail"], pair["gap"], pair["value"]).alias("tail"), F.concat(acc["spans"], F.array(made)).alias("spans"))
 
     spans = F.aggregate(pairs, state, step, lambda acc: acc["spans"])
     return F.coalesce(F.when(guard & text.rlike(pattern), spans), empty, F.array().cast(SPAN))

@@ -74,3 +74,12 @@ def test_contexts_of_seeds_find_unseen_identifiers(spark):
     found = [[(s.kind, s.value) for s in r.spans if s.order == len(KINDS)] for r in got]
     assert found[8:11] == [[("context_phone", "217-555-8888")]] * 3
     assert not any(found[:8]) and not any(found[11:])
+
+
+def test_proven_identifiers_are_found_wherever_they_stand(spark):
+    seeds = [f"Please call me on +1 (217) 555-{1000 + i} after noon." for i in range(8)] + [f"Ring +1 (217) 555-{2000 + i} now." for i in range(8)]
+    texts = ["Please call me on 217-555-8888 after noon.", "217-555-8888", "Tel 217-555-8888", "in 2024 call 217-555-8888", "order 12345678 217-555-8888", "Ring 217-555-9999 now."]
+    got = scan(spark.createDataFrame(list(enumerate(texts + seeds)), "doc_id long, text string")).orderBy("doc_id").collect()
+    found = [[(s.kind, s.value) for s in r.spans if s.order == len(KINDS)] for r in got]
+    assert found[:6] == [[("context_phone", "217-555-8888")]] * 5 + [[("context_phone", "217-555-9999")]]
+    assert not any(found[6:])
