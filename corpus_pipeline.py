@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,12 +67,14 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are drawn with their fitted rates, which go from 0 to 1 here: no document is repeated. The budget is a
-    quarter more than the largest that needs no repeats, so that documents of the main domain stay. Rows that share an id
+    """Documents are drawn with their fitted rates, which go from 0 to 1 here: no document is repeated. The budget is
+    what the clean domain fills at rate 1: the others are thinned to their targets, or stay whole and fall short. Rows that share an id
     go or stay together; rows without one stay."""
     model = mixing.fit(docs, mixing.labelled_domains(table(spark, sf_dir, "labels")))
     members = checkpoint(mixing.memberships(docs, model, ["doc_id"]))
-    rate, _ = mixing.fitted_rates(members, mixing.TARGETS, max_rate=1.0, slack=1.25)
+    rate, shares = mixing.fitted_rates(members, mixing.TARGETS, max_rate=1.0, whole=0)
+    if short := [f"{d} {x:.4f} of {t}" for d, x, t in zip(mixing.DOMAINS, shares, mixing.TARGETS, strict=True) if x < 0.99 * t]:
+        logging.getLogger(__name__).warning("mixing: short of target shares: %s", ", ".join(short))
     drawn = members.select("row.doc_id", mixing.copies(rate, F.col("row.doc_id")).alias("copies"))
     gone = checkpoint(drawn.where("copies = 0 and doc_id is not null").select("doc_id").distinct())
     return docs.join(_small(gone, "doc_id"), "doc_id", "left_anti").select(_columns(docs))

@@ -160,16 +160,21 @@ def memberships(docs: DataFrame, model: Model, carry: list[str], text: str = "te
     return map_texts(docs, kernel, [T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))], carry, text=text)
 
 
-def fitted_rates(members: DataFrame, targets: tuple[float, ...], s: Settings = Settings(), max_rate: float | None = None, slack: float = 1.0) -> tuple[Column, list[float]]:
-    """A column of rates over `members` (n_tokens, posterior), and each domain's expected share of the budget at these."""
+def fitted_rates(members: DataFrame, targets: tuple[float, ...], s: Settings = Settings(), max_rate: float | None = None, whole: int | None = None) -> tuple[Column, list[float]]:
+    """A column of rates over `members` (n_tokens, posterior), and each domain's expected share of the budget at these.
+
+    The budget is the largest that needs no repeats; or, with `whole`, the one that this domain fills by itself: domains
+    with less than their target then fall short of it, as the shares tell, and shrink nothing else."""
     k = len(targets)
     n, p = F.col("n_tokens"), [F.col("posterior")[i] for i in range(k)]
     have = np.array(members.agg(*[F.coalesce(F.sum(n * p[i]), F.lit(0.0)).alias(f"h{i}") for i in range(k)]).first(), float)
     goal = np.array(targets, float) / sum(targets)
     if not have.sum():
         return F.lit(1.0), have.tolist()
-    budget = slack * min(have[i] / goal[i] for i in range(k) if goal[i] > 0)
+    budget = min(have[i] / goal[i] for i in range(k) if goal[i] > 0) if whole is None else have[whole] / goal[whole]
     budget = budget or have.sum()
+    if whole is not None:
+        goal = np.minimum(goal, have / budget)
     rate: Column = F.lit(1.0)
     expected, before = have / budget, np.full(k, np.inf)
     moves: list[np.ndarray] = []

@@ -1,6 +1,7 @@
 import hashlib
 
 import corpus_pipeline as cp
+import pytest
 import sentencepiece
 
 from leafmill.llm.sentencepiece_codec import public_model
@@ -47,3 +48,15 @@ def test_awkward_rows(spark, tmp_path):
             docs = spark.createDataFrame(out.collect(), docs.schema)
         cp.STAGES[-1][1](spark, docs, sf).collect()
         assert k or sum(r.text == "One two three." for r in docs.collect()) <= 1
+
+
+@pytest.mark.parametrize("one_in", [None, 1000])
+def test_clean_documents_stay_where_labels_tell_of_few_toxic_ones(spark, tmp_path, one_in):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = labels.where("toxic = 1").orderBy("doc_id").limit(max(labels.count() // one_in, 1) if one_in else 0)
+    few = labels.where("toxic = 0").union(toxic)
+    docs = docs.join(labels.where("toxic = 1"), "doc_id", "left_anti").union(docs.join(toxic, "doc_id", "left_semi")).select(docs.columns)
+    kept = {r.doc_id for r in cp.mix_to_targets(spark, docs, awkward.sf_dir(spark, tmp_path, labels=few)).select("doc_id").collect()}
+    clean = [r.doc_id for r in docs.join(few.where("quality = 1 and toxic = 0"), "doc_id", "left_semi").collect()]
+    assert clean and sum(i in kept for i in clean) >= 0.97 * len(clean)

@@ -62,3 +62,17 @@ def test_awkward_rows(spark):
         assert len(got) == len(awkward.rows()) and all(r.rate >= 0 and sum(r.posterior) == pytest.approx(1) for r in got)
     none = memberships(awkward.empty(spark), fit(awkward.empty(spark), labels), ["doc_id"])
     assert none.select(fitted_rates(none, TARGETS)[0]).count() == 0
+
+
+@pytest.mark.parametrize("toxic", [0.0, 0.001])
+def test_a_scarce_domain_does_not_shrink_the_clean_one(spark, toxic):
+    rng = np.random.default_rng(4)
+    kind = rng.choice(3, 4000, p=[0.9 - toxic, 0.1, toxic])
+    p = np.full((4000, 3), 0.0005)
+    p[np.arange(4000), kind] = 0.999
+    df = spark.createDataFrame([(100, x.tolist()) for x in p], "n_tokens long, posterior array<double>")
+    rate, expected = fitted_rates(df, TARGETS, max_rate=1.0, whole=0)
+    r = np.array([x.r for x in df.select(rate.alias("r")).collect()])
+    assert r[kind == 0].mean() > 0.97
+    assert r[kind == 1].mean() < 0.75  # still thinned to its target
+    assert expected[2] <= TARGETS[2]  # the shortfall is told
