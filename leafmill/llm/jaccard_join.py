@@ -1,23 +1,31 @@
-"""N-gram Jaccard join through a token-group matrix; gives each document its class of linked documents.
-
-Documents with the same shingle set are one class. Two rounds find the links between classes:
-
-1. Grouping. Classes that share a min-hash value form a group, and each is compared with the group's most typical class.
-   The links found here partition similar classes into components, without any pairs inside large groups.
-2. Token-group matrix. Every class lists its prefix in one global order (rare shingles first): of two classes similar
-   enough, the first shared shingle is in both prefixes. For each shingle the matrix holds the groups (component and size
-   class) in whose union of prefixes it is, with the most shingles that a member has from there on. That bounds the overlap
-   of a query class with any member, and only groups that can reach the threshold, of another component, are opened.
-
-Candidate pairs of both rounds are thinned by bitmaps of the sets (an upper bound of the overlap, so no link is lost) and
-checked exactly on the 64-bit shingle hashes. Two different shingles share a hash with odds of about 2**-60.
-
-What is broadcast is bounded: at most HOT_TOKENS frequent shingles, which only shape the order, and at most
-BROADCAST_IDS ids of documents to read again (more are joined by shuffle). Links, components and sets never meet on the driver.
+"""N-gram Jaccard join through a token-group matrix; gives each document the class of documents that links reach.
+
+Documents with the same shingle set are one class. All classes use one order of shingles, rare ones first; a class's prefix
+are the shingles that may be the first one it shares with a similar class.
+
+1. Open classes. Of two similar classes, several of the first shingles are in both (a longer prefix asks for more of them).
+   Classes whose first shingles are met in too few other classes can't be linked with anything; no more is done with them.
+2. Exact order. The open classes' whole sets are read once, and shingles that no other open class has are dropped:
+   what is left of a set bounds its overlap with any other. Sets that can't reach the threshold go, and the rest are
+   ordered by exact frequency.
+3. Similar documents into groups. Classes that share a min-hash value are compared with the one of them that can reach
+   farthest; the links found put classes into components. A group is at most about GROUP classes of one component and size.
+4. Token-group matrix. For each shingle the matrix holds the groups in whose prefixes it is, with their least size and the
+   most shingles a member has from there on. A query class meets the groups of other components that these bounds allow;
+   then the query's overlap with the union of all of a group's shingles is added up (over a bitmap of the union, which
+   may only overstate it), and only groups that can reach the threshold are opened: their members are compared exactly.
+
+Pairs inside one component are never made, so the work for a large group of copies grows with its size, and no bound drops
+a pair that may be linked. How many links a document has isn't counted: that would need all pairs of a group.
+
+Shingles met often in a task are broadcast, HOT_TOKENS at most; they stand last in the order and are never shuffled to
+find open classes, so no key of that shuffle is hot. Ids to read again are broadcast if there are at most BROADCAST_IDS
+of them (more are joined by shuffle). Links, components and sets never meet on the driver. Shingles are compared by
+64-bit hashes that mix each word; two different ones share a hash with odds of about 2**-64.
 
 Defined results: a null text, or one without words, has 0 shingles, is linked with nothing and is its own component.
 Rows that repeat a text are linked, whatever their ids; the component's id is the least id among its rows (null if all
-are null); rows without an id are linked with equal texts only. A text with fewer words than a shingle has one shingle, all its words. Extra columns are ignored.
+are null). A text with fewer words than a shingle has one shingle, all its words. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +43,8 @@ from pyspark.sql import Window as W
 from .textops import Texts, checkpoint, map_texts, mix64, quoted, slices, table
 
 KEYS = 8
+GROUP = 128
+UNION_BITS = 1 << 15  # of a group's bitmap: what Spark's own bitmap functions use
 HOT_TOKENS = 1 << 20
 BROADCAST_IDS = 1 << 20
 _HOT_IN_TASK = 4
@@ -53,12 +63,16 @@ class Similarity:
         """Of two sets whose sizes add up to `sizes`: percent/(100+percent) of it, rounded up."""
         return F.ceil(sizes * self.percent / F.lit(100.0 + self.percent) - 1e-9)
 
+    def least_size(self, n: Column) -> Column:
+        """Of a set that can be similar to one of n: also the least overlap with any."""
+        return F.ceil(n * self.percent / F.lit(100.0) - 1e-9)
+
 
 def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted; and where each text's begin (one more entry than texts)."""
     starts, ends, first = texts.words()
     counts = np.diff(first)
-    hashes = texts.span_hash(texts.hashed(lower=True), starts, ends)
+    hashes = texts.span_hash(starts, ends, lower=True)
     whole = np.maximum(counts - words + 1, 0)
     owner = np.repeat(np.arange(texts.n), whole)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(whole) - whole, whole) + np.repeat(first[:-1], whole)
@@ -67,12 +81,10 @@ def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
         value = mix64(value * _odd[0] + hashes[at + k] * _odd[1 + k])
     short = np.flatnonzero((counts > 0) & (counts < words))
     if len(short):
-        extra = np.empty(len(short), np.uint64)
-        for i, d in enumerate(short):
-            h = np.uint64(counts[d])
-            for w in hashes[first[d] : first[d + 1]]:
-                h = mix64(np.array([h * _odd[40] + w], np.uint64))[0]
-            extra[i] = h
+        extra = counts[short].astype(np.uint64)
+        for k in range(words - 1):
+            has = counts[short] > k
+            extra[has] = mix64(extra[has] * _odd[40] + hashes[first[short[has]] + k])
         owner, value = np.concatenate([owner, short]), np.concatenate([value, extra])
     order = np.lexsort((value, owner))
     owner, value = owner[order], value[order]
@@ -82,36 +94,36 @@ def shingle_sets(texts: Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     return value, np.searchsorted(owner, np.arange(texts.n + 1))
 
 
-def _bitmap(tokens: np.ndarray) -> bytes:
-    bits = min(max(6, int(2 * len(tokens) - 1).bit_length()), 20)
-    flags = np.zeros(1 << bits, bool)
-    flags[(tokens & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-    return np.packbits(flags, bitorder="little").tobytes()
+def set_prints(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A fingerprint of each set, 0 for an empty one."""
+    n = np.diff(bounds)
+    some = np.flatnonzero(n)
+    out = np.zeros(len(n), np.uint64)
+    if len(some):
+        out[some] = mix64(np.add.reduceat(mix64(tokens ^ _odd[60]), bounds[some]) + n[some].astype(np.uint64))
+    return out.view(np.int64)
 
 
-def _fold(bitmap: bytes, size: int) -> np.ndarray:
-    return np.bitwise_or.reduce(np.frombuffer(bitmap, np.uint8).reshape(-1, size), axis=0)
+def fingerprints(docs: DataFrame, text: str = "text", s: Similarity = Similarity()) -> DataFrame:
+    """`row` (the columns of docs), fp and n: the fingerprint and size of each row's shingle set."""
 
+    def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        tokens, bounds = shingle_sets(Texts(batch.column("text")), s.words)
+        return {"fp": pa.array(set_prints(tokens, bounds)), "n": pa.array(np.diff(bounds).astype(np.int64))}
 
-def overlap_bound(n_a: int, a: bytes, n_b: int, b: bytes) -> int:
-    """No less than the overlap of two sets: a bit that only one of them has stands for at least one shingle of its own."""
-    size = min(len(a), len(b))
-    x, y = _fold(a, size), _fold(b, size)
-    return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+    return map_texts(docs, kernel, [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType())], docs.columns, text=text)
 
 
 def sketches(docs: DataFrame, id_column: str, text: str, s: Similarity) -> DataFrame:
-    """id, n, fp (fingerprint of the set), keys (min-hashes), bits; and rows with only `hot`: shingles frequent in a task."""
+    """id, n, fp (fingerprint of the set); and rows with only `hot`: shingles frequent in a task."""
     source = docs.select(quoted(id_column).alias("id"), quoted(text).cast("string").alias("text"))
     fields = [
         source.schema["id"],
         T.StructField("n", T.LongType()),
         T.StructField("fp", T.LongType()),
-        T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("bits", T.BinaryType()),
         T.StructField("hot", T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())]))),
     ]
-    schema = T.StructType(fields)
+    names = [f.name for f in fields]
     arrow_hot = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,32 +139,19 @@ def sketches(docs: DataFrame, id_column: str, text: str, s: Similarity) -> DataF
             for part in np.array_split(at, len(at) // 20_000 + 1):
                 rows = pa.StructArray.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(counts[part])], names=["token", "n"])
                 hot = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), rows)
-                null = lambda kind: pa.nulls(1, kind)
-                yield pa.RecordBatch.from_arrays([null(id_type), null(pa.int64()), null(pa.int64()), null(pa.list_(pa.int64())), null(pa.binary()), hot], names=[f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), hot], names=names)
 
         for batch in batches:
             id_type = batch.column("id").type
             for part in slices(batch, "text"):
                 tokens, bounds = shingle_sets(Texts(part.column("text")), s.words)
-                n = np.diff(bounds)
-                some = np.flatnonzero(n)
-                fp, keys = np.zeros(len(n), np.uint64), np.zeros((len(n), KEYS), np.uint64)
-                if len(some):
-                    fp[some] = mix64(np.add.reduceat(mix64(tokens ^ _odd[60]), bounds[some]) + n[some].astype(np.uint64))
-                    for k in range(KEYS):
-                        keys[some, k] = np.minimum.reduceat(mix64(tokens * _odd[50 + k]), bounds[some])
-                bits = [_bitmap(tokens[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                key_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * KEYS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n.astype(np.int64)), pa.array(fp.view(np.int64)), key_lists, pa.array(bits, pa.binary()), pa.nulls(len(n), arrow_hot)],
-                    names=[f.name for f in fields],
-                )
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(set_prints(tokens, bounds)), pa.nulls(part.num_rows, arrow_hot)], names=names)
                 met.append(tokens)
                 if sum(map(len, met)) > _FLUSH_TOKENS:
                     yield from frequent()
         yield from frequent()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, T.StructType(fields))
 
 
 def frequent_tokens(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -173,99 +172,143 @@ def frequent_tokens(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], found.column("level").to_numpy()[order].astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, text: str, s: Similarity, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """token, fp, n, pos: each class's shingles that may be the first one shared with a similar class."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+def _levels(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Level of each shingle: 0 unless it is frequent."""
+    if not len(hot[0]):
+        return np.zeros(len(tokens), np.uint8)
+    at = np.minimum(np.searchsorted(hot[0], tokens), len(hot[0]) - 1)
+    return np.where(hot[0][at] == tokens, hot[1][at], 0).astype(np.uint8)
+
+
+def asked(n: Column) -> Column:
+    """How many of its first shingles a set of n asks for in other sets: 3 in 100, 1 at least."""
+    return F.greatest(F.lit(1), F.floor(n * 3 / F.lit(100)))
+
+
+def open_classes(docs: DataFrame, text: str, s: Similarity, hot) -> DataFrame:
+    """fp of the classes that may be linked with another one.
+
+    A set's first n - least + asked(n) shingles hold at least asked(n) of those it shares with a similar set, and the first
+    of these, as many as the smaller set asks for, are among the first of both. Frequent ones count as shared right away."""
     source = docs.select(quoted(text).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_tokens, hot_levels = shared.value
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text"):
                 tokens, bounds = shingle_sets(Texts(part.column("text")), s.words)
                 n = np.diff(bounds)
-                some = np.flatnonzero(n)
-                if not len(some):
-                    continue
-                fps = mix64(np.add.reduceat(mix64(tokens ^ _odd[60]), bounds[some]) + n[some].astype(np.uint64)).view(np.int64).tolist()
+                fps = set_prints(tokens, bounds)
                 # A class that this task has met needn't be listed again.
                 fresh = np.zeros(len(n), bool)
-                for d, fp in zip(some.tolist(), fps, strict=True):
-                    fresh[d] = fp not in seen
-                    seen.add(fp)
+                for d in np.flatnonzero(n).tolist():
+                    fresh[d] = fps[d] not in seen
+                    seen.add(fps[d])
                 if len(seen) > 1_000_000:
                     seen.clear()
-                level = np.zeros(len(tokens), np.uint8)
-                if len(hot_tokens):
-                    at = np.minimum(np.searchsorted(hot_tokens, tokens), len(hot_tokens) - 1)
-                    level = np.where(hot_tokens[at] == tokens, hot_levels[at], 0)
+                level = _levels(tokens, hot.value)
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((mix64(tokens), level, owner))
                 pos = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
-                least = -(-n * s.percent // 100)  # overlap with the smallest set that can be similar
-                keep = (pos < np.repeat(n - least + 1, n)) & np.repeat(fresh, n)
-                fp_of = np.zeros(len(n), np.int64)
-                fp_of[some] = fps
+                first = n - -(-n * s.percent // 100) + np.maximum(1, n * 3 // 100)
+                inside = (pos < np.repeat(first, n)) & np.repeat(fresh, n)
+                frequent = level[order] > 0
+                met = np.bincount(owner[inside & frequent], minlength=len(n))
+                keep = inside & ~frequent
+                # One row that stands for the frequent ones, under the class's own fingerprint.
+                own = np.flatnonzero(met)
+                whose = np.concatenate([owner[keep], own])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens[order][keep].view(np.int64)), pa.array(fp_of[owner[keep]]), pa.array(n[owner[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
-                    names=["token", "fp", "n", "pos"],
+                    [
+                        pa.array(np.concatenate([tokens[order][keep].view(np.int64), fps[own]])),
+                        pa.array(fps[whose]),
+                        pa.array(n[whose].astype(np.int32)),
+                        pa.array(np.concatenate([np.zeros(int(keep.sum()), np.int32), met[own].astype(np.int32)])),
+                    ],
+                    names=["token", "fp", "n", "hot"],
                 )
 
-    return source.mapInArrow(run, "token long, fp long, n int, pos int")
-
+    by_token = W.partitionBy("token")
+    rows = source.mapInArrow(run, "token long, fp long, n int, hot int")
+    rows = rows.withColumn("lo", F.min("fp").over(by_token)).withColumn("hi", F.max("fp").over(by_token)).where("lo <> hi or hot > 0")
+    met = rows.groupBy("fp").agg(F.first("n").alias("n"), F.max("hot").alias("hot"), F.sum(F.when(F.col("hot") > 0, 0).otherwise(1)).alias("rare"))
+    return met.where(F.col("hot") + F.col("rare") >= asked(s.least_size(F.col("n")))).select("fp")
 
 
-def thinned(pairs: DataFrame, classes: DataFrame, s: Similarity) -> DataFrame:
-    """Pairs (a, b) that the bitmaps don't rule out."""
-    sides = [classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
-    joined = pairs.join(sides[0], "a").join(sides[1], "b")
+def whole_sets(docs: DataFrame, wanted: DataFrame, rows: DataFrame, id_column: str, text: str, s: Similarity, hot) -> DataFrame:
+    """fp, n, rare, frequent (the set's shingles, the frequent ones in order) and keys (min-hashes) of the wanted classes."""
+    needed = checkpoint(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id")))
+    few = needed.count() <= BROADCAST_IDS
+    small = F.broadcast if few else (lambda d: d)
+    source = docs.select(quoted(id_column).alias("id"), quoted(text).cast("string").alias("text"))
+    ids = needed.select(F.col("id").alias("_id")).distinct()
+    source = source.join(small(ids), F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b")]
-            keep = []
-            for n_a, x, n_b, y in zip(*columns, strict=True):
-                most = overlap_bound(n_a, x, n_b, y) if 100 * min(n_a, n_b) >= s.percent * max(n_a, n_b) else 0
-                keep.append(100 * most >= s.percent * (n_a + n_b - most))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in slices(batch, "text"):
+                tokens, bounds = shingle_sets(Texts(part.column("text")), s.words)
+                n = np.diff(bounds)
+                level = _levels(tokens, hot.value)
+                owner = np.repeat(np.arange(len(n)), n)
+                keys = np.zeros((len(n), KEYS), np.uint64)
+                some = np.flatnonzero(n)
+                if len(some):
+                    for k in range(KEYS):
+                        keys[some, k] = np.minimum.reduceat(mix64(tokens * _odd[50 + k]), bounds[some])
+                order = np.lexsort((mix64(tokens), level, owner))
+                ordered, frequent = tokens[order], level[order] > 0
+                cuts = lambda flags: pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[flags], minlength=len(n)))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(set_prints(tokens, bounds)),
+                        pa.array(n.astype(np.int64)),
+                        pa.ListArray.from_arrays(cuts(~frequent), pa.array(ordered[~frequent].view(np.int64))),
+                        pa.ListArray.from_arrays(cuts(frequent), pa.array(ordered[frequent].view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * KEYS, pa.int32()), pa.array(keys.ravel().view(np.int64))),
+                    ],
+                    names=["fp", "n", "rare", "frequent", "keys"],
+                )
 
-    return joined.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long")
+    # Rows may share an id with rows of other classes: the set's own fingerprint decides.
+    sets = source.mapInArrow(run, "fp long, n long, rare array<long>, frequent array<long>, keys array<long>")
+    return sets.join(small(needed.select("fp")), "fp", "left_semi").dropDuplicates(["fp"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, id_column: str, text: str, s: Similarity) -> DataFrame:
+def survivors(sets: DataFrame, s: Similarity) -> DataFrame:
+    """fp, n, tokens (those that others have too, rare ones first) and keys of the classes that can still reach the threshold."""
+    by_token = W.partitionBy("token")
+    sizes = sets.select("fp", "n", F.size("frequent").alias("frequent"))
+    rows = sets.select("fp", F.explode("rare").alias("token"))
+    # Twice: what only sets that went had in common is no longer shared.
+    for _ in range(2):
+        rows = checkpoint(rows.withColumn("met", F.count("*").over(by_token)).where("met > 1"))
+        room = sizes.join(rows.groupBy("fp").agg(F.count("*").alias("rare")), "fp", "left").withColumn("room", F.col("frequent") + F.coalesce("rare", F.lit(0)))
+        alive = checkpoint(room.where(F.col("room") >= s.least_size(F.col("n"))).select("fp"))
+        rows = rows.join(alive, "fp", "left_semi").select("fp", "token")
+    rows = rows.withColumn("met", F.count("*").over(by_token)).where("met > 1")
+    ordered = rows.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("met", "token"))).alias("rare"))  # of one set: bounded by its text
+    out = sets.join(alive, "fp", "left_semi").drop("rare").join(ordered, "fp", "left")
+    tokens = F.concat(F.coalesce(F.col("rare.token"), F.array().cast("array<long>")), F.col("frequent"))
+    return out.select("fp", "n", tokens.alias("tokens"), "keys").where(F.size("tokens") >= s.least_size(F.col("n")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, s: Similarity) -> DataFrame:
     """Pairs (a, b) of classes that are linked, by their whole sets."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(classes.select("fp", "rep"), "fp").select("fp", F.col("rep").alias("id"))
-    needed = checkpoint(needed)
-    few = needed.count() <= BROADCAST_IDS
-    source = docs.select(quoted(id_column).alias("id"), quoted(text).cast("string").alias("text"))
-    # Rows of one class may share an id with others: the set's own fingerprint decides.
-    ids = needed.select("id").distinct()
-    source = source.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-
-    def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        tokens, bounds = shingle_sets(Texts(batch.column("text")), s.words)
-        n = np.diff(bounds)
-        some = np.flatnonzero(n)
-        fp = np.zeros(len(n), np.uint64)
-        if len(some):
-            fp[some] = mix64(np.add.reduceat(mix64(tokens ^ _odd[60]), bounds[some]) + n[some].astype(np.uint64))
-        return {"fp": pa.array(fp.view(np.int64)), "tokens": pa.array([tokens[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], pa.binary())}
-
-    sets = map_texts(source, kernel, [T.StructField("fp", T.LongType()), T.StructField("tokens", T.BinaryType())], ["id"]).select(F.col("row.id").alias("id"), "fp", "tokens")
-    sets = sets.join(F.broadcast(needed) if few else needed, ["id", "fp"]).select("fp", "tokens")
-    joined = pairs.join(sets.select(F.col("fp").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("fp").alias("b"), F.col("tokens").alias("y")), "b")
+    side = lambda fp, n, tokens: sets.select(F.col("fp").alias(fp), F.col("n").alias(n), F.col("tokens").alias(tokens))
+    joined = pairs.join(side("a", "n_a", "x"), "a").join(side("b", "n_b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(u) + len(v) - len(np.union1d(u, v))
-                keep.append(100 * both >= s.percent * (len(u) + len(v) - both))
+            keep = np.zeros(batch.num_rows, bool)
+            sizes = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            for i in range(batch.num_rows):
+                x, y = batch.column("x")[i].values.to_numpy(), batch.column("y")[i].values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = 100 * both >= s.percent * (sizes[i] - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return joined.select("a", "b", "n_a", "n_b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,64 +331,104 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("fp"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
 
 
-def star_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the most typical class of each of its min-hash groups."""
-    keys = classes.select("fp", F.posexplode("keys").alias("k", "key"))
-    sizes = keys.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1")
-    sized = checkpoint(keys.join(sizes, ["k", "key"]))
-    # Typical: shares its keys with many.
-    typical = sized.groupBy("fp").agg(F.sum("size").alias("weight"))
-    weighed = sized.join(typical, "fp")
-    leaders = weighed.groupBy("k", "key").agg(F.max_by("fp", F.struct("weight", "fp")).alias("leader"))
-    pairs = sized.join(leaders, ["k", "key"]).where("fp <> leader")
+def star_pairs(sets: DataFrame, s: Similarity) -> DataFrame:
+    """Each class with the class of each of its min-hash values that can be linked with the largest ones."""
+    keys = sets.select("fp", F.floor(F.size("tokens") * (100.0 + s.percent) / s.percent - F.col("n")).alias("reach"), F.posexplode("keys").alias("k", "key"))
+    leaders = keys.groupBy("k", "key").agg(F.max_by("fp", F.struct("reach", "fp")).alias("leader"), F.count("*").alias("size")).where("size > 1")
+    pairs = keys.join(leaders, ["k", "key"]).where("fp <> leader")
     return pairs.select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
 
 
-def matrix_pairs(rows: DataFrame, comp: DataFrame, s: Similarity) -> DataFrame:
+def unions(members: DataFrame) -> DataFrame:
+    """group, bits: a bitmap of all shingles of each group's members. Tasks make bitmaps, and Spark merges them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, which = np.unique(batch.column("group").to_numpy(), return_inverse=True)
+            column = batch.column("tokens")
+            sizes = column.value_lengths().to_numpy()
+            bit = column.flatten().to_numpy() & (UNION_BITS - 1)
+            owner = np.repeat(which, sizes)
+            for g, place in enumerate(places.tolist()):
+                flags = np.zeros(UNION_BITS, bool)
+                flags[bit[owner == g]] = True
+                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], names=["group", "bits"])
+
+    return members.select("group", "tokens").mapInArrow(run, "group long, bits binary").groupBy("group").agg(F.bitmap_or_agg("bits").alias("bits"))
+
+
+def qualifying(asking: DataFrame, sets: DataFrame, members: DataFrame, s: Similarity) -> DataFrame:
+    """Of (fp, group, g_least): those whose overlap with the union of the group can reach the threshold."""
+    wanted = members.join(asking.select("group").distinct(), "group", "left_semi")
+    joined = asking.join(sets.select("fp", "n", "tokens"), "fp").join(unions(wanted), "group")
+    least = s.least_overlap(F.col("n") + F.greatest("g_least", s.least_size(F.col("n"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, least in enumerate(batch.column("least").to_numpy().tolist()):
+                flags = np.unpackbits(np.frombuffer(batch.column("bits")[i].as_py(), np.uint8), bitorder="little")
+                keep[i] = flags[batch.column("tokens")[i].values.to_numpy() & (UNION_BITS - 1)].sum(dtype=np.int64) >= least
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("group")], names=["fp", "group"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.select("fp", "group", least.alias("least"), "tokens", "bits").mapInArrow(run, "fp long, group long")
+
+
+def matrix_pairs(sets: DataFrame, comp: DataFrame, s: Similarity) -> DataFrame:
     """Pairs of classes of different components which the token-group matrix can't rule out."""
-    by_token = W.partitionBy("token")
-    several = lambda d, c: d.withColumn("lo", F.min(c).over(by_token)).withColumn("hi", F.max(c).over(by_token)).where("lo <> hi").drop("lo", "hi")
-    shared = checkpoint(several(rows, "fp"))
-    shared = shared.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    matrix = several(shared, "comp").withColumn("room", F.col("n") - F.col("pos")).withColumn("size", F.floor(4 * F.log2("n")).cast("int"))
-    matrix = checkpoint(matrix.select("token", "fp", "comp", "size", "n", "room"))
-    groups = matrix.groupBy("token", "comp", "size").agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.max("room").alias("g_room"))
-    query = matrix.select("token", F.col("fp").alias("a"), F.col("comp").alias("q_comp"), F.col("n").alias("q_n"), F.col("room").alias("q_room"))
-    opens = (
+    placed = sets.join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).withColumn("size", F.floor(16 * F.log2("n")))
+    many = placed.groupBy("comp", "size").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("blocks"))
+    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    members = checkpoint(placed.join(many, ["comp", "size"]).select("fp", "n", "comp", "size", F.xxhash64("comp", "size", block).alias("group"), "tokens"))
+    # The i-th token from the end has room for i shared ones.
+    prefix = F.slice("tokens", 1, F.greatest(F.lit(0), F.size("tokens") - s.least_size(F.col("n")) + 1).cast("int"))
+    rows = members.select("fp", "n", "comp", "size", "group", F.size("tokens").alias("whole"), F.posexplode(prefix).alias("pos", "token")).withColumn("room", F.col("whole") - F.col("pos")).drop("whole", "pos")
+    # First by token and size alone: is there any row of another component that a row could be linked with?
+    reachable = lambda n, room, least, most: F.least(room, most) >= s.least_overlap(n + F.greatest(least, s.least_size(n)))
+    sizes = rows.groupBy("token", "size").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
+    seen = sizes.groupBy("token").agg(F.collect_list(F.struct("lo", "hi", "least", "most", "room")).alias("sizes"))  # a few hundred sizes at most
+    other = lambda x: ((x["lo"] != F.col("comp")) | (x["hi"] != F.col("comp"))) & (100 * x["most"] >= s.percent * F.col("n")) & (s.percent * x["least"] <= 100 * F.col("n")) & reachable(F.col("n"), F.col("room"), x["least"], x["room"])
+    matrix = checkpoint(rows.join(seen, "token").where(F.exists("sizes", other)).drop("sizes"))
+    groups = matrix.groupBy("token", "comp", "group").agg(F.min("n").alias("g_least"), F.max("n").alias("g_most"), F.max("room").alias("g_room"))
+    query = matrix.select("token", "fp", F.col("comp").alias("q_comp"), F.col("n").alias("q_n"), F.col("room").alias("q_room"))
+    meets = (
         (F.col("q_comp") != F.col("comp"))
         & (100 * F.col("g_most") >= s.percent * F.col("q_n"))
-        & (100 * F.col("q_n") >= s.percent * F.col("g_least"))
-        & (F.least("q_room", "g_room") >= s.least_overlap(F.col("q_n") + F.greatest("g_least", F.col("q_n") * s.percent / 100.0)))
+        & (s.percent * F.col("g_least") <= 100 * F.col("q_n"))
+        & reachable(F.col("q_n"), F.col("q_room"), F.col("g_least"), F.col("g_room"))
     )
-    opened = query.join(checkpoint(groups), "token").where(opens).drop("g_least", "g_most", "g_room")
-    members = matrix.select("token", "comp", "size", F.col("fp").alias("b"), "n", "room")
-    pairs = opened.join(members, ["token", "comp", "size"]).where((F.col("a") < F.col("b")) & (F.least("q_room", "room") >= s.least_overlap(F.col("q_n") + F.col("n"))))
-    return pairs.select("a", "b").distinct()
+    met = checkpoint(query.join(groups.withColumnRenamed("token", "t"), (F.col("token") == F.col("t")) & meets).select("token", "fp", "q_n", "q_room", "group", "g_least"))
+    opened = qualifying(met.groupBy("fp", "group").agg(F.min("g_least").alias("g_least")), sets, members, s)
+    inside = matrix.select(F.col("token").alias("t"), F.col("group").alias("g"), F.col("fp").alias("b"), "n", "room")
+    fits = (F.col("fp") < F.col("b")) & (F.least("q_room", "room") >= s.least_overlap(F.col("q_n") + F.col("n")))
+    pairs = met.join(opened, ["fp", "group"]).join(inside, (F.col("token") == F.col("t")) & (F.col("group") == F.col("g")) & fits)
+    return pairs.select(F.col("fp").alias("a"), "b").distinct()
 
 
 def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s: Similarity = Similarity()) -> DataFrame:
-    """id, n_shingles, component_id (least id of the linked documents) and n_links (linked classes of the document's own)."""
+    """id, fp (of its shingle set; 0 if it is empty), n_shingles, component_id (least id of the documents that links reach)
+    and keeper (whether a row with this id and set is the component's first: least id, then least fp)."""
     sketch = checkpoint(sketches(docs, id_column, text, s))
     rows = sketch.where("hot is null").select("id", "n", "fp")
-    classes = checkpoint(sketch.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
-    likely = checkpoint(thinned(star_pairs(classes), classes, s))
-    edges = checkpoint(verified(likely, docs, classes, id_column, text, s))
+    some = rows.where("n > 0")
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(sketch))
+    wanted = checkpoint(open_classes(docs, text, s, hot))
+    sets = checkpoint(survivors(checkpoint(whole_sets(docs, wanted, some, id_column, text, s, hot)), s))
+    edges = checkpoint(verified(star_pairs(sets, s), sets, s))
     comp = components(edges)
-    prefix = prefixes(docs, text, s, frequent_tokens(sketch))
-    more = checkpoint(thinned(checkpoint(matrix_pairs(prefix, comp, s)), classes, s))
-    late = checkpoint(verified(more, docs, classes, id_column, text, s))
-    edges = edges.union(late).distinct()
+    late = checkpoint(verified(checkpoint(matrix_pairs(sets, comp, s)), sets, s))
     if not late.isEmpty():
-        comp = components(checkpoint(edges))
-    # The least id of each component, then of each class.
-    whole = classes.select("fp", "rep").join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    least = checkpoint(whole.groupBy("comp").agg(F.min("rep").alias("component_id")))
-    links = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    named = checkpoint(whole.join(least, "comp").join(links, "fp", "left").select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    out = rows.where("n > 0").join(named, "fp").select("id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = rows.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        comp = components(edges.union(late))
+    # The least id of each component, then of each class. Most classes have no link: those meet no component.
+    classes = some.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")).join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    classes = checkpoint(classes)
+    heads = classes.groupBy("comp").agg(F.min("first").alias("head"))
+    named = classes.join(heads, "comp").select("fp", "head")
+    keeper = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("fp") == F.col("head.fp"))
+    out = some.join(named, "fp").select("id", "fp", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"), keeper.alias("keeper"))
+    alone = rows.where("n = 0").select("id", "fp", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("keeper"))
     return out.unionByName(alone)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return link(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

@@ -60,7 +60,7 @@ class Settings:
 def _words(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end of each word of each text, and where each text's words begin."""
     starts, ends, first = texts.words()
-    return texts.span_hash(texts.hashed(lower=True), starts, ends), starts, ends, first
+    return texts.span_hash(starts, ends, lower=True), starts, ends, first
 
 
 def _strings(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> list[str]:

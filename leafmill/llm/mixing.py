@@ -18,6 +18,7 @@ a rate like any other and is drawn by the hash of null. Extra columns are carrie
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,7 +57,7 @@ def _word_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     # Marks at the end belong to the sentence, not to the word.
     last = ends - 1
     trim = np.isin(texts.data[last], np.frombuffer(b".,;:!?", np.uint8)) & (ends - starts > 1) if len(ends) else np.zeros(0, bool)
-    buckets = texts.span_hash(texts.hashed(lower=True), starts, ends - trim) & np.uint64(BUCKETS - 1)
+    buckets = texts.span_hash(starts, ends - trim, lower=True) & np.uint64(BUCKETS - 1)
     owner = np.repeat(np.arange(texts.n), np.diff(first))
     pairs = np.unique(owner.astype(np.int64) * BUCKETS + buckets.astype(np.int64))
     return pairs // BUCKETS, pairs % BUCKETS
@@ -203,6 +204,8 @@ def fitted_rates(members: DataFrame, targets: tuple[float, ...], s: Settings = S
         move = np.linalg.solve(moment + 1e-3 * max(np.trace(moment) / k, 1e-9) * np.eye(k), gap)
         moves.append(np.clip(move, -2, 2))
         rate = folded()
+    else:
+        logging.getLogger(__name__).warning("mixing: not converged after %d rounds; largest gap %.5f of the budget", s.rounds, np.abs(gap).max())
     return rate, expected.tolist()
 
 

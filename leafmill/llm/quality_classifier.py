@@ -65,7 +65,7 @@ def features(texts: Texts) -> np.ndarray:
     starts, ends, first = texts.words()
     owner = np.repeat(np.arange(texts.n), n_words)
     size = ends - starts
-    keys = texts.span_hash(texts.hashed(lower=True), starts, ends) ^ (owner.astype(np.uint64) << np.uint64(40))
+    keys = texts.span_hash(starts, ends, lower=True) ^ (owner.astype(np.uint64) << np.uint64(40))
     order = np.lexsort((keys, owner)) if len(keys) else np.zeros(0, np.int64)
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[order][1:] != keys[order][:-1]) | (owner[order][1:] != owner[order][:-1])

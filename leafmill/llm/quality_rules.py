@@ -79,13 +79,12 @@ def judge(texts: Texts, rules: Rules) -> tuple[dict[str, np.ndarray], tuple[np.n
     data, offsets, n = texts.data, texts.offsets, texts.n
     starts, ends, first_word = texts.words()
     n_words = np.diff(first_word)
-    sums = texts.hashed(lower=False)
     doc_of_word = np.repeat(np.arange(n), n_words)
     inside = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=inside[1:])  # code points so far
     points = _sums(inside[ends] - inside[starts])
 
-    hashes = texts.span_hash(sums, starts, ends)
+    hashes = texts.span_hash(starts, ends)
     repeat = np.zeros(len(starts), bool)
     if len(starts) >= 3:
         whole = doc_of_word[2:] == doc_of_word[:-2]
@@ -110,7 +109,7 @@ def judge(texts: Texts, rules: Rules) -> tuple[dict[str, np.ndarray], tuple[np.n
     has = words > 0
     again = np.zeros(len(line_start), bool)
     at = np.flatnonzero(has)
-    again[at] = _repeated(doc_of_line[at], texts.span_hash(sums, line_start[at], line_stop[at]))[1]
+    again[at] = _repeated(doc_of_line[at], texts.span_hash(line_start[at], line_stop[at]))[1]
 
     def inside_lines(flags: np.ndarray) -> np.ndarray:
         s = _sums(flags)

@@ -6,6 +6,7 @@ so memory follows SLICE_BYTES (or one document, if that is longer), not the Arro
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -21,26 +22,13 @@ SLICE_BYTES = 1 << 19
 DELIMITER = np.zeros(256, bool)
 DELIMITER[[0x20, *range(0x09, 0x0E)]] = True
 
-_rng = np.random.default_rng(20240607)
-_BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_CODE_LOWER = _BYTE_CODE[_LOWER]
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64, for i < n."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES * 2)
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return _powers["up"], _powers["down"]
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+_FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_ODD = np.random.default_rng(20240607).integers(1, 1 << 62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -67,19 +55,24 @@ class Texts:
         self.data = data[offsets[0] : offsets[-1]]
         self.n = len(column)
 
-    def hashed(self, lower: bool) -> np.ndarray:
-        """Running sums from which `span_hash` takes the hash of any span."""
-        up, _ = _power_table(len(self.data))
-        codes = (_BYTE_CODE_LOWER if lower else _BYTE_CODE)[self.data]
-        codes *= up[: len(codes)]
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes, out=sums[1:])
-        return sums
-
-    @staticmethod
-    def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = _power_table(len(sums))
-        return mix64((sums[end] - sums[start]) * down[start])
+    def span_hash(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+        """A 64-bit hash of each span of bytes (with A-Z lower-cased, if asked for).
+
+        Eight bytes of all spans at a time are mixed in by a bijection, so two spans of up to eight bytes never share a hash;
+        longer than LONG_SPAN, a span's hash is taken from BLAKE2."""
+        padded = np.zeros(len(self.data) + 8, np.uint8)
+        padded[:-8] = _LOWER[self.data] if lower else self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+        size = end - start
+        h = mix64(size.astype(np.uint64) * _ODD[0] + _ODD[1])
+        left, at = np.flatnonzero((size > 0) & (size <= LONG_SPAN)), 0
+        while len(left):
+            rest = size[left] - at
+            h[left] = mix64((h[left] ^ (eight[start[left] + at] & _FIRST_BYTES[np.minimum(rest, 8)])) * _ODD[2])
+            left, at = left[rest > 8], at + 8
+        for i in np.flatnonzero(size > LONG_SPAN).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8).digest(), "little")
+        return h
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start and end of each word, and for each document where its words begin (one more entry than documents)."""
@@ -151,11 +144,14 @@ def crc_remainder(doc_id: str, by: int) -> Column:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names (spark.checkpoint.dir); a folder of our own only where none is set."""
+    """A reliable checkpoint in the folder that the session names (spark.checkpoint.dir). Where none is named, a folder of
+    our own will do only in local mode: executors on other machines couldn't read it."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if where is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             where = tempfile.mkdtemp(prefix="leafmill-checkpoint-")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from leafmill.llm.jaccard_join import Similarity, _bitmap, components, link, op5_jaccard_join, overlap_bound, shingle_sets
+from leafmill.llm.jaccard_join import Similarity, components, link, op5_jaccard_join, shingle_sets, unions
 from leafmill.llm.textops import Texts
 
 from . import awkward
@@ -95,13 +95,41 @@ def test_awkward_rows(spark):
     assert link(awkward.empty(spark)).count() == 0
 
 
-def test_bitmaps_never_lose_overlap():
+def test_unions_hold_every_token(spark):
     rng = np.random.default_rng(3)
-    for _ in range(200):
-        n, m = rng.integers(1, 400, 2)
-        pool = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
-        a, b = np.unique(rng.choice(pool, n)), np.unique(rng.choice(pool, m))
-        assert overlap_bound(len(a), _bitmap(a), len(b), _bitmap(b)) >= len(np.intersect1d(a, b))
+    sets = [(int(g), [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 50)]) for g in (1, 1, 2, 3, 3, 3)]
+    for r in unions(spark.createDataFrame(sets, "group long, tokens array<long>")).collect():
+        flags = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+        tokens = {x & 32767 for g, row in sets if g == r.group for x in row}
+        assert set(np.flatnonzero(flags).tolist()) == tokens
+
+
+def test_words_alike_in_a_polynomial_hash_differ():
+    # A Thue-Morse word and its complement collide modulo 2**64 whatever the base.
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    tokens, _ = shingle_sets(Texts(pa.array([one, other, one[:64], other[:64], one[:9], other[:9]])), 4)
+    assert len(set(tokens.tolist())) == 6
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(150)]
+    texts = {}
+    for i in range(400):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 8])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+        texts[i] = " ".join(words)
+    check(link(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
+
+
+def test_rows_without_an_id_carry_links(spark):
+    words = [f"w{i}" for i in range(60)]
+    far = lambda *cut: " ".join(f"x{i}" if i in cut else w for i, w in enumerate(words))
+    rows = [(1, far(0)), (None, far()), (2, far(59)), (2, "another text of the same id"), (7, "another text of the same id")]
+    got = link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id or 0, r.n_shingles, r.component_id, r.keeper) for r in got) == [(0, 57, 1, False), (1, 57, 1, True), (2, 3, 2, True), (2, 57, 1, False), (7, 3, 2, False)]
 
 
 def test_sets_count_distinct_shingles():
