@@ -181,8 +181,8 @@ def _levels(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarra
 
 
 def asked(n: Column) -> Column:
-    """How many of its first shingles a set of n asks for in other sets: 3 in 100, 1 at least."""
-    return F.greatest(F.lit(1), F.floor(n * 3 / F.lit(100)))
+    """How many of its first shingles a set of n asks for in other sets: 1 in 20, 1 at least."""
+    return F.greatest(F.lit(1), F.floor(n / F.lit(20)))
 
 
 def open_classes(docs: DataFrame, text: str, s: Similarity, hot) -> DataFrame:
@@ -210,7 +210,7 @@ def open_classes(docs: DataFrame, text: str, s: Similarity, hot) -> DataFrame:
                 owner = np.repeat(np.arange(len(n)), n)
                 order = np.lexsort((mix64(tokens), level, owner))
                 pos = np.arange(len(tokens)) - np.repeat(bounds[:-1], n)
-                first = n - -(-n * s.percent // 100) + np.maximum(1, n * 3 // 100)
+                first = n - -(-n * s.percent // 100) + np.maximum(1, n // 20)
                 inside = (pos < np.repeat(first, n)) & np.repeat(fresh, n)
                 frequent = level[order] > 0
                 met = np.bincount(owner[inside & frequent], minlength=len(n))
@@ -272,21 +272,20 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, rows: DataFrame, id_column: s
 
     # Rows may share an id with rows of other classes: the set's own fingerprint decides.
     sets = source.mapInArrow(run, "fp long, n long, rare array<long>, frequent array<long>, keys array<long>")
-    return sets.join(small(needed.select("fp")), "fp", "left_semi").dropDuplicates(["fp"])
+    sets = checkpoint(sets.join(small(needed.select("fp")), "fp", "left_semi"))
+    # Only rows that repeat both id and text give a set twice: then, and only then, sets are shuffled to keep one.
+    return sets if sets.groupBy("fp").count().where("count > 1").isEmpty() else sets.dropDuplicates(["fp"])
 
 
 def survivors(sets: DataFrame, s: Similarity) -> DataFrame:
     """fp, n, tokens (those that others have too, rare ones first) and keys of the classes that can still reach the threshold."""
     by_token = W.partitionBy("token")
-    sizes = sets.select("fp", "n", F.size("frequent").alias("frequent"))
-    rows = sets.select("fp", F.explode("rare").alias("token"))
-    # Twice: what only sets that went had in common is no longer shared.
-    for _ in range(2):
-        rows = checkpoint(rows.withColumn("met", F.count("*").over(by_token)).where("met > 1"))
-        room = sizes.join(rows.groupBy("fp").agg(F.count("*").alias("rare")), "fp", "left").withColumn("room", F.col("frequent") + F.coalesce("rare", F.lit(0)))
-        alive = checkpoint(room.where(F.col("room") >= s.least_size(F.col("n"))).select("fp"))
-        rows = rows.join(alive, "fp", "left_semi").select("fp", "token")
-    rows = rows.withColumn("met", F.count("*").over(by_token)).where("met > 1")
+    shared = lambda d: d.withColumn("met", F.count("*").over(by_token)).where("met > 1")
+    rows = checkpoint(shared(sets.select("fp", F.explode("rare").alias("token"))))
+    room = sets.select("fp", "n", F.size("frequent").alias("frequent")).join(rows.groupBy("fp").agg(F.count("*").alias("rare")), "fp", "left")
+    alive = checkpoint(room.where(F.col("frequent") + F.coalesce("rare", F.lit(0)) >= s.least_size(F.col("n"))).select("fp"))
+    # Once more: what only sets that went had in common is no longer shared.
+    rows = shared(rows.join(alive, "fp", "left_semi").select("fp", "token"))
     ordered = rows.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("met", "token"))).alias("rare"))  # of one set: bounded by its text
     out = sets.join(alive, "fp", "left_semi").drop("rare").join(ordered, "fp", "left")
     tokens = F.concat(F.coalesce(F.col("rare.token"), F.array().cast("array<long>")), F.col("frequent"))
@@ -413,7 +412,7 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s: Simi
     some = rows.where("n > 0")
     hot = docs.sparkSession.sparkContext.broadcast(frequent_tokens(sketch))
     wanted = checkpoint(open_classes(docs, text, s, hot))
-    sets = checkpoint(survivors(checkpoint(whole_sets(docs, wanted, some, id_column, text, s, hot)), s))
+    sets = checkpoint(survivors(whole_sets(docs, wanted, some, id_column, text, s, hot), s))
     edges = checkpoint(verified(star_pairs(sets, s), sets, s))
     comp = components(edges)
     late = checkpoint(verified(checkpoint(matrix_pairs(sets, comp, s)), sets, s))
