@@ -1,18 +1,19 @@
 """Language-model scoring: word frequencies, and a causal self-attention model over subword ids.
 
 Base: how often each word occurs in all training texts is counted by Spark. The HOT_WORDS most frequent words (a bound that
-doesn't grow) are broadcast; a text's other words are joined with the whole count table by shuffle, salted, so every word
-gets its exact count.
+doesn't grow) are broadcast; a text's other words are joined with the whole count table by shuffle, so every word gets its
+exact count.
 
 Model: a word is cut into the subwords of a public tokenizer. A layer of causal self-attention over the embeddings of the
 last CONTEXT subword ids, with a bias for each distance, gives a context vector. The next id is predicted by a two-level
 softmax: first its group, then the id within the group, and both levels depend on the context. Groups are cut from the ids
 in order of frequency, so often met groups are small. The weights start as the frequencies of groups and ids in all
-training texts (smoothed) and are trained in numpy inside Spark tasks, each round on every window of every training
-document; Spark averages the tasks' weights by the windows they saw, in a few rounds.
+training texts (smoothed) and are trained in numpy inside Spark tasks on every id of every training text, in one round;
+Spark averages the tasks' weights by the ids they saw. So the last digits of `score` hang on how rows are dealt to tasks.
 
-Scoring cuts a text into windows of CONTEXT subwords as context and STRIDE to score, so that each subword is scored once;
-a whole batch of windows goes through masked attention at once. The text ends with one end symbol, which is scored too.
+Scoring goes over overlapping windows: each part of a line of ids is led by the CONTEXT - 1 ids before it, so every id is
+scored once and with its whole context, and attention for a whole part is masked at texts' starts. A text ends with one
+end symbol, which is scored too.
 
 Defined results: a null text counts as empty: only its end is scored. With no training texts nothing is known, and all
 probabilities are the smoothed uniform ones. Rows with a null id are scored and learned from as not held out (their
@@ -35,11 +36,11 @@ from .sentencepiece_codec import public_model
 from .textops import Texts, checkpoint, crc_remainder, quoted, slices, table
 
 HOT_WORDS = 1 << 18
-SALTS = 8
-CONTEXT = 16
-STRIDE = 16
+HOT_BYTES = 64  # longer words are never broadcast
+CONTEXT = 8
 WIDTH = 8
-FIRST_GROUP, GROWTH = 16, 1.2  # ids in the first group of the softmax, and how much larger each next one is
+WINDOW = 1 << 14  # ids scored together
+FIRST_GROUP, GROWTH = 12, 1.35  # ids in the first group of the softmax, and how much larger each next one is
 LOGITS = 1 << 20  # of one group, held at once
 END = 2  # the tokenizer's own end symbol
 _END_WORD = np.uint64(0)
@@ -47,10 +48,9 @@ _END_WORD = np.uint64(0)
 
 @dataclass(frozen=True)
 class Settings:
-    every: int = 1  # train on one in so many documents, by hash; 1: on all
-    rounds: int = 2
-    rate: float = 0.02
-    batch: int = 256
+    rounds: int = 1
+    rate: float = 0.2
+    batch: int = 3 << 12  # ids of a step
     smoothing: float = 0.1
 
 
@@ -100,7 +100,8 @@ def word_counts(texts_only: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, limit: int = HOT_WORDS) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Sorted words, their counts and spellings: all words over the least count that keeps them within `limit`."""
+    """Sorted words, their counts and spellings: all short words over the least count that keeps them within `limit`."""
+    counts = counts.where(F.octet_length("spelling") <= HOT_BYTES)
     level = F.floor(F.log2("n") * 8).cast("int")
     levels = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)
     total, least = 0, 0
@@ -156,9 +157,8 @@ def subword_counts(counts: DataFrame, model_file: str) -> np.ndarray:
 
 
 # ---- the attention model -----------------------------------------------------------------------------------------
-
-#: In place of an id: nothing stands there. As an index it is the last row of the embeddings.
-NOTHING = -1
+#
+# All arrays of activations are laid out by component, then position: each step is a few passes over long rows.
 
 
 def group_bounds(ids: int) -> np.ndarray:
@@ -172,7 +172,7 @@ def group_bounds(ids: int) -> np.ndarray:
 
 def _shapes(ids: int) -> dict[str, tuple[int, ...]]:
     square, groups = (WIDTH, WIDTH), len(group_bounds(ids)) - 1
-    return {"embed": (ids + 1, WIDTH), "query": square, "key": square, "value": square, "skip": square, "distance": (CONTEXT + STRIDE,), "out": (WIDTH, groups), "level": (groups,), "inner": (ids, WIDTH), "bias": (ids,)}
+    return {"embed": (WIDTH, ids + 1), "query": square, "key": square, "value": square, "skip": square, "distance": (CONTEXT,), "out": (groups, WIDTH), "level": (groups,), "inner": (ids, WIDTH), "bias": (ids,)}
 
 
 def _size(ids: int) -> int:
@@ -180,6 +180,7 @@ def _size(ids: int) -> int:
 
 
 def unpack(weights: np.ndarray) -> dict[str, np.ndarray]:
+    """Views of the flat weights, by name."""
     out, at = {}, 0
     for name, shape in _shapes(bisect_left(range(1 << 24), len(weights), lo=1, key=_size)).items():
         size = int(np.prod(shape))
@@ -203,181 +204,199 @@ def first_weights(counts: np.ndarray) -> np.ndarray:
     return pack(parts)
 
 
-def windows(lines: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of CONTEXT + STRIDE ids, the last STRIDE of which are to be predicted (NOTHING where there is none), and
-    which positions of the flat result belong to a text, in order."""
-    counts = [-(-len(c) // STRIDE) for c in lines]
-    out = np.full((sum(counts), CONTEXT + STRIDE), NOTHING, np.int32)
-    at = 0
-    for c, n in zip(lines, counts, strict=True):
-        line = np.full(CONTEXT + n * STRIDE, NOTHING, np.int32)
-        line[CONTEXT : CONTEXT + len(c)] = c
-        out[at : at + n] = np.lib.stride_tricks.sliding_window_view(line, CONTEXT + STRIDE)[::STRIDE]
-        at += n
-    return out, out[:, CONTEXT:] != NOTHING
-
-
-_ROWS = np.arange(STRIDE)[:, None] + CONTEXT - 1  # position that predicts each target: the one before it
-_DISTANCE = _ROWS - np.arange(CONTEXT + STRIDE - 1)[None, :]
-_CAUSAL = (_DISTANCE >= 0) & (_DISTANCE < CONTEXT)
-
-
-def _attend(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """x: windows. Gives the context vector of each target, and what the gradient needs."""
-    seen = x[:, :-1]
-    e = w["embed"][seen]
-    q, k, v = e[:, CONTEXT - 1 :] @ w["query"], e @ w["key"], e @ w["value"]
-    bias = np.where(_CAUSAL, w["distance"][np.clip(_DISTANCE, 0, CONTEXT - 1)], -1e9).astype(e.dtype)
-    a = q @ k.transpose(0, 2, 1)
-    a *= 1 / WIDTH**0.5
-    a += bias
-    if (seen == NOTHING).any():
-        a[(seen == NOTHING)[:, None, :] & (_DISTANCE > 0)[None]] = -1e9
-    a -= a.max(axis=2, keepdims=True)
+@dataclass
+class Line:
+    """Texts' ids end to end: what is to be predicted, the id ahead of it (`nothing` at a text's start), and how many
+    ids of its text stand ahead."""
+
+    target: np.ndarray
+    ahead: np.ndarray
+    pos: np.ndarray
+
+    @classmethod
+    def of(cls, ids: np.ndarray, cuts: np.ndarray, nothing: int) -> Line:
+        starts = np.repeat(cuts[:-1], np.diff(cuts))
+        pos = np.arange(len(ids)) - starts
+        ahead = np.empty_like(ids)
+        ahead[1:] = ids[:-1]
+        ahead[pos == 0] = nothing
+        return cls(ids, ahead, pos.astype(np.int32))
+
+    def windows(self, size: int) -> Iterator[tuple[Line, int]]:
+        """Parts that predict at most `size` ids each, and how many ids ahead of these are there as context only: so every
+        id is predicted once, with its whole context."""
+        for at in range(0, len(self.target), size):
+            begin = max(at - CONTEXT + 1, 0)
+            part = slice(begin, at + size)
+            yield Line(self.target[part], self.ahead[part], self.pos[part]), at - begin
+
+
+def _attend(w: dict[str, np.ndarray], x: Line) -> tuple[np.ndarray, ...]:
+    """The context vector of each position, and what the gradient needs. A position sees itself and up to CONTEXT - 1
+    positions before it in its own text; the others are masked."""
+    n = len(x.ahead)
+    e = np.take(w["embed"], x.ahead, axis=1)
+    q, k, v = w["query"] @ e, w["key"] @ e, w["value"] @ e
+    q *= WIDTH**-0.5
+    a = np.full((CONTEXT, n), -1e9, e.dtype)
+    for d in range(min(CONTEXT, n)):
+        s = np.einsum("ij,ij->j", q[:, d:], k[:, : n - d])
+        s += w["distance"][d]
+        s[x.pos[d:] < d] = -1e9
+        a[d, d:] = s
+    a -= a.max(axis=0)
     np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    return a @ v + e[:, CONTEXT - 1 :] @ w["skip"], seen, e, q, k, v, a
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=-1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=-1, keepdims=True))
-    return z
-
-
-def _forward(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Log probabilities of all ids at each target: the definition of the model, for few ids only."""
-    h, *rest = _attend(w, x)
-    bounds = group_bounds(len(w["bias"]))
-    level = _log_softmax(h @ w["out"] + w["level"])
-    log_p = [level[..., [g]] + _log_softmax(h @ w["inner"][a:b].T + w["bias"][a:b]) for g, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))]
-    return np.concatenate(log_p, axis=2), *rest
+    a /= a.sum(axis=0)
+    h = w["skip"] @ e
+    for d in range(min(CONTEXT, n)):
+        h[:, d:] += a[d, d:] * v[:, : n - d]
+    return h, e, q, k, v, a
 
 
-def _in_groups(target: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int, np.ndarray]]]:
-    """Group of each target; and first id, end and rows of each group met, LOGITS figures at most at a time."""
+def _in_groups(target: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, slice]]]:
+    """Group of each target; an order of the targets by group; and first id, end and part of that order of each group met,
+    LOGITS figures at most at a time."""
     group = np.searchsorted(bounds, target, side="right") - 1
-    order = np.argsort(group, kind="stable")
-    cuts = np.searchsorted(group[order], np.arange(len(bounds)))
-
-    def parts() -> Iterator[tuple[int, int, np.ndarray]]:
-        for g in np.flatnonzero(np.diff(cuts)):
-            a, b = int(bounds[g]), int(bounds[g + 1])
-            step = max(LOGITS // (b - a), 1)
-            for i in range(cuts[g], cuts[g + 1], step):
-                yield a, b, order[i : min(i + step, cuts[g + 1])]
-
-    return group, parts()
-
-
-def class_log_p(w: dict[str, np.ndarray], x: np.ndarray, block: int = 512) -> np.ndarray:
-    """Log probability of each target (0 where there is none): the same as `_forward`, but only a target's own group is
-    looked at."""
-    w = {name: part.astype(np.float32, copy=False) for name, part in w.items()}
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(group[order], np.arange(len(bounds))).tolist()
+    parts = []
+    for a, b, i, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts[:-1], cuts[1:], strict=True):
+        step = max(LOGITS // (b - a), 1)
+        parts += [(a, b, slice(j, min(j + step, stop))) for j in range(i, stop, step)]
+    return group, order, parts
+
+
+def _softmax(z: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """z: choices x positions, changed to its exponentials; their sums; and the log probability of the right choice."""
+    if z.max(initial=0) > 60:
+        z -= z.max(axis=0)
+    log_p = z[right, np.arange(len(right))]
+    np.exp(z, out=z)
+    total = z.sum(axis=0)
+    log_p -= np.log(total)
+    return z, total, log_p
+
+
+def all_log_p(w: dict[str, np.ndarray], x: Line) -> np.ndarray:
+    """ids x positions, log probabilities: the definition of the model, for few ids only."""
+    h = _attend(w, x)[0]
+    log_softmax = lambda z: z - np.log(np.exp(z).sum(axis=0))
     bounds = group_bounds(len(w["bias"]))
-    out = np.zeros((len(x), STRIDE), np.float32)
-    for i in range(0, len(x), block):
-        part = x[i : i + block]
-        real = part[:, CONTEXT:] != NOTHING
-        h, target = _attend(w, part)[0][real], part[:, CONTEXT:][real]
-        group, parts = _in_groups(target, bounds)
-        log_p = np.take_along_axis(_log_softmax(h @ w["out"] + w["level"]), group[:, None], axis=1)[:, 0]
-        for a, b, rows in parts:
-            z = h[rows] @ w["inner"][a:b].T
-            z += w["bias"][a:b]
-            log_p[rows] += _log_softmax(z)[np.arange(len(rows)), target[rows] - a]
-        out[i : i + block][real] = log_p
-    return out
-
-
-def gradient(w: dict[str, np.ndarray], x: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean log loss over the targets, and its gradient."""
-    vectors, seen, e, q, k, v, a = _attend(w, x)
-    real = x[:, CONTEXT:] != NOTHING
-    h, target = vectors[real], x[:, CONTEXT:][real]
-    n = max(len(target), 1)
-    group, parts = _in_groups(target, group_bounds(len(w["bias"])))
-    g = {name: np.zeros_like(w[name]) for name in ("distance", "inner", "bias")}
+    level = log_softmax(w["out"] @ h + w["level"][:, None])
+    return np.concatenate([level[g] + log_softmax(w["inner"][a:b] @ h + w["bias"][a:b, None]) for g, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))])
+
+
+def target_log_p(w: dict[str, np.ndarray], line: Line) -> np.ndarray:
+    """Log probability of each target: the same as `all_log_p`, but only a target's own group is looked at."""
+    out, bounds = [np.zeros(0, np.float32)], group_bounds(len(w["bias"]))
+    for x, skip in line.windows(WINDOW):
+        h, target = _attend(w, x)[0][:, skip:], x.target[skip:]
+        group, order, parts = _in_groups(target, bounds)
+        z = w["out"] @ h
+        z += w["level"][:, None]
+        log_p = _softmax(z, group)[2]
+        h, target, inner = h[:, order], target[order], np.empty_like(log_p)
+        for a, b, at in parts:
+            z = w["inner"][a:b] @ h[:, at]
+            z += w["bias"][a:b, None]
+            inner[at] = _softmax(z, target[at] - a)[2]
+        log_p[order] += inner
+        out.append(log_p)
+    return np.concatenate(out)
+
+
+def gradient(w: dict[str, np.ndarray], x: Line, skip: int, g: dict[str, np.ndarray]) -> float:
+    """Mean log loss over the targets (the first `skip` are context only); its gradient is put into `g`, which holds zeros."""
+    whole, e, q, k, v, a = _attend(w, x)
+    n, size = len(x.target), max(len(x.target) - skip, 1)
+    h, target = whole[:, skip:], x.target[skip:]
+    group, order, parts = _in_groups(target, group_bounds(len(w["bias"])))
 
     def last_layer(z: np.ndarray, right: np.ndarray) -> tuple[float, np.ndarray]:
-        log_p = _log_softmax(z)
-        at = np.arange(len(right))
-        loss = -float(log_p[at, right].sum(dtype=np.float64)) / n
-        dz = np.exp(log_p, out=log_p)
-        dz[at, right] -= 1
-        dz /= n
-        return loss, dz
-
-    loss, dz = last_layer(h @ w["out"] + w["level"], group)
-    g["out"], g["level"], dh = h.T @ dz, dz.sum(axis=0), dz @ w["out"].T
-    for first, end, rows in parts:
-        more, dz = last_layer(h[rows] @ w["inner"][first:end].T + w["bias"][first:end], target[rows] - first)
+        p, total, log_p = _softmax(z, right)
+        total *= size
+        p /= total
+        p[right, np.arange(len(right))] -= p.dtype.type(1 / size)
+        return -float(log_p.sum(dtype=np.float64)) / size, p
+
+    loss, dz = last_layer(w["out"] @ h + w["level"][:, None], group)
+    g["out"][:], g["level"][:], dh = dz @ h.T, dz.sum(axis=1), w["out"].T @ dz
+    ordered, right, inner = h[:, order], target[order], np.empty_like(dh)
+    for first, end, at in parts:
+        z = w["inner"][first:end] @ ordered[:, at]
+        z += w["bias"][first:end, None]
+        more, dz = last_layer(z, right[at] - first)
         loss += more
-        g["inner"][first:end] += dz.T @ h[rows]
-        g["bias"][first:end] += dz.sum(axis=0)
-        dh[rows] += dz @ w["inner"][first:end]
-    d = np.zeros_like(vectors)
-    d[real] = dh
-    ds = d @ v.transpose(0, 2, 1)
-    ds -= (a * ds).sum(axis=2, keepdims=True)
+        g["inner"][first:end] += dz @ ordered[:, at].T
+        g["bias"][first:end] += dz.sum(axis=1)
+        inner[:, at] = w["inner"][first:end].T @ dz
+    dh[:, order] += inner
+    d = np.zeros_like(whole)
+    d[:, skip:] = dh
+    ds = np.zeros_like(a)
+    dq, dk, dv = np.zeros_like(q), np.zeros_like(k), np.zeros_like(v)
+    for i in range(min(CONTEXT, n)):
+        ds[i, i:] = np.einsum("ij,ij->j", d[:, i:], v[:, : n - i])
+        dv[:, : n - i] += a[i, i:] * d[:, i:]
+    ds -= np.einsum("ij,ij->j", a, ds)
     ds *= a
-    np.add.at(g["distance"], np.clip(_DISTANCE, 0, CONTEXT - 1)[_CAUSAL], ds.sum(axis=0)[_CAUSAL])
-    ds *= 1 / WIDTH**0.5
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ d
-    flat = lambda z: z.reshape(-1, WIDTH)
-    last = flat(e[:, CONTEXT - 1 :]).T
-    g["query"], g["skip"], g["key"], g["value"] = last @ flat(dq), last @ flat(d), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ w["key"].T + dv @ w["value"].T
-    de[:, CONTEXT - 1 :] += dq @ w["query"].T + d @ w["skip"].T
-    at = (seen % len(w["embed"])).ravel()
-    g["embed"] = np.stack([np.bincount(at, column, len(w["embed"])) for column in flat(de).T], axis=1).astype(e.dtype)
-    return loss, g
+    g["distance"][:] = ds.sum(axis=1)
+    for i in range(min(CONTEXT, n)):
+        dq[:, i:] += ds[i, i:] * k[:, : n - i]
+        dk[:, : n - i] += ds[i, i:] * q[:, i:]
+    dq *= WIDTH**-0.5
+    g["query"][:], g["key"][:], g["value"][:], g["skip"][:] = dq @ e.T, dk @ e.T, dv @ e.T, d @ e.T
+    de = w["query"].T @ dq + w["key"].T @ dk + w["value"].T @ dv + w["skip"].T @ d
+    for row, to in zip(de, g["embed"], strict=True):
+        to[:] = np.bincount(x.ahead, row, len(to))
+    return loss
 
 
 BLOCK = 1024  # weights that Spark adds up together
 
 
-def trained(texts_only: DataFrame, weights: np.ndarray, place: np.ndarray, model_file: str, s: Settings) -> np.ndarray:
-    """One round: every task trains on its own windows from the same weights; the results are averaged by windows seen.
+class Learner:
+    """Steps scaled by each weight's own past gradients (Adagrad); changes the flat weights in place."""
+
+    def __init__(self, weights: np.ndarray, s: Settings) -> None:
+        self.flat, self.w, self.s = weights, unpack(weights), s
+        self.square = np.full_like(weights, 1e-10)
+        self.slope = np.zeros_like(weights)
+        self.g = unpack(self.slope)
+
+    def learn(self, line: Line) -> None:
+        for x, skip in line.windows(self.s.batch):
+            self.slope.fill(0)
+            gradient(self.w, x, skip, self.g)
+            self.square += self.slope * self.slope
+            self.slope /= np.sqrt(self.square)
+            self.slope *= np.float32(self.s.rate)
+            self.flat -= self.slope
+
+
+def trained(texts_only: DataFrame, weights: np.ndarray, lexicons, place: np.ndarray, model_file: str, s: Settings) -> np.ndarray:
+    """One round: every task learns from all of its texts from the same weights; the results are averaged by ids seen.
 
-    texts_only: a column `text`. Each task returns the blocks of weights that it changed, as differences; Spark adds them up
-    before anything reaches the driver."""
-    shared = texts_only.sparkSession.sparkContext.broadcast((weights.astype(np.float32), place))
+    texts_only: a column `text`; lexicons: broadcast, of frequent words. Each task returns the blocks of weights that it
+    changed, as differences; Spark adds them up before anything reaches the driver."""
+    shared = texts_only.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, place = shared.value
-        w = unpack(start.copy())
-        m = {name: np.zeros_like(part) for name, part in w.items()}
-        u = {name: np.zeros_like(part) for name, part in w.items()}
-        steps = seen = 0
+        start = shared.value
+        learner, seen = Learner(start.copy(), s), 0
+        reader = Reader(lexicons.value, place, model_file)
         for batch in batches:
-            for part in slices(batch, "text", 1 << 18):
-                texts = Texts(part.column("text"))
-                hashes, starts, ends, first = _words(texts)
-                _, where, which = np.unique(hashes, return_index=True, return_inverse=True)
-                own = Lexicon(place, model_file, [*_strings(texts, starts[where], ends[where]), None])
-                line, cuts = lines([own], np.insert(which, first[1:], len(where)), first + np.arange(len(first)))
-                x, _ = windows([line[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
-                x = x[np.random.default_rng(len(x)).permutation(len(x))]
-                for i in range(0, len(x), s.batch):
-                    _, g = gradient(w, x[i : i + s.batch])
-                    steps += 1
-                    rate = s.rate / np.sqrt(1 + steps / 100) / (1 - 0.9**steps)
-                    for name in w:
-                        # Only rows with a gradient move: most ids aren't in a batch.
-                        rows = np.flatnonzero(g[name].reshape(len(g[name]), -1).any(axis=1))
-                        d = g[name][rows]
-                        m[name][rows] = mean = 0.9 * m[name][rows] + 0.1 * d
-                        u[name][rows] = square = 0.99 * u[name][rows] + 0.01 * d * d
-                        w[name][rows] -= np.float32(rate) * mean / (np.sqrt(square / np.float32(1 - 0.99**steps)) + np.float32(1e-8))
-                seen += len(x)
+            for part in slices(batch, "text"):
+                line, _ = reader.line(Texts(part.column("text")))
+                learner.learn(line)
+                seen += len(line.target)
         if seen:
-            moved = pack(w) - start
+            moved = learner.flat - start
             moved = np.append(moved, np.zeros(-len(moved) % BLOCK, np.float32)).reshape(-1, BLOCK)
             at = np.flatnonzero(moved.any(axis=1))
-            # Block -1 only tells how many windows there were.
+            # Block -1 only tells how many ids there were.
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(at, -1).astype(np.int32)), pa.array([*[(moved[i] * seen).astype(np.float64).tobytes() for i in at], b""], pa.binary()), pa.array(np.full(len(at) + 1, float(seen)))],
+                [pa.array(np.append(at, -1).astype(np.int32)), pa.array([*[(moved[i] * float(seen)).astype(np.float64).tobytes() for i in at], b""], pa.binary()), pa.array(np.full(len(at) + 1, float(seen)))],
                 names=["i", "w", "n"],
             )
 
@@ -395,23 +414,42 @@ def trained(texts_only: DataFrame, weights: np.ndarray, place: np.ndarray, model
 
 
 class Lexicon:
-    """Places of words' subwords, end to end."""
+    """Words (sorted hashes) and the places of their subwords, end to end."""
 
-    def __init__(self, place: np.ndarray, model_file: str, words: list[str | None]) -> None:
-        ids, self.sizes = subwords(model_file, words)
+    def __init__(self, words: np.ndarray, spellings: list[str | None], place: np.ndarray, model_file: str) -> None:
+        self.words = words
+        ids, self.sizes = subwords(model_file, spellings)
         self.places = place[ids]
 
 
-def lines(lexicons: list[Lexicon], words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """words: numbers in the lexicons, one after another, of all texts' words; first: where each text's begin. Gives the
-    places of the subwords of all texts and where each text's begin."""
-    sizes = np.concatenate([x.sizes for x in lexicons])
-    places = np.concatenate([x.places for x in lexicons])
-    starts = np.cumsum(sizes) - sizes
-    size = sizes[words]
-    ends = np.cumsum(size)
-    line = places[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[words] - (ends - size), size)]
-    return line, np.concatenate([[0], ends])[first]
+class Reader:
+    """Turns texts into lines of places, with a lexicon of frequent words; others are cut slice by slice."""
+
+    def __init__(self, frequent: Lexicon, place: np.ndarray, model_file: str) -> None:
+        self.frequent, self.place, self.model_file = frequent, place, model_file
+        self.end = Lexicon(np.zeros(1, np.uint64), [None], place, model_file)
+
+    def line(self, texts: Texts) -> tuple[Line, dict[str, np.ndarray]]:
+        """The texts' line, each with its end symbol; and hashes, at (place in the lexicon), known (whether it is there),
+        first (where each text's words begin), cuts (where its ids do)."""
+        hashes, starts, ends, first = _words(texts)
+        words = self.frequent.words
+        at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
+        known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
+        rest = np.flatnonzero(~known)
+        found, where, which = np.unique(hashes[rest], return_index=True, return_inverse=True)
+        own = Lexicon(found, _strings(texts, starts[rest[where]], ends[rest[where]]), self.place, self.model_file)
+        number = at.astype(np.int64)
+        number[rest] = len(words) + which
+        number = np.insert(number, first[1:], len(words) + len(found))
+        lexicons = (self.frequent, own, self.end)
+        sizes, places = (np.concatenate([getattr(x, name) for x in lexicons]) for name in ("sizes", "places"))
+        begin = np.cumsum(sizes) - sizes
+        size = sizes[number]
+        stop = np.cumsum(size)
+        ids = places[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[number] - (stop - size), size)]
+        cuts = np.concatenate([[0], stop])[first + np.arange(len(first))]
+        return Line.of(ids, cuts, len(self.place)), {"hashes": hashes, "at": at, "known": known, "first": first, "cuts": cuts}
 
 
 @dataclass
@@ -420,29 +458,25 @@ class Model:
     place: np.ndarray  # of each subword id in the order of frequency
     model_file: str
 
-    def lexicon(self, words: list[str | None]) -> Lexicon:
-        return Lexicon(self.place, self.model_file, words)
-
-    def log10_p(self, lexicons: list[Lexicon], words: np.ndarray, first: np.ndarray) -> np.ndarray:
-        line, cuts = lines(lexicons, words, first)
-        x, real = windows([line[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
-        sums = np.concatenate([[0.0], np.cumsum(class_log_p(unpack(self.weights), x)[real].astype(np.float64))])
+    def log10_p(self, line: Line, cuts: np.ndarray) -> np.ndarray:
+        """Of each text."""
+        sums = np.concatenate([[0.0], np.cumsum(target_log_p(unpack(self.weights), line).astype(np.float64))])
         return np.diff(sums[cuts]) / np.log(10)
 
 
-def fit(docs: DataFrame, counts: DataFrame, text: str, id_column: str, model_file: str | None = None, s: Settings = Settings()) -> Model:
-    """Learn from all rows of `docs`, whose word counts are given."""
+def fit(docs: DataFrame, counts: DataFrame, text: str, model_file: str | None = None, s: Settings = Settings()):
+    """Learn from all rows of `docs`, whose word counts are given; also gives the frequent words' broadcast lexicon."""
     model_file = model_file or public_model()
     pieces = subword_counts(counts, model_file)
     order = np.argsort(-pieces, kind="stable")
     place = np.empty(len(pieces), np.int32)
     place[order] = np.arange(len(pieces))
+    words, n, spellings = most_frequent(counts)
+    frequent = docs.sparkSession.sparkContext.broadcast(Lexicon(words, spellings, place, model_file))  # HOT_WORDS short words at most
     weights = first_weights(pieces[order] + s.smoothing)
-    texts = docs.select(quoted(text).cast("string").alias("text"), F.xxhash64(quoted(id_column).cast("string")).alias("h"))
-    chosen = texts.where(F.pmod("h", F.lit(s.every)) == 0).select("text")
     for _ in range(s.rounds):
-        weights = trained(chosen, weights, place, model_file, s)
-    return Model(weights.astype(np.float32), place, model_file)
+        weights = trained(docs.select(quoted(text).cast("string").alias("text")), weights, frequent, place, model_file, s)
+    return Model(weights.astype(np.float32), place, model_file), frequent, n
 
 
 # ---- scoring -----------------------------------------------------------------------------------------------------
@@ -453,30 +487,23 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
     context = docs.sparkSession.sparkContext
     counts = checkpoint(word_counts(training.select(quoted(text).cast("string").alias("text"))))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    words, n, spellings = most_frequent(counts)
-    fitted = fit(training, counts, text, id_column, s=s)
-    # HOT_WORDS words at most, and a vocabulary's worth of figures.
-    hot = context.broadcast((words, n, fitted.lexicon(spellings)))
-    model = context.broadcast(fitted)
+    fitted, lexicon, frequent_counts = fit(training, counts, text, s=s)
+    model, hot_counts = context.broadcast(fitted), context.broadcast(frequent_counts)
+    end_count = int(counts.where(F.col("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     floor = np.log10(total + 0.1 * (distinct + 1))
     source = docs.select(quoted(id_column).alias("id"), quoted(text).cast("string").alias("text"))
     rare_type = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, frequent = hot.value
-        logs = np.log10(n + 0.1)
-        end = int(np.searchsorted(words, _END_WORD))
-        end_count = int(n[end]) if end < len(words) and words[end] == _END_WORD else 0
-        last = model.value.lexicon([None])
+        logs = np.log10(hot_counts.value + 0.1)
+        reader = Reader(lexicon.value, model.value.place, model.value.model_file)
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = Texts(part.column("text"))
-                hashes, starts, ends, first = _words(texts)
+                line, x = reader.line(Texts(part.column("text")))
+                hashes, known, first = x["hashes"], x["known"], x["first"]
                 sizes = np.diff(first)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-                known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-                base = np.bincount(owner[known], logs[at[known]], len(sizes)) + np.log10(end_count + 0.1)
+                base = np.bincount(owner[known], logs[x["at"][known]], len(sizes)) + np.log10(end_count + 0.1)
                 rest = np.flatnonzero(~known)
                 order = rest[np.lexsort((hashes[rest], owner[rest]))]
                 new = np.ones(len(order), bool)
@@ -485,20 +512,13 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
                 times = np.diff(np.append(cut, len(order)))
                 rare = pa.StructArray.from_arrays([pa.array(hashes[order[cut]].view(np.int64)), pa.array(times.astype(np.int32))], names=["word", "n"])
                 bounds = np.searchsorted(owner[order[cut]], np.arange(len(sizes) + 1))
-                # The model: places of all words in the broadcast lexicon, the one of this slice's rare words, and the end.
-                _, where, which = np.unique(hashes[rest], return_index=True, return_inverse=True)
-                own = model.value.lexicon(_strings(texts, starts[rest[where]], ends[rest[where]]))
-                place = at.astype(np.int64)
-                place[rest] = len(words) + which
-                place = np.insert(place, first[1:], len(words) + len(where))
-                scores = model.value.log10_p([frequent, own, last], place, first + np.arange(len(first)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id"),
                         pa.array(sizes.astype(np.int64) + 1),
                         pa.array(np.bincount(owner[known], minlength=len(sizes)).astype(np.int64) + (end_count > 0)),
                         pa.array(base),
-                        pa.array(scores),
+                        pa.array(model.value.log10_p(line, x["cuts"])),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rare).cast(rare_type),
                     ],
                     names=["id", "n_tokens", "known", "base", "score", "rare"],
@@ -507,11 +527,10 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
     id_type = source.schema["id"].dataType.simpleString()
     rows = source.mapInArrow(run, f"id {id_type}, n_tokens long, known long, base double, score double, rare array<struct<word:long,n:int>>")
     rows = checkpoint(rows.withColumn("row_id", F.monotonically_increasing_id()))
+    # Rare words only: those the broadcast left out. One with many askers (as no training text knows it) is a skewed key of
+    # a left join, which Spark splits.
     asked = rows.select("row_id", F.explode("rare").alias("r")).select("row_id", "r.word", "r.n")
-    # Rare words only: those the broadcast left out. A word with many askers (unknown to all training texts) is salted.
-    asked = asked.withColumn("salt", F.pmod("row_id", F.lit(SALTS)))
-    table_of_counts = counts.select("word", F.col("n").alias("c")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    told = asked.join(table_of_counts, ["word", "salt"], "left")
+    told = asked.join(counts.select("word", F.col("n").alias("c")), "word", "left")
     per_row = told.groupBy("row_id").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"))
     out = rows.drop("rare").join(per_row, "row_id", "left")
     return out.select(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from leafmill.llm import lm_scoring as lm
-from leafmill.llm.lm_scoring import CONTEXT, NOTHING, STRIDE, class_log_p, first_weights, gradient, op9_lm_scoring, pack, score, unpack, windows
+from leafmill.llm.lm_scoring import CONTEXT, Line, all_log_p, first_weights, gradient, op9_lm_scoring, score, target_log_p, unpack
 
 from . import awkward
 
@@ -39,62 +39,76 @@ def test_base_against_brute_force(spark, sf, monkeypatch, hot):
     check_base(got, [docs[r.doc_id] for r in got], [t for i, t in docs.items() if not held(i)])
 
 
-def test_windows_score_each_position_once():
-    rng = np.random.default_rng(1)
-    texts = [rng.integers(0, 30, n) for n in (1, 15, 16, 17, 100)]
-    x, real = windows(texts)
-    assert x.shape[1] == CONTEXT + STRIDE
-    assert (x[:, CONTEXT:][real] == np.concatenate(texts)).all()
+IDS = 40
 
 
-def test_attention_is_causal_and_the_same_in_any_window():
-    rng = np.random.default_rng(2)
-    w = unpack(first_weights(rng.random(32)))
-    text = rng.integers(0, 31, 90)
-    x, real = windows([text])
-    whole = class_log_p(w, x)[real]
-    later = text.copy()
-    later[60:] = (later[60:] + 3) % 31
-    assert np.allclose(class_log_p(w, windows([later])[0])[real][:60], whole[:60], atol=1e-5)
-    for at in (5, 16, 40, 89):  # position `at` from a window of its own, with as much context
-        line = np.full(CONTEXT + STRIDE, NOTHING)
-        begin = at // STRIDE * STRIDE
-        line[: CONTEXT + STRIDE] = np.concatenate([np.full(CONTEXT, NOTHING), text, np.full(STRIDE, NOTHING)])[begin : begin + CONTEXT + STRIDE]
-        assert class_log_p(w, line[None])[0, at - begin] == pytest.approx(whole[at], abs=1e-4)
-
-
-def test_scoring_is_the_trained_model():
+def some_line(rng, *sizes, ids=None):
+    ids = rng.integers(0, IDS, sum(sizes)).astype(np.int32) if ids is None else ids
+    return Line.of(ids, np.cumsum([0, *sizes]), IDS)
+
+
+def some_weights(rng):
+    flat = first_weights(rng.random(IDS))
+    return flat + rng.standard_normal(len(flat)) * 0.3
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_windows_score_each_position_once(size):
+    line = some_line(np.random.default_rng(1), 1, 15, 0, 17, 100)
+    parts = list(line.windows(size))
+    assert (np.concatenate([x.target[skip:] for x, skip in parts]) == line.target).all()
+    assert all(skip == CONTEXT - 1 for x, skip in parts[8:])
+    assert line.ahead[0] == line.ahead[16] == IDS and line.pos[15] == 14
+
+
+def test_scores_are_the_model_in_any_window_and_sum_to_one(monkeypatch):
     rng = np.random.default_rng(5)
-    flat = first_weights(rng.random(32)) + rng.standard_normal(len(first_weights(np.ones(32)))) * 0.3
-    x, real = windows([rng.integers(0, 31, n) for n in (1, 5, 40, 70)])
-    log_p = lm._forward(unpack(flat), x)[0]
-    want = np.take_along_axis(log_p, np.minimum(x[:, CONTEXT:], 31)[..., None], axis=2)[..., 0][real]
-    assert np.allclose(class_log_p(unpack(flat), x)[real], want, atol=1e-4)
+    w, line = unpack(some_weights(rng)), some_line(rng, 1, 5, 40, 70)
+    log_p = all_log_p(w, line)
+    assert np.allclose(np.exp(log_p).sum(axis=0), 1)
+    for window in (3, 50, 1 << 14):
+        monkeypatch.setattr(lm, "WINDOW", window)
+        assert np.allclose(target_log_p(w, line), log_p[line.target, np.arange(116)], atol=1e-6)
+
+
+def test_attention_is_causal_and_ends_with_the_text_and_the_context():
+    rng = np.random.default_rng(2)
+    w, line = unpack(some_weights(rng)), some_line(rng, 30, 60)
+    before = target_log_p(w, line)
+    for at, changed in ((10, range(10, 20)), (28, range(28, 30)), (50, range(50, 60))):
+        ids = line.target.copy()
+        ids[at] = (ids[at] + 3) % IDS
+        moved = np.flatnonzero(np.abs(target_log_p(w, some_line(rng, 30, 60, ids=ids)) - before) > 1e-9)
+        # The id itself, and those that have it among the CONTEXT ids ahead of them in the same text.
+        assert set(moved.tolist()) == {i for i in changed if i <= at + CONTEXT}
 
 
 def test_gradient_against_differences():
     rng = np.random.default_rng(3)
-    flat = first_weights(rng.random(32)) + rng.standard_normal(len(first_weights(np.ones(32)))) * 0.05
-    x, _ = windows([rng.integers(0, 31, n) for n in (5, 40, 70)])
-    _, g = gradient(unpack(flat), x)
-    g = pack(g)
-    for i in rng.choice(len(flat), 60, replace=False):
+    flat, line = some_weights(rng), some_line(rng, 5, 40, 70)
+    x, skip = list(line.windows(60))[1]
+
+    def loss(flat):
+        slope = np.zeros_like(flat)
+        return gradient(unpack(flat), x, skip, unpack(slope)), slope
+
+    g = loss(flat)[1]
+    for i in rng.choice(len(flat), 80, replace=False):
         step = np.zeros_like(flat)
         step[i] = 1e-5
-        diff = (gradient(unpack(flat + step), x)[0] - gradient(unpack(flat - step), x)[0]) / 2e-5
-        assert g[i] == pytest.approx(diff, abs=1e-6)
+        assert g[i] == pytest.approx((loss(flat + step)[0] - loss(flat - step)[0]) / 2e-5, abs=1e-6)
 
 
 def test_training_beats_frequencies_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'")
     train, held = docs.where("doc_id % 5 <> 0"), docs.where("doc_id % 5 = 0")
-    mean = lambda rounds: held.sparkSession.createDataFrame(score(held, train, s=lm.Settings(every=2, rounds=rounds)).select("score").toPandas()).groupBy().sum("score").first()[0]
-    assert mean(2) > mean(0)
+    mean = lambda rounds: held.sparkSession.createDataFrame(score(held, train, s=lm.Settings(rounds=rounds)).select("score").toPandas()).groupBy().sum("score").first()[0]
+    assert mean(1) > 0.93 * mean(0)
 
 
 def test_awkward_rows(spark):
     docs = awkward.frame(spark)
-    got = score(docs, docs, s=lm.Settings(every=1)).collect()
+    got = score(docs, docs, s=lm.Settings()).collect()
     assert len(got) == len(awkward.rows()) and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in got)
     train = [r[1] for r in awkward.rows()]
     by = {r.id: r for r in got}
@@ -118,5 +132,5 @@ def test_every_training_row_is_learned_from(spark, monkeypatch):
     rows = spark.range(300).selectExpr("id doc_id", "concat('word', id, ' and more') text")
     met = []
     monkeypatch.setattr(lm, "trained", lambda texts, weights, *more: met.append(texts.count()) or weights)
-    lm.fit(rows, lm.word_counts(rows.select("text")), "text", "doc_id")
+    lm.fit(rows, lm.word_counts(rows.select("text")), "text")
     assert met == [300] * lm.Settings().rounds
