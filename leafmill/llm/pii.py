@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import matches, of_kind, rendered
+from .spans import matches, of_kind, rendered, uncovered
 from .textops import checkpoint, quoted, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -114,9 +114,9 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
         quoted(id_column).alias("doc_id"),
         F.concat(*[of_kind(base[k], i, k) for i, k in enumerate(KINDS)]).alias("base"),
         matches(t, CANDIDATE, t.rlike("[0-9]"), CONTEXT).alias("candidates"),
-    )
+    ).withColumn("candidates", uncovered(F.col("candidates"), F.col("base")))
     found = checkpoint(found.withColumn("row_id", F.monotonically_increasing_id()))
-    free = found.select("row_id", "base", F.explode("candidates").alias("c")).where(~F.exists("base", lambda b: (b["start"] < F.col("c.stop")) & (F.col("c.start") < b["stop"])))
+    free = found.select("row_id", F.explode("candidates").alias("c"))
     free = free.select("row_id", "c", _context(F.col("c.before")).alias("context"), F.lower("c.value").alias("identifier"))
     seeds = found.select(F.explode("base").alias("b")).select(_context(F.col("b.before")).alias("context"), F.lower("b.value").alias("identifier"), F.col("b.kind").alias("kind")).where("context <> ''")
     edges = seeds.unionByName(free.where("context <> ''").select("context", "identifier", F.lit(None).cast("string").alias("kind"))).groupBy("context", "identifier", "kind").agg(F.count("*").alias("n")).drop("n")

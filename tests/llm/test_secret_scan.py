@@ -1,10 +1,13 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from leafmill.llm.secret_scan import op1_secret_scan, scan, run_battery
+from leafmill.llm.secret_scan import op1_secret_scan, run_battery, scan
+from leafmill.llm.spans import SPAN, uncovered
 
 from . import awkward
 
@@ -75,3 +78,44 @@ def test_random_tokens_pass_the_battery(spark, alphabet):
     assert sum(r.p_random < 0.05 for r in got) < 0.09 * len(got)
     ordered = run_battery(spark.createDataFrame([(alphabet * 3,), (alphabet[:2] * 30,)], "token string")).collect()
     assert all(r.p_random < 0.001 for r in ordered)
+
+
+B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@pytest.mark.parametrize("alphabet, n, least", [("0123456789abcdef", 24, 0.7), ("0123456789ABCDEF", 40, 0.95), (B32, 40, 0.9), (B32, 26, 0.4)])
+def test_keys_of_other_encodings_are_found_after_an_equals_sign_too(spark, alphabet, n, least):
+    rng = random.Random(9)
+    keys = ["".join(rng.choices(alphabet, k=n)) for _ in range(60)]
+    texts = [f"set KEY={k}" if i % 2 else f"see {k} here" for i, k in enumerate(keys)]
+    texts += [f"{w} there" for w in ("1234567890" * 3, "donaudampfschifffahrtsgesellschaft", "20240102-20240103-20240104", "/usr/lib/python3/dist-packages/numpy", "2024-report-of-the-third-quarter", "ISBN-978-3-16-148410-0-AND-MORE", "SHOUTING_CONSTANT_NAME_OF_A_PROGRAM")]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    found = [[s.value for s in r.spans if s.order == 3] for r in got]
+    assert sum(k in x for k, x in zip(keys, found)) >= least * len(keys)
+    assert not any(found[len(keys) :])
+
+
+def test_time_grows_with_matches_not_their_square(spark):
+    def seconds(n):
+        text = " ".join(f"password=abcd{i:06} Zx9{i:06}qPl3mN7bV5c" for i in range(n))
+        began = time.time()
+        row = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert sum(s.order == 0 for s in row.spans) == n
+        return time.time() - began
+
+    seconds(1000)
+    one = seconds(10_000)
+    assert seconds(40_000) < 8 * one + 2
+
+
+def test_uncovered_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(200):
+        cuts = sorted(rng.sample(range(60), 2 * rng.randint(0, 8)))
+        spans = list(zip(cuts[::2], cuts[1::2]))
+        others = [(a, a + rng.randint(1, 6)) for a in (rng.randrange(60) for _ in range(rng.randint(0, 5)))]
+        rows.append((i, [(a, b, "", "") for a, b in spans], [(a, b, "", "") for a, b in others]))
+    got = spark.createDataFrame(rows, f"i int, x {SPAN}, y {SPAN}").select("i", "x", "y", uncovered(F.col("x"), F.col("y")).alias("z")).collect()
+    for r in got:
+        assert [(s.start, s.stop) for s in r.z] == [(s.start, s.stop) for s in r.x if not any(o.start < s.stop and s.start < o.stop for o in r.y)]
