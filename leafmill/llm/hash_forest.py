@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by a hash-prefix forest.
 
 Vectors are packed into blocks. Each block keeps, for every tree, its vectors' hash strings (signs of random projections,
-as one 16-bit number) as a sorted array. A query goes down all trees to its longest matching prefixes and then up again,
-one bit at a time in all trees at once, until enough candidates share a prefix with it; every vector under these prefixes
-is scored exactly, and the best of each block are merged.
+as one 32-bit number) as a sorted array. A query goes down each tree to the string that shares its longest prefix, by
+binary search, and then up again, one bit at a time in all trees at once, until enough candidates share a prefix with it;
+every vector under these prefixes is scored exactly, and the best of each block are merged.
 
-All rows are indexed. Query blocks meet index blocks in groups of at most WAVE query blocks and a few index blocks, so no
-task holds all queries or all vectors. WANTED, the share of a block to gather (counted with repeats over trees), is chosen
-for vectors without any structure; recall against brute force is in the README and the tests.
+All rows are indexed. A stated set of queries is searched: query blocks meet index blocks in groups of at most WAVE query
+blocks and a few index blocks, so no task holds all queries or all vectors. How many candidates to gather from a block
+(counted with repeats over trees) is the same rule for every block: WANTED for each vector and EXTRA for each neighbour
+asked for; both are chosen for vectors without any structure. Recall against brute force is in the README and the tests.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 without an id. Vectors of other lengths than the query's are no candidates. Rows with the query's id count as the query's own. If an id is
@@ -27,14 +28,14 @@ from pyspark.sql import Window as W
 
 from .textops import checkpoint, quoted, table
 
-BITS = 16
+BITS = 32
 
 
 @dataclass(frozen=True)
 class Forest:
     trees: int = 128
     wanted: float = 0.45
-    least: int = 1024  # blocks of no more vectors are scanned whole
+    extra: float = 30.0
     block: int = 8192
     query_block: int = 512
     wave: int = 16
@@ -46,10 +47,13 @@ def _projections(dim: int, trees: int) -> np.ndarray:
 
 
 def hash_strings(vectors: np.ndarray, trees: int) -> np.ndarray:
-    """A row of 16-bit hash strings for each vector."""
-    signs = vectors.astype(np.float32) @ _projections(vectors.shape[1], trees) > 0
-    weights = (1 << np.arange(BITS - 1, -1, -1)).astype(np.uint16)
-    return (signs.reshape(len(vectors), trees, BITS) * weights).sum(axis=2, dtype=np.uint16)
+    """A row of 32-bit hash strings for each vector."""
+    projections, plain = _projections(vectors.shape[1], trees), vectors.astype(np.float32)
+    out = np.empty((len(vectors), trees), np.uint32)
+    for t in range(trees):  # bits of one tree at a time: memory follows the vectors, not vectors x trees x bits
+        signs = plain @ projections[:, t * BITS : (t + 1) * BITS] > 0
+        out[:, t] = np.packbits(signs, axis=1).view(">u4")[:, 0]
+    return out
 
 
 def lifted(vectors: np.ndarray, longest: float | None) -> np.ndarray:
@@ -118,20 +122,35 @@ def grown(blocks: DataFrame, f: Forest) -> DataFrame:
     return blocks.mapInArrow(run, "dim int, ids binary, vectors binary, strings binary, places binary")
 
 
+def longest_prefixes(strings: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """For each query the most leading bits that it shares with any string of any tree."""
+    differ = np.full(len(queries), 0xFFFFFFFF, np.uint32)
+    for t, ordered in enumerate(strings):
+        q = queries[:, t]
+        at = np.searchsorted(ordered, q)
+        for neighbour in (np.minimum(at, len(ordered) - 1), np.maximum(at - 1, 0)):
+            differ = np.minimum(differ, ordered[neighbour] ^ q)
+    return BITS - np.ceil(np.log2(differ.astype(np.float64) + 1)).astype(np.int64)
+
+
 def prefix_ranges(strings: np.ndarray, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query and tree the range of sorted strings under the query's prefix, as long as leaves `wanted` in all."""
     lo, hi = np.zeros(queries.shape, np.int64), np.full(queries.shape, strings.shape[1], np.int64)
+    longest = longest_prefixes(strings, queries)
     left = np.arange(len(queries))
-    for depth in range(BITS, 0, -1):
-        low = queries[left] & np.uint16(0xFFFF << (BITS - depth) & 0xFFFF)
-        high = low | np.uint16((1 << (BITS - depth)) - 1)
+    for depth in range(int(longest.max(initial=0)), 0, -1):
+        now = left[longest[left] >= depth]
+        if not len(now):
+            continue
+        rest = np.uint32((1 << (BITS - depth)) - 1)
+        low, high = queries[now] & ~rest, queries[now] | rest
         a, b = np.empty(low.shape, np.int64), np.empty(low.shape, np.int64)
         for t, ordered in enumerate(strings):
             a[:, t] = np.searchsorted(ordered, low[:, t], side="left")
             b[:, t] = np.searchsorted(ordered, high[:, t], side="right")
         enough = (b - a).sum(axis=1) >= wanted
-        lo[left[enough]], hi[left[enough]] = a[enough], b[enough]
-        left = left[~enough]
+        lo[now[enough]], hi[now[enough]] = a[enough], b[enough]
+        left = np.setdiff1d(left, now[enough], assume_unique=True)
         if not len(left):
             break
     return lo, hi
@@ -140,7 +159,7 @@ def prefix_ranges(strings: np.ndarray, queries: np.ndarray, wanted: int) -> tupl
 def search_block(ids: np.ndarray, vectors: np.ndarray, strings: np.ndarray, places: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, f: Forest) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its position, and the ids and scores of the best candidates found in the block."""
     n = len(ids)
-    lo, hi = prefix_ranges(strings, hash_strings(lifted(q_vectors, None), f.trees), int(f.wanted * n) if n > f.least else n * f.trees)
+    lo, hi = prefix_ranges(strings, hash_strings(lifted(q_vectors, None), f.trees), int(f.wanted * n + f.extra * f.neighbours))
     base = np.arange(f.trees) * n
     flat = places.ravel()
     for q in range(len(q_ids)):
@@ -178,7 +197,7 @@ def search(df: DataFrame, queries: DataFrame, id_column: str = "vec_id", vector:
             dim = block["dim"]
             ids = np.frombuffer(block["ids"], np.int64)
             vectors = np.frombuffer(block["vectors"], np.float64).reshape(-1, dim)
-            strings = np.frombuffer(block["strings"], np.uint16).reshape(f.trees, -1)
+            strings = np.frombuffer(block["strings"], np.uint32).reshape(f.trees, -1)
             places = np.frombuffer(block["places"], np.int32).reshape(f.trees, -1)
             for query in queries.to_pylist():
                 if query["dim"] == dim:

@@ -55,12 +55,13 @@ def test_recall_without_exhausting_blocks(spark):
 
 def test_prefix_ranges_are_the_longest_that_give_enough():
     rng = np.random.default_rng(2)
-    strings = np.sort(rng.integers(0, 1 << 16, (4, 300)).astype(np.uint16), axis=1)
-    queries = rng.integers(0, 1 << 16, (25, 4)).astype(np.uint16)
+    strings = np.sort(rng.integers(0, 1 << 32, (4, 300), dtype=np.uint32), axis=1)
+    queries = rng.integers(0, 1 << 32, (25, 4), dtype=np.uint32)
+    queries[:5] = strings[:, :5].T
     lo, hi = prefix_ranges(strings, queries, 40)
     for q in range(25):
-        counts = [sum(int((strings[t] >> (16 - d) == queries[q, t] >> (16 - d)).sum()) for t in range(4)) if d else 1200 for d in range(17)]
-        depth = max(d for d in range(17) if counts[d] >= 40)
+        counts = [sum(int((strings[t] >> (32 - d) == queries[q, t] >> (32 - d)).sum()) for t in range(4)) if d else 1200 for d in range(33)]
+        depth = max(d for d in range(33) if counts[d] >= 40)
         assert (hi[q] - lo[q]).sum() == counts[depth]
 
 
