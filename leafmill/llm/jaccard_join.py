@@ -40,15 +40,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .textops import Texts, checkpoint, map_texts, mix64, quoted, slices, table
+from .textops import Texts, checkpoint, map_texts, mix64, quoted, short_batches, slices, table
 
 KEYS = 8
 GROUP = 128
 UNION_BITS = 1 << 15  # of a group's bitmap: what Spark's own bitmap functions use
 HOT_TOKENS = 1 << 20
 BROADCAST_IDS = 1 << 20
-_HOT_IN_TASK = 4
-_FLUSH_TOKENS = 1 << 22
+_HOT_IN_TASK = 3
+_FLUSH_TOKENS = 1 << 21
 _odd = np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -151,7 +151,7 @@ def sketches(docs: DataFrame, id_column: str, text: str, s: Similarity) -> DataF
                     yield from frequent()
         yield from frequent()
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return short_batches(source).mapInArrow(run, T.StructType(fields))
 
 
 def frequent_tokens(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sentencepiece_codec import public_model
-from .textops import Texts, checkpoint, crc_remainder, quoted, slices, table
+from .textops import Texts, checkpoint, crc_remainder, quoted, short_batches, slices, table
 
 HOT_WORDS = 1 << 18
 HOT_BYTES = 64  # longer words are never broadcast
@@ -95,7 +95,7 @@ def word_counts(texts_only: DataFrame) -> DataFrame:
         if waiting["word"]:
             yield from flush()
 
-    counts = texts_only.mapInArrow(run, "word long, n long, spelling string").groupBy("word")
+    counts = short_batches(texts_only).mapInArrow(run, "word long, n long, spelling string").groupBy("word")
     return counts.agg(F.sum("n").alias("n"), F.max("spelling").alias("spelling"))
 
 

@@ -5,8 +5,9 @@ figures of the quality classifier and the presence of the words that tell domain
 domain posteriors. A document's rate says how often its tokens count in the mixture; rates start at 1 and move by projected
 gradient steps of a least squares problem: the expected tokens of each domain (rate x tokens x posterior, summed by Spark)
 shall equal the domain's target share of the budget. Residuals are weighted by the inverse of the posteriors' second
-moment over documents whose rate is free to move, so few passes over a narrow table are needed. A projection keeps rates
-nonnegative (and, if asked, at most `max_rate`). Only sums over all documents, of a few figures a domain, reach the driver.
+moment over all documents: then a whole step never makes the loss grow (its Lipschitz constant is at most 1), and few
+passes over a narrow table are needed. A projection keeps rates nonnegative (and, if asked, at most `max_rate`). Steps end
+when all gaps, or all changes of the expected shares, are small; a stop before that is logged with the gap left. Only sums over all documents, of a few figures a domain, reach the driver.
 
 The classifier learns from at most `sample` labelled rows, by least hash of their id; which words it looks at is settled by
 counts over the same rows. The largest budget at which no domain needs repeating is taken by default.
@@ -42,7 +43,7 @@ class Settings:
     words: int = 256
     steps: int = 400
     decay: float = 1e-3
-    rounds: int = 25
+    rounds: int = 40
     tolerance: float = 1e-4
 
 
@@ -190,19 +191,23 @@ def fitted_rates(members: DataFrame, targets: tuple[float, ...], s: Settings = S
 
         return F.aggregate(steps, F.lit(1.0), step)
 
+    weight = None
     for _ in range(s.rounds):
-        free = F.lit(True) if not moves else (F.col("rate") > 0) & (F.lit(True) if max_rate is None else F.col("rate") < max_rate)
-        d = members.select("n_tokens", "posterior", rate.alias("rate")).withColumn("free", free)
+        d = members.select("n_tokens", "posterior", rate.alias("rate"))
         sums = [F.sum(F.col("rate") * n * p[i]).alias(f"e{i}") for i in range(k)]
-        sums += [F.coalesce(F.sum(F.when(F.col("free"), n * p[i] * p[j])), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
+        if weight is None:
+            sums += [F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
         row = np.array(d.agg(*sums).first(), float) / budget
-        expected, moment = row[:k], row[k:].reshape(k, k)
+        if weight is None:
+            moment = row[k:].reshape(k, k)
+            weight = np.linalg.inv(moment + 1e-9 * max(np.trace(moment) / k, 1e-9) * np.eye(k))
+        expected = row[:k]
         gap = expected - goal
-        if np.abs(gap).max() < s.tolerance or np.abs(expected - before).max() < s.tolerance / 10:
+        if np.abs(gap).max() < s.tolerance or np.abs(expected - before).max() < s.tolerance / 100:
             break
         before = expected
-        move = np.linalg.solve(moment + 1e-3 * max(np.trace(moment) / k, 1e-9) * np.eye(k), gap)
-        moves.append(np.clip(move, -2, 2))
+        # No larger than it need be for the loss never to grow: see the docstring at the top.
+        moves.append(weight @ gap)
         rate = folded()
     else:
         logging.getLogger(__name__).warning("mixing: not converged after %d rounds; largest gap %.5f of the budget", s.rounds, np.abs(gap).max())

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1 << 19
+BATCH_ROWS = 1000
 
 #: Bytes that end a word: space and tab to carriage return.
 DELIMITER = np.zeros(256, bool)
@@ -106,6 +107,15 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(column.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """Rows of whole texts are long: unless the session says otherwise, hand them to Python BATCH_ROWS at a time, so that
+    memory follows a few MB and not Arrow's usual 10,000 rows."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -135,7 +145,7 @@ def map_texts(
                 made = kernel(part)
                 yield pa.RecordBatch.from_arrays([part.column("row"), *[made[f.name] for f in fields]], names=["row", *[f.name for f in fields]])
 
-    return source.mapInArrow(run, schema)
+    return short_batches(source).mapInArrow(run, schema)
 
 
 def crc_remainder(doc_id: str, by: int) -> Column:

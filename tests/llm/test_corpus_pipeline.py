@@ -60,3 +60,24 @@ def test_clean_documents_stay_where_labels_tell_of_few_toxic_ones(spark, tmp_pat
     kept = {r.doc_id for r in cp.mix_to_targets(spark, docs, awkward.sf_dir(spark, tmp_path, labels=few)).select("doc_id").collect()}
     clean = [r.doc_id for r in docs.join(few.where("quality = 1 and toxic = 0"), "doc_id", "left_semi").collect()]
     assert clean and sum(i in kept for i in clean) >= 0.97 * len(clean)
+
+
+def test_decisions_go_by_row(spark):
+    text = "one two three four five six seven eight"
+    rows = [(3, text), (5, text), (5, "a text of its own that no other row has"), (None, text), (None, "my password=abcd1234efgh is here"), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = cp.drop_near_copies(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted((i or 0, t or "") for i, t in (rows[0], rows[2], *rows[4:]))
+    redacted = {r.text: r.n_chars for r in cp.redact_secrets(spark, docs, "").collect()}
+    assert redacted[f"my {cp.REDACTED} is here"] == len(f"my {cp.REDACTED} is here") and len(redacted) == 5
+    again = spark.createDataFrame(docs.collect() * 2, docs.schema)
+    assert sum(r.text == text for r in cp.drop_near_copies(spark, again, "").collect()) == 1
+
+
+def test_clean_documents_stay_in_larger_tables_too(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = cp.mix_to_targets(spark, docs, sf).join(labels, "doc_id").groupBy("quality", "toxic").count().collect()
+    have = {(r.quality, r.toxic): r["count"] for r in docs.join(labels, "doc_id").groupBy("quality", "toxic").count().collect()}
+    share = {(r.quality, r.toxic): r["count"] / have[r.quality, r.toxic] for r in kept}
+    assert share[1, 0] > 0.97 and share.get((0, 0), 0) < 0.5 and share.get((1, 1), 0) < 0.3

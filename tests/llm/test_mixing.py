@@ -45,6 +45,19 @@ def test_against_plain_projected_gradient(spark):
     assert np.abs(brute(tokens, p, targets)).max() < 1e-3
 
 
+def test_scarce_and_soft_domains_with_rates_up_to_one(spark):
+    """Most documents clean, the others clear-cut, as in a corpus: every step brings the loss down to its least."""
+    rng = np.random.default_rng(4)
+    kind = rng.choice(3, 3000, p=[0.76, 0.14, 0.10])
+    p = np.array([rng.dirichlet(np.eye(3)[k] * 20 + 0.05) for k in kind])
+    tokens = rng.integers(1, 500, 3000).astype(float)
+    df = spark.createDataFrame([(int(t), x.tolist(), int(k)) for t, x, k in zip(tokens, p, kind)], "n_tokens long, posterior array<double>, kind int")
+    rate, expected = fitted_rates(df, TARGETS, max_rate=1.0, whole=0)
+    means = {r.kind: r.r for r in df.groupBy("kind").agg({"n_tokens": "count"}).join(df.withColumn("r", rate).groupBy("kind").avg("r").withColumnRenamed("avg(r)", "r"), "kind").collect()}
+    assert means[0] > 0.97 and means[1] < 0.35 and means[2] < 0.2
+    assert np.abs(np.array(expected) - TARGETS).max() < 0.02
+
+
 def test_copies_have_the_rate_as_mean(spark):
     df = spark.range(20000)
     for rate in (0.0, 0.25, 1.0, 1.7):
