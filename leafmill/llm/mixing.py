@@ -6,7 +6,7 @@ domain posteriors. A document's rate says how often its tokens count in the mixt
 gradient steps of a least squares problem: the expected tokens of each domain (rate x tokens x posterior, summed by Spark)
 shall equal the domain's target share of the budget. Residuals are weighted by the inverse of the posteriors' second
 moment over all documents: then a whole step never makes the loss grow (its Lipschitz constant is at most 1), and few
-passes over a narrow table are needed. A projection keeps rates nonnegative (and, if asked, at most `max_rate`). Steps end
+passes are needed, over totals by posterior (a document's rate hangs on nothing else). A projection keeps rates nonnegative (and, if asked, at most `max_rate`). Steps end
 when all gaps, or all changes of the expected shares, are small; a stop before that is logged with the gap left. Only sums over all documents, of a few figures a domain, reach the driver.
 
 The classifier learns from at most `sample` labelled rows, by least hash of their id; which words it looks at is settled by
@@ -35,6 +35,7 @@ from .textops import Texts, checkpoint, map_texts, slices, table
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = (0.95, 0.04, 0.01)
 BUCKETS = 1 << 16
+GRID = 128
 
 
 @dataclass(frozen=True)
@@ -191,12 +192,17 @@ def fitted_rates(members: DataFrame, targets: tuple[float, ...], s: Settings = S
 
         return F.aggregate(steps, F.lit(1.0), step)
 
+    # A rate hangs on the posteriors alone, so documents are put together by their posteriors' cell of a grid: at most
+    # GRID ** (k - 1) rows, each with its exact totals, however many documents there are.
+    cell = [F.floor(p[i] * GRID).cast("int").alias(f"c{i}") for i in range(k - 1)]
+    cells = members.groupBy(*cell).agg(F.sum("n_tokens").alias("n"), *[F.sum(n * p[i]).alias(f"t{i}") for i in range(k)]).where("n > 0")
+    cells = checkpoint(cells.select("n", F.array(*[F.col(f"t{i}") / F.col("n") for i in range(k)]).alias("posterior")).repartition(4))
     weight = None
     for _ in range(s.rounds):
-        d = members.select("n_tokens", "posterior", rate.alias("rate"))
-        sums = [F.sum(F.col("rate") * n * p[i]).alias(f"e{i}") for i in range(k)]
+        d = cells.select("n", "posterior", rate.alias("rate"))
+        sums = [F.sum(F.col("rate") * F.col("n") * p[i]).alias(f"e{i}") for i in range(k)]
         if weight is None:
-            sums += [F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
+            sums += [F.sum(F.col("n") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
         row = np.array(d.agg(*sums).first(), float) / budget
         if weight is None:
             moment = row[k:].reshape(k, k)
@@ -211,7 +217,8 @@ def fitted_rates(members: DataFrame, targets: tuple[float, ...], s: Settings = S
         rate = folded()
     else:
         logging.getLogger(__name__).warning("mixing: not converged after %d rounds; largest gap %.5f of the budget", s.rounds, np.abs(gap).max())
-    return rate, expected.tolist()
+    row = members.agg(*[F.sum(rate * n * p[i]).alias(f"e{i}") for i in range(k)]).first()
+    return rate, [x / budget for x in row]
 
 
 def copies(rate: Column, id_column: Column, seed: int = 0) -> Column:
