@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import is_blank
 from ..operators import checks, conversations, lines, passages, structure, vectors
 from ..profiles import Profile, STANDARD
+from ..sources import tables
 
 
 def body_of(pages: DataFrame, profile: Profile = STANDARD) -> DataFrame:
@@ -36,10 +37,14 @@ def checked_records(pages: DataFrame, profile: Profile = STANDARD) -> DataFrame:
 
 
 def answer_questions(records: DataFrame, questions: DataFrame, embed: Callable[[list[str]], list[list[float]]], k: int = 3) -> DataFrame:
-    """query_id, evidence: the k nearest passages' texts for each question. Blank questions are an error before any call."""
+    """query_id, evidence: the k nearest passages' texts for each question. Blank questions are an error before any call.
+
+    Pages are turned into records once, and each text is embedded once: both are kept as snapshots, since the search reads
+    them several times."""
     if not questions.where(is_blank(F.col("query"))).isEmpty():
         raise checks.CorpusError("blank question")
-    stored = vectors.embed_passages(records.select("id", "text"), embed, text="text").select("id", "text", "embedding")
-    asked = vectors.embed_passages(questions, embed, text="query").select("query_id", "query", "embedding")
+    records = tables.snapshot(records.select("id", "text"))
+    stored = tables.snapshot(vectors.embed_passages(records, embed, text="text").select("id", "text", "embedding"))
+    asked = tables.snapshot(vectors.embed_passages(questions, embed, text="query").select("query_id", "query", "embedding"))
     hits = vectors.cosine_topk(asked, stored, k)
     return conversations.evidence_messages(asked, conversations.retrieve_texts(hits, records))

@@ -68,3 +68,19 @@ def build_manifest(vectors: DataFrame, model: str, batch: int = 8, timed: bool =
         F.count("*").alias("chunk_count"), F.countDistinct("id").alias("ids"), F.max(F.size("embedding")).alias("dimension"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("source_hash")
     ).select(F.lit(model).alias("model"), F.lit("section,parent_titles,text").alias("input_fields"), "chunk_count", "ids", "dimension", F.lit(batch).alias("batch_size"), "source_hash")
     return out.withColumn("built_at_utc", F.current_timestamp()) if timed else out
+
+
+def snapshot(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the folder that spark.checkpoint.dir names: what stands behind them isn't run again.
+    Where none is named, a folder of our own will do only in local mode."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            where = tempfile.mkdtemp(prefix="leafmill-snapshot-")
+        context.setCheckpointDir(where)
+    return df.checkpoint()

@@ -122,3 +122,20 @@ def test_one_shuffle_carries_pages_to_records(spark):
     p = pages(spark, "Ref. No.: S17 1\n1. TOP\nText.")
     plan = build_records(p)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    from leafmill.operators.vectors import bucket_embedder
+    from leafmill.plans.corpus import answer_questions
+
+    log = str(tmp_path / "calls")
+
+    def embed(texts):
+        with open(log, "a") as f:
+            f.write("x" * len(texts))
+        return bucket_embedder(texts)
+
+    records = spark.range(40).selectExpr("cast(id as string) id", "concat('passage number ', id) text")
+    questions = spark.range(10).selectExpr("id query_id", "concat('question number ', id) query")
+    assert len(answer_questions(records, questions, embed).collect()) == 10
+    assert len(open(log).read()) == 50
