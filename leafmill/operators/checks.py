@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import SPACE, is_blank, word_count
-from ..profiles import BULLETS, HARD_MAX_WORDS, TARGET_WORDS
+from ..functions.text import SPACE, is_blank
+from ..profiles import BULLETS, HARD_MAX_WORDS
 
 REQUIRED = ("document", "version", "language", "section", "parent_titles", "source_file", "printed_page_start")
 RESERVED = ("id", "text")
@@ -89,27 +89,36 @@ def coverage_audit(parents: DataFrame, records: DataFrame) -> DataFrame:
     return own.join(grouped, "id", "left").select("id", F.coalesce("n_children", F.lit(0)).alias("n_children"), problem.alias("problem"))
 
 
-def chunk_report(records: DataFrame) -> DataFrame:
-    """Passages, their parents and words by kind and split method, with subtotals (null: all)."""
-    r = records.select(F.col("metadata.source_kind").alias("source_kind"), F.col("metadata.split_method").alias("split_method"), F.col("metadata.parent_chunk_id").alias("parent"), F.col("metadata.word_count").alias("words"), F.col("metadata.part_count").alias("parts"))
-    return r.rollup("source_kind", "split_method").agg(
-        F.count("*").alias("passages"), F.countDistinct("parent").alias("parents"), F.count_distinct(F.when(F.col("parts") > 1, F.col("parent"))).alias("split_parents"), F.min("words").alias("least_words"), F.max("words").alias("most_words")
+def chunk_report(records: DataFrame, pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Passages, their parents and words by kind and split method, with subtotals (null: all); the total has also the
+    counts of pages and structural chunks.
+
+    Each parent is counted once: passages are first added up by parent and method, and one row of a parent stands for it."""
+    m = lambda k: F.col(f"metadata.{k}").alias(k)
+    r = records.select(m("source_kind"), m("split_method"), m("parent_chunk_id"), m("word_count"), m("part_count"))
+    r = r.groupBy("parent_chunk_id", "source_kind", "split_method").agg(F.count("*").alias("n"), F.min("word_count").alias("least"), F.max("word_count").alias("most"), (F.max("part_count") > 1).cast("int").alias("split"))
+    first = (F.row_number().over(W.partitionBy("parent_chunk_id").orderBy("split_method")) == 1).cast("int")
+    once = lambda each, one: F.when(F.grouping_id() == 0, each).otherwise(one)
+    out = r.withColumn("first", first).rollup("source_kind", "split_method").agg(
+        F.sum("n").alias("passages"),
+        once(F.count("*"), F.sum("first")).alias("parents"),
+        once(F.sum("split"), F.sum(F.col("first") * F.col("split"))).alias("split_parents"),
+        F.min("least").alias("least_words"),
+        F.max("most").alias("most_words"),
+        F.grouping_id().alias("level"),
     )
+    both = pages.select(F.lit(1).alias("p"), F.lit(0).alias("c")).union(chunks.select(F.lit(0), F.lit(1)))
+    counts = both.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("pages"), F.coalesce(F.sum("c"), F.lit(0)).alias("structural_chunks")).withColumn("level", F.lit(3).cast("long"))
+    return out.join(F.broadcast(counts), "level", "left").drop("level")  # counts: one row
 
 
 def review_rows(records: DataFrame) -> DataFrame:
-    """The audit view of passages, numbered within their document."""
+    """The audit view of passages, numbered in the order of their document. records: with `seg`."""
     m = lambda k: F.col(f"metadata.{k}")
-    order = W.partitionBy(m("document")).orderBy("id")
+    order = W.partitionBy(m("document")).orderBy("seg", m("part_number"))
     titles = F.when(m("parent_titles") == "", "—").otherwise(F.replace(m("parent_titles"), F.lit(" > "), F.lit(" → ")))
     return records.select(
         m("document").alias("document"), F.row_number().over(order).alias("position"), "id", m("parent_chunk_id").alias("parent_chunk_id"), m("section").alias("section"), m("source_kind").alias("source_kind"), m("split_method").alias("split_method"),
         F.concat(m("part_number").cast("string"), F.lit(" / "), m("part_count").cast("string")).alias("part"), titles.alias("parent_titles"), m("pdf_page_start").alias("pdf_page_start"), m("printed_page_start").alias("printed_page_start"),
         m("word_count").alias("word_count"), m("text_sha256").alias("text_sha256"), "text",
     )
-
-
-def passage_words(records: DataFrame) -> DataFrame:
-    return records.select("id", word_count(F.col("text")).alias("words"), (word_count(F.col("text")) > TARGET_WORDS).alias("over_target"))
-
-

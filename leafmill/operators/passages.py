@@ -128,8 +128,9 @@ def record_text(section: Column, parents: Column, body: Column) -> Column:
     return F.concat(F.lit("Section: "), section, F.lit("\nParent sections: "), F.array_join(parents, " > "), F.lit("\nText: "), body)
 
 
-def records(chunks: DataFrame, profile: Profile = STANDARD) -> DataFrame:
-    """id, text and metadata of every passage. chunks: structural chunks with `lines`."""
+def records(chunks: DataFrame, profile: Profile = STANDARD, place: bool = False) -> DataFrame:
+    """id, text and metadata of every passage. chunks: structural chunks with `lines`. place: with `seg`, the chunk's place
+    in its document."""
     parts = retrieval_pieces(chunks, profile)
     text = record_text(F.col("section"), F.col("parent_titles"), F.col("piece.text")) if profile.context_text else F.col("piece.text")
     d = parts.withColumn("text", text)
@@ -150,7 +151,7 @@ def records(chunks: DataFrame, profile: Profile = STANDARD) -> DataFrame:
         "text_sha256": F.sha2("text", 256),
         "source_file": F.lit(profile.source_file),
     }
-    return d.select(F.format_string("%s-part-%02d", "id", "part_number").alias("id"), "text", F.struct(*[values[k].alias(k) for k in METADATA]).alias("metadata"))
+    return d.select(F.format_string("%s-part-%02d", "id", "part_number").alias("id"), "text", F.struct(*[values[k].alias(k) for k in METADATA]).alias("metadata"), *(["seg"] if place else []))
 
 
 RECORD_SCHEMA = (

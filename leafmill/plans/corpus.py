@@ -17,11 +17,11 @@ def body_of(pages: DataFrame, profile: Profile = STANDARD) -> DataFrame:
     return lines.body_lines(lines.kept_lines(pages, profile), profile)
 
 
-def build_records(pages: DataFrame, profile: Profile = STANDARD) -> DataFrame:
+def build_records(pages: DataFrame, profile: Profile = STANDARD, place: bool = False) -> DataFrame:
     """Pages to records: one shuffle by document carries lines, headings, chunks and passages."""
     kept = lines.kept_lines(pages, profile)
     toc = structure.toc_titles(kept, profile) if profile.lettered else None
-    return passages.records(structure.structural_chunks(lines.body_lines(kept, profile), profile, toc), profile)
+    return passages.records(structure.structural_chunks(lines.body_lines(kept, profile), profile, toc), profile, place)
 
 
 def checked_records(pages: DataFrame, profile: Profile = STANDARD) -> DataFrame:

@@ -103,6 +103,63 @@ ids as (select *, base_id || case when row_number() over (partition by document,
 """
 
 
+def _packed_sql(items: str, joins: str, name: str) -> str:
+    """A fold over items (text, words, kind), as one list of packs."""
+    item = "struct(text varchar, words bigint, kind varchar)[]"
+    start = f"list_transform({items}, lambda i: {{'done': []::{item}, 'text': i.text, 'words': i.words, 'kind': case when i.kind = '{joins}' then '{name}' else i.kind end}})"
+    grown = f"{{'done': a.done, 'text': a.text || ' ' || x.text, 'words': a.words + x.words, 'kind': '{name}'}}"
+    closed = "{'done': a.done || [{'text': a.text, 'words': a.words, 'kind': a.kind}], 'text': x.text, 'words': x.words, 'kind': x.kind}"
+    return f"list_reduce({start}, lambda a, x: case when a.kind = '{name}' and x.kind = '{name}' and a.words + x.words <= 220 then {grown} else {closed} end)"
+
+
+def _pieces_sql(source: str, key: str) -> str:
+    """From rows (key, text, words, kind) to lists of pieces: whole, marked for review, or packed sentences."""
+    item = lambda x, kind: f"{{'text': {x}, 'words': {_WORDS.replace('X', x)}::bigint, 'kind': '{kind}'}}"
+    strip = lambda x: f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
+    words = "(?:^[^A-Za-z0-9]*)?(?:[A-Za-z0-9]+(?:[/-][A-Za-z0-9]+)*[^A-Za-z0-9]*){1,220}"
+    return f"""cut_sentences as (select *, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){_S}+([A-Z0-9])', '\\1' || chr(30) || '\\2', 'g'), chr(30)), lambda x: {strip('x')}), lambda x: x <> '') sentences from {source} where words > 220),
+sentence_lists as (select *, flatten(list_transform(sentences, lambda x: case when {_WORDS.replace('X', 'x')} > 300 then list_transform(regexp_extract_all(x, '{words}'), lambda y: {item(strip('y'), 'word_boundary')}) else [{item('x', 'sentence')}] end)) items from cut_sentences),
+folded as (select *, case when len(items) > 1 or words > 300 then {_packed_sql('items', 'sentence', 'sentence_boundary')} end f from sentence_lists),
+piece_lists as (select {key}, case when f is null then [{{'text': text, 'words': words, 'kind': kind || '_needs_review'}}] else f.done || [{{'text': f.text, 'words': f.words, 'kind': f.kind}}] end pieces from folded
+  union all select {key}, [{{'text': text, 'words': words, 'kind': kind}}] from {source} where words <= 220)
+"""
+
+
+_TITLE = r"""(line <> '' and not regexp_matches(line, '[.;:,]') and not contains(lower(line), 'http') and length(line) <= 90 and len(regexp_extract_all(line, '[A-Za-z]+')) between 2 and 12
+and len(list_filter(regexp_extract_all(line, '[A-Za-z]+'), lambda t: lower(t) in ('shall', 'should', 'must', 'will'))) = 0
+and 10 * len(list_filter(regexp_extract_all(line, '[A-Za-z]+'), lambda t: regexp_matches(t, '^[A-Z]') or lower(t) in ('and', 'of', 'the', 'in', 'for', 'to', 'on', 'with', 'by', '&'))) >= 8 * len(regexp_extract_all(line, '[A-Za-z]+')))"""
+_PART = "{{'text': {}, 'starts': {}, 'kind': {}}}"
+SQL_UNITS = SQL_CHUNKS + rf""",
+sized as (select *, {_WORDS.replace('X', 'text')}::bigint words from ids),
+chunk_lines as (select z.id, pdf_page, line_no, case when line_class = 'control' then title else line end line, blank_before and row_number() over (partition by z.id order by pdf_page, line_no) > 1 gap
+  from segged join (select id, document, seg from sized where words > 220) z using (document, seg) where line_class in ('control', 'body')),
+bulleted as (select *, string_split(replace(line, chr(61599), '•'), '•') bits from chunk_lines),
+fragments as (select id, pdf_page, line_no, case when gap then [{_PART.format("''", 'true', "'paragraph'")}] else [] end ||
+  case when len(bits) > 1 then [{_PART.format('trim(bits[1])', 'false', 'null::varchar')}, {_PART.format("''", 'true', 'null::varchar')}] || list_transform(list_filter(bits[2:], lambda b: trim(b) <> ''), lambda b: {_PART.format("'• ' || trim(b)", 'true', "'bullet_item'")})
+  when regexp_matches(line, '(?i)^(?:[a-z]\)|\([a-z]\)|\d+\.)\s+') then [{_PART.format('line', 'true', "'enumerated_item'")}]
+  when {_TITLE} then [{_PART.format('line', 'true', "'internal_heading'")}] else [{_PART.format('line', 'false', 'null::varchar')}] end parts from bulleted),
+parts as (select id, pdf_page, line_no, unnest(parts) p, unnest(range(len(parts))) j from fragments),
+units_of as (select *, sum(p.starts::int) over w unit_no, last_value(p.kind ignore nulls) over w so_far from parts window w as (partition by id order by pdf_page, line_no, j)),
+unit_texts as (select id, unit_no, {_NORM.replace('X', "replace(string_agg(case when p.text <> '' then p.text end, ' ' order by pdf_page, line_no, j), chr(61599), '•')")} text, coalesce(arg_max(so_far, (pdf_page, line_no, j)), 'paragraph') kind from units_of group by 1, 2),
+units as (select id, row_number() over (partition by id order by unit_no) - 1 unit, kind, {_WORDS.replace('X', 'text')}::bigint words, text from unit_texts where text <> ''),
+unit_lists as (select id, list({{'text': text, 'words': words, 'kind': kind}} order by unit) us from units group by 1),
+merged as (select id, case when len(us) > 1 and us[1].kind = 'internal_heading' and us[1].words <= 12 then [{{'text': us[1].text || ' ' || us[2].text, 'words': us[1].words + us[2].words, 'kind': us[2].kind}}] || us[3:] else us end us from unit_lists),
+pack_folds as (select id, {_packed_sql('us', 'paragraph', 'paragraph_group')} f from merged),
+packs as (select id, unnest(l) p, unnest(range(len(l))) pack from (select id, f.done || [{{'text': f.text, 'words': f.words, 'kind': f.kind}}] l from pack_folds))
+"""
+SQL_RECORDS = SQL_UNITS + f""",
+passages_in as (select id chunk, pack, p.text as text, p.words as words, p.kind kind from packs union all select id, 0, text, words, 'unchanged' from sized where words <= 220),
+{_pieces_sql('passages_in', 'chunk, pack')},
+pieces as (select chunk, pack, unnest(pieces) p, unnest(range(len(pieces))) piece from piece_lists),
+numbered as (select chunk, p, row_number() over (partition by chunk order by pack, piece) part_number, count(*) over (partition by chunk) part_count from pieces),
+made as (select id || '-part-' || case when part_number < 10 then '0' else '' end || part_number::varchar id, 'Section: ' || section || chr(10) || 'Parent sections: ' || parents || chr(10) || 'Text: ' || p.text as text, document::varchar document, '8.2' as version, 'en' as "language", section,
+  parents parent_titles, id parent_chunk_id, s.kind source_kind, p.kind split_method, part_number, part_count, pdf_page_start::bigint pdf_page_start, printed_page_start, p.words word_count, 'documents' source_file, seg, s.text whole, p.text body
+  from numbered join sized s on chunk = id),
+records as (select *, sha256(text) text_sha256 from made)
+"""
+_BARE = rf"regexp_replace(X, '{_S}|[•\x{{f09f}}]', '', 'g')"
+
+
 def _body(spark: SparkSession, sf: str) -> DataFrame:
     return body_of(derived_pages(spark, sf))
 
@@ -213,25 +270,28 @@ def _large_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return ps.semantic_units(_chunks(spark, sf).where(word_count(ps.chunk_text(F.col("lines"))) > TARGET_WORDS))
 
 
-@query()
+@query(SQL_UNITS + "select id, unit, kind, words, md5(text) text_md5 from units")
 def semantic_units(spark: SparkSession, sf: str) -> DataFrame:
     return _large_chunks(spark, sf).select("id", F.posexplode("units").alias("unit", "u")).select("id", "unit", "u.kind", "u.words", F.md5("u.text").alias("text_md5"))
 
 
-@query()
+@query(SQL_UNITS + "select id, pack, p.kind kind, p.words as words from packs")
 def packed_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     d = _large_chunks(spark, sf).withColumn("units", ps.merge_leading_heading(F.col("units")))
     return d.select("id", F.posexplode(ps.packed(F.col("units"), "paragraph", "paragraph_group")).alias("pack", "u")).select("id", "pack", "u.kind", "u.words")
 
 
-@query()
+@query(
+    f"""with whole as (select doc_id, {_NORM.replace('X', "replace(text, chr(61599), '•')")} text from documents where text is not null), docs as (select doc_id, text, 'document' kind, {_WORDS.replace('X', 'text')}::bigint words from whole),
+{_pieces_sql('docs', 'doc_id')} select doc_id, part, p.kind split_method, p.words as words, md5(p.text) text_md5 from (select doc_id, unnest(pieces) p, unnest(range(len(pieces))) part from piece_lists)"""
+)
 def sentence_pieces(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").where("text is not null").select("doc_id", clean_text(F.col("text")).alias("text"), F.lit("document").alias("kind"))
     d = ps.split_to_target(docs.withColumn("words", word_count(F.col("text"))))
     return d.select("doc_id", F.posexplode("pieces").alias("part", "p")).select("doc_id", "part", F.col("p.kind").alias("split_method"), F.col("p.words").alias("words"), F.md5("p.text").alias("text_md5"))
 
 
-@query()
+@query(SQL_RECORDS + "select * exclude (seg, whole, body) from records")
 def corpus_records(spark: SparkSession, sf: str) -> DataFrame:
     return _records(spark, sf).select("id", "text", "metadata.*")
 
@@ -272,20 +332,32 @@ def oversized_records(spark: SparkSession, sf: str) -> DataFrame:
     return checks.oversized_records(_simple(spark, sf))
 
 
-@query()
+@query(
+    SQL_RECORDS
+    + f"""select parent_chunk_id id, count(*) n_children, case when {_BARE.replace('X', "string_agg(body, '' order by part_number)")} <> {_BARE.replace('X', 'any_value(whole)')} then 'text differs' end problem
+from records group by 1"""
+)
 def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
     chunks = _chunks(spark, sf)
     return checks.coverage_audit(chunks.withColumn("text", ps.chunk_text(F.col("lines"))), ps.records(chunks))
 
 
-@query()
+@query(
+    SQL_RECORDS
+    + """select source_kind, split_method, count(*) passages, count(distinct parent_chunk_id) parents, count(distinct case when part_count > 1 then parent_chunk_id end) split_parents, min(word_count) least_words, max(word_count) most_words,
+case when grouping(source_kind) = 1 then (select count(*) from pages) end pages, case when grouping(source_kind) = 1 then (select count(*) from ids) end structural_chunks from records group by rollup (source_kind, split_method)"""
+)
 def chunk_report(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.chunk_report(_records(spark, sf))
+    return checks.chunk_report(_records(spark, sf), derived_pages(spark, sf), _chunks(spark, sf))
 
 
-@query()
+@query(
+    SQL_RECORDS
+    + """select document, row_number() over (partition by document order by seg, part_number) as position, id, parent_chunk_id, section, source_kind, split_method, part_number::varchar || ' / ' || part_count::varchar part,
+case when parent_titles = '' then '—' else replace(parent_titles, ' > ', ' → ') end parent_titles, pdf_page_start, printed_page_start, word_count, text_sha256, text from records"""
+)
 def review_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.review_rows(_records(spark, sf))
+    return checks.review_rows(build_records(derived_pages(spark, sf), place=True))
 
 
 @query(SQL_SIMPLE + "select id, length(text)::bigint n_chars, document, word_count from simple where doc_id % 50 not in (6, 7) and text <> ' '")
@@ -296,7 +368,11 @@ def load_passages(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", F.length("text").alias("n_chars"), "metadata.document", "metadata.word_count")
 
 
-@query()
+@query(
+    SQL_RECORDS
+    + """select id, to_json({'id': id, 'text': text, 'metadata': {'document': document, 'version': version, 'language': "language", 'section': section, 'parent_titles': parent_titles, 'parent_chunk_id': parent_chunk_id, 'source_kind': source_kind, 'split_method': split_method,
+'part_number': part_number, 'part_count': part_count, 'pdf_page_start': pdf_page_start, 'printed_page_start': printed_page_start, 'word_count': word_count, 'text_sha256': text_sha256, 'source_file': source_file}})::varchar json from records"""
+)
 def passages_as_json(spark: SparkSession, sf: str) -> DataFrame:
     return tables.passages_as_json(_records(spark, sf))
 
