@@ -11,9 +11,6 @@ from ..functions.text import clean_text, is_title_line, is_upper, strip
 from ..profiles import APPENDIX, LETTER, Profile, STANDARD, TOC_LEADER
 from .lines import page_window
 
-#: Lines looked ahead for the rest of a wrapped lettered title.
-WRAP = 8
-
 
 def so_far() -> WindowSpec:
     """The document's lines up to this one."""
@@ -98,7 +95,9 @@ def toc_titles(lines: DataFrame, profile: Profile) -> DataFrame:
 
 def lettered(rows: DataFrame, toc: DataFrame | None) -> DataFrame:
     """Resolve `(a) ...` lines: headings by the contents (or by their looks, where there are none), with wrapped titles
-    joined from at most WRAP lines of the same page that carry on the title in the contents."""
+    joined from the lines of the same paragraph and page that carry on the title in the contents.
+
+    The contents come as one map a document, so that lines keep their partitioning."""
     line = F.col("line")
     letter = F.when((F.col("line_class") == "body") & F.col("cur_sub").isNotNull() & line.rlike(LETTER), F.regexp_extract(line, LETTER, 1))
     rows = rows.withColumn("key", F.when(letter.isNotNull(), F.format_string("%s(%s)", F.col("cur_sub"), letter)))
@@ -106,19 +105,24 @@ def lettered(rows: DataFrame, toc: DataFrame | None) -> DataFrame:
     if toc is None:
         rows = rows.withColumn("toc_title", F.lit(None).cast("string")).withColumn("has_toc", F.lit(False))
     else:
-        rows = rows.join(toc, ["document", "key"], "left")
-        with_toc = toc.select("document").distinct().withColumn("has_toc", F.lit(True))
-        rows = rows.join(with_toc, "document", "left").withColumn("has_toc", F.coalesce("has_toc", F.lit(False)))
+        entries = toc.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("key", "toc_title"))).alias("contents"))
+        rows = rows.join(entries, "document", "left")
+        rows = rows.withColumn("toc_title", F.try_element_at("contents", F.col("key"))).withColumn("has_toc", F.col("contents").isNotNull()).drop("contents")
     by_contents = F.col("toc_title").isNotNull() & (F.lower("toc_title").startswith(F.lower(own)) | is_title_line(own))
     is_heading = F.col("key").isNotNull() & F.when(F.col("has_toc"), by_contents).otherwise(is_title_line(own))
     rows = rows.withColumn("is_letter", F.coalesce(is_heading, F.lit(False)))
-    ahead = F.collect_list(F.struct("line", "blank_before")).over(page_window().rowsBetween(1, WRAP))
+    # A blank line ends a title: only paragraphs with a heading that the contents name are looked through.
+    rows = rows.withColumn("paragraph", F.sum(F.col("blank_before").cast("int")).over(page_window().rowsBetween(W.unboundedPreceding, 0)))
+    paragraph = W.partitionBy("document", "pdf_page", "paragraph").orderBy("line_no")
+    named = F.max(F.col("is_letter") & F.col("toc_title").isNotNull()).over(paragraph.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    rows = rows.withColumn("named", named)
+    ahead = F.collect_list(F.when(F.col("named"), F.col("line"))).over(paragraph.rowsBetween(1, W.unboundedFollowing))
     rows = rows.withColumn("ahead", ahead)
     state = F.struct(own.alias("title"), F.lit(0).alias("taken"), F.col("toc_title").isNull().alias("done"))
 
     def step(acc: Column, x: Column) -> Column:
-        longer = F.concat_ws(" ", acc["title"], x["line"])
-        fits = ~acc["done"] & ~x["blank_before"] & (F.lower(acc["title"]) != F.lower(F.col("toc_title"))) & F.lower(F.col("toc_title")).startswith(F.lower(longer))
+        longer = F.concat_ws(" ", acc["title"], x)
+        fits = ~acc["done"] & (F.lower(acc["title"]) != F.lower(F.col("toc_title"))) & F.lower(F.col("toc_title")).startswith(F.lower(longer))
         fits = F.coalesce(fits, F.lit(False))
         return F.struct(F.when(fits, longer).otherwise(acc["title"]).alias("title"), F.when(fits, acc["taken"] + 1).otherwise(acc["taken"]).alias("taken"), (acc["done"] | ~fits).alias("done"))
 
@@ -129,7 +133,7 @@ def lettered(rows: DataFrame, toc: DataFrame | None) -> DataFrame:
     rows = rows.where(F.coalesce("covers", F.lit(0)) < F.col("at"))
     rows = rows.withColumn("line_class", F.when(F.col("is_letter"), "letter").otherwise(F.col("line_class")))
     rows = rows.withColumn("number", F.when(F.col("is_letter"), F.col("key")).otherwise(F.col("number"))).withColumn("title", F.when(F.col("is_letter"), F.col("joined.title")).otherwise(F.col("title")))
-    return rows.drop("key", "toc_title", "has_toc", "is_letter", "ahead", "joined", "at", "covers")
+    return rows.drop("key", "toc_title", "has_toc", "is_letter", "paragraph", "named", "ahead", "joined", "at", "covers")
 
 
 def structural_chunks(lines: DataFrame, profile: Profile = STANDARD, toc: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -26,14 +26,8 @@ def embedding_inputs(records: DataFrame) -> DataFrame:
     return records.select("id", F.concat_ws("\n", F.concat(F.lit("Section: "), F.col("metadata.section")), F.concat(F.lit("Parent sections: "), F.col("metadata.parent_titles")), F.concat(F.lit("Text: "), body)).alias("input"))
 
 
-def bucket_embedding(text: Column) -> Column:
-    """A deterministic stand-in for an embedding service: words counted in hashed buckets, to unit length."""
-    words = F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % BUCKETS).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.size(F.filter(words, lambda w: w == i)).cast("double"))
-
-
 def bucket_embedder(texts: list[str]) -> list[list[float]]:
-    """The same as a batch function, as a service would be plugged in."""
+    """A stand-in for an embedding service: words counted in hashed buckets, to unit length."""
     import hashlib
     import re
 
@@ -47,8 +41,21 @@ def bucket_embedder(texts: list[str]) -> list[list[float]]:
     return out
 
 
+def reply_vectors(reply: list, n: int) -> list[list[float]]:
+    """The vectors of a reply for n texts, in their order. Pairs must be numbered 0 to n - 1, each once."""
+    if reply and isinstance(reply[0], tuple):
+        numbered = dict(reply)
+        if len(reply) != n or sorted(numbered) != list(range(n)):
+            raise ValueError("the reply's numbers don't match the texts")
+        reply = [numbered[i] for i in range(n)]
+    if len(reply) != n or any(len(v) == 0 for v in reply):
+        raise ValueError("the embedder must give one non-empty vector for each text")
+    return reply
+
+
 def embed_passages(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "input", batch: int = BATCH) -> DataFrame:
     """Add `embedding`, asking `embed` for at most `batch` texts at a time; blank texts are an error before any call.
+    It gives vectors in the order of the texts, or pairs (number of the text, vector) in any order.
 
     Each distinct text is embedded once and joined back by its hash."""
     if not rows.where(is_blank(F.col(text))).isEmpty():
@@ -61,10 +68,7 @@ def embed_passages(rows: DataFrame, embed: Callable[[list[str]], list[list[float
             vectors: list[list[float]] = []
             texts = part["text"].tolist()
             for i in range(0, len(texts), batch):
-                got = embed(texts[i : i + batch])
-                if len(got) != len(texts[i : i + batch]) or any(len(v) == 0 for v in got):
-                    raise ValueError("the embedder must give one non-empty vector for each text")
-                vectors += got
+                vectors += reply_vectors(embed(texts[i : i + batch]), len(texts[i : i + batch]))
             yield pd.DataFrame({"_key": part["_key"], "embedding": vectors})
 
     made = distinct.mapInPandas(run, "_key string, embedding array<double>")

@@ -159,6 +159,39 @@ records as (select *, sha256(text) text_sha256 from made)
 """
 _BARE = rf"regexp_replace(X, '{_S}|[•\x{{f09f}}]', '', 'g')"
 
+_LETTER, _LEADER = r"^\(([a-z])\)\s+(.+)$", r"\s*\.{2,}.*$"
+SQL_LETTERED_PAGES = (
+    SQL_HEADS.replace("S17 ", "G3 ")
+    .replace(
+        "(i // 24 + 1)::varchar || '.' || ((i % 24) // 8 + 1)::varchar || '.' || ((i % 8) // 4 + 1)::varchar || ' '",
+        "'(' || substr('ab', ((i % 8) // 4 + 1)::int, 1) || ') Common' || chr(10) || 'Topic Title' || chr(10)",
+    )
+    .replace(
+        "'Contents text' page_text",
+        "'Contents text' || chr(10) || array_to_string(list_transform([1, 2, 3], lambda k: '1.' || k::varchar || '. Topic Heading' || chr(10) || '(a) Common' || chr(10) || 'Topic Title ..... 3' || chr(10) || '(b) Common Topic Title .... 4'), chr(10)) page_text",
+    )
+)
+SQL_TOC = SQL_LETTERED_PAGES + rf""",
+toc_subs as (select *, regexp_matches(line, '{_SUB}') is_sub, last_value(case when regexp_matches(line, '{_SUB}') then regexp_extract(line, '{_SUB}', 1) end ignore nulls) over (partition by document order by pdf_page, line_no) sub from kept where starts_with(printed_page, 'iii-')),
+toc_letters as (select *, case when not is_sub and sub is not null and regexp_matches(line, '{_LETTER}') then regexp_extract(line, '{_LETTER}', 1) end letter, regexp_matches(line, '{_LEADER}') and not is_sub leads from toc_subs),
+toc_entries as (select *, sum((letter is not null or is_sub)::int) over (partition by document order by pdf_page, line_no) entry from toc_letters),
+toc_open as (select *, coalesce(sum(leads::int) over (partition by document, entry order by pdf_page, line_no rows between unbounded preceding and 1 preceding), 0) ended,
+  trim(regexp_replace(case when letter is not null then regexp_extract(line, '{_LETTER}', 2) else line end, '{_LEADER}', '')) part from toc_entries),
+toc_whole as (select document, entry, max(sub) || '(' || max(letter) || ')' key, {_NORM.replace('X', "replace(string_agg(part, ' ' order by pdf_page, line_no), chr(61599), '•')")} toc_title from toc_open where ended = 0 group by 1, 2 having max(letter) is not null and max(leads::int) = 1),
+toc as (select document, key, arg_max(toc_title, entry) toc_title from toc_whole group by 1, 2)
+"""
+SQL_LETTERED = SQL_TOC + rf""",
+keyed as (select *, case when line_class = 'body' and cur_sub is not null and regexp_matches(line, '{_LETTER}') then cur_sub || '(' || regexp_extract(line, '{_LETTER}', 1) || ')' end key, trim(regexp_extract(line, '{_LETTER}', 2)) own,
+  row_number() over p spot, sum(blank_before::int) over p paragraph from heads window p as (partition by document, pdf_page order by line_no)),
+looked as (select k.*, toc_title, key is not null and case when d.document is null then {_TITLE.replace('line', 'own')} else toc_title is not null and (starts_with(lower(toc_title), lower(own)) or {_TITLE.replace('line', 'own')}) end is_letter
+  from keyed k left join toc using (document, key) left join (select distinct document from toc) d on d.document = k.document),
+ahead as (select h.document, h.pdf_page, h.spot, l.spot - h.spot taken, h.toc_title, h.own || ' ' || string_agg(l.line, ' ') over (partition by h.document, h.pdf_page, h.spot order by l.spot) title
+  from looked h join keyed l on l.document = h.document and l.pdf_page = h.pdf_page and l.paragraph = h.paragraph and l.spot > h.spot where h.is_letter and h.toc_title is not null),
+wrapped as (select document, pdf_page, spot, max(taken) taken, arg_max(title, taken) title from ahead where starts_with(lower(toc_title), lower(title)) group by 1, 2, 3),
+covering as (select l.*, coalesce(w.title, own) full_title, max(case when is_letter then l.spot + coalesce(taken, 0) end) over (partition by l.document, l.pdf_page order by l.spot rows between unbounded preceding and 1 preceding) covers from looked l left join wrapped w on w.document = l.document and w.pdf_page = l.pdf_page and w.spot = l.spot),
+lettered as (select * from covering where coalesce(covers, 0) < spot)
+"""
+
 
 def _body(spark: SparkSession, sf: str) -> DataFrame:
     return body_of(derived_pages(spark, sf))
@@ -239,12 +272,12 @@ def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf).select("document", "seg", "id")
 
 
-@query()
+@query(SQL_TOC + "select document, key, toc_title from toc")
 def toc_titles(spark: SparkSession, sf: str) -> DataFrame:
     return st.toc_titles(ln.kept_lines(derived_pages(spark, sf, GUIDELINE, contents=True), GUIDELINE), GUIDELINE)
 
 
-@query()
+@query(SQL_LETTERED + "select document, pdf_page::bigint pdf_page, line_no::bigint line_no, key number, full_title title from lettered where is_letter")
 def lettered_headings(spark: SparkSession, sf: str) -> DataFrame:
     kept = ln.kept_lines(derived_pages(spark, sf, GUIDELINE, contents=True), GUIDELINE)
     found = st.classified(ln.body_lines(kept, GUIDELINE), GUIDELINE, st.toc_titles(kept, GUIDELINE))
@@ -362,9 +395,8 @@ def review_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SQL_SIMPLE + "select id, length(text)::bigint n_chars, document, word_count from simple where doc_id % 50 not in (6, 7) and text <> ' '")
 def load_passages(spark: SparkSession, sf: str) -> DataFrame:
-    good = _simple(spark, sf).where("doc_id % 50 not in (6, 7) and text <> ' '")
-    wire = good.select(F.to_json(F.struct("id", "text", "metadata")).alias("value"))
-    d = wire.select(F.from_json("value", ps.RECORD_SCHEMA, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    good = _simple(spark, sf).where("doc_id % 50 not in (6, 7) and text <> ' '")  # of each repeated id neither row, and no blank text
+    d = tables.parsed_passages(good.select(F.to_json(F.struct("id", "text", "metadata")).alias("value")).union(spark.createDataFrame([(" ",)], "value string")))
     return d.select("id", F.length("text").alias("n_chars"), "metadata.document", "metadata.word_count")
 
 
@@ -451,9 +483,9 @@ def build_counts(spark: SparkSession, sf: str) -> DataFrame:
     return vec.build_counts(v, v.where("id % 3 = 0"))
 
 
-def _cosine_sql(where: str, last: str) -> str:
+def _cosine_sql(where: str, last: str, asked: str = "q.vec_id % 50 = 0") -> str:
     return f"""with pairs as (select q.vec_id query_id, v.vec_id id, round(list_dot_product(q.embedding::double[], v.embedding::double[]) / nullif(sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])), 0), 6) similarity
-from embeddings q, embeddings v where q.vec_id % 50 = 0 {where}),
+from embeddings q, embeddings v where {asked} {where}),
 hits as (select *, row_number() over (partition by query_id order by similarity desc nulls last, id) as rank from pairs qualify row_number() over (partition by query_id order by similarity desc nulls last, id) <= 3) {last}"""
 
 
@@ -555,19 +587,24 @@ def reply_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 _TURN_SQL = (
     _CLASS_SQL
-    + """, one as (select * from c where turn = 1), t as (
+    + ", one as (select * from c where turn = 1), "
+    + _cosine_sql("", "", "q.vec_id in (select conv_id from one where kind = 'tool_call' and conv_id % 2 = 0)").removeprefix("with ")
+    + """, found as (select query_id, string_agg('text-' || id::varchar, chr(10) || chr(10) order by rank) texts from hits group by 1), t as (
 select conv_id, 0 turn_order, 'assistant' as role, output->>'content' as text from one where kind = 'answer'
-union all select conv_id, 0, 'system', 'Regulation search: question ' || conv_id::varchar || chr(10) || 'Search results:' || chr(10) || 'No matching regulations found.' from one where kind = 'tool_call'
+union all select conv_id, 0, 'system', 'Regulation search: question ' || conv_id::varchar || chr(10) || 'Search results:' || chr(10) || coalesce(texts, 'No matching regulations found.') from one left join found on query_id = conv_id where kind = 'tool_call'
 union all select conv_id, 1, 'assistant', 'final ' || conv_id::varchar from one where kind = 'tool_call')
 """
 )
 
 
 def _turn(spark: SparkSession, sf: str) -> DataFrame:
+    """One turn of every conversation: its reply number 1 is the first phase's. Searches of even conversations find the
+    passages nearest to the vector with the conversation's number; the others find nothing."""
     first = conv.reply_classes(_replies(spark, sf).where("turn = 1"))
     asked = first.where("reply.kind = 'tool_call'").select(F.col("conv_id").alias("query_id"), F.col("reply.query").alias("query"))
-    none = asked.select("query_id", F.array("query").alias("texts")).limit(0)
-    evidence = conv.evidence_messages(asked, none).withColumnRenamed("query_id", "conv_id")
+    v = _vectors(spark, sf)
+    searched = v.join(asked.where("query_id % 2 = 0").select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
+    evidence = conv.evidence_messages(asked, conv.retrieve_texts(vec.cosine_topk(searched, v), v)).withColumnRenamed("query_id", "conv_id")
     final = first.select("conv_id", F.concat(F.lit('{"type": "answer", "content": "final '), F.col("conv_id").cast("string"), F.lit('"}')).alias("output"))
     return conv.turn_messages(first, evidence, conv.reply_classes(final, conv.PHASES[1]))
 
@@ -589,7 +626,17 @@ def appended_history(spark: SparkSession, sf: str) -> DataFrame:
     return conv.appended_history(turns, question, _turn(spark, sf))
 
 
-@query()
+@query(
+    SQL_RECORDS
+    + """, w as (select 'r' side, id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:[/-][A-Za-z0-9]+)*')) t from records
+  union all select 'q', item_id::varchar, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9]+(?:[/-][A-Za-z0-9]+)*')) from benchmark),
+b as (select side, id, ('0x' || md5(t)[1:8])::bigint % 64 bucket, count(*) n from w group by all), norms as (select side, id, sqrt(sum(n * n)) norm from b group by all),
+dots as (select q.id qid, r.id rid, sum(q.n * r.n) d from b q join b r on q.bucket = r.bucket and q.side = 'q' and r.side = 'r' group by 1, 2),
+near as (select qid, rid, round(d / (x.norm * y.norm), 6) similarity from dots join norms x on x.side = 'q' and x.id = qid join norms y on y.side = 'r' and y.id = rid),
+hits as (select *, row_number() over (partition by qid order by similarity desc, rid) as rank from near qualify row_number() over (partition by qid order by similarity desc, rid) <= 3)
+select item_id query_id, 'Regulation search: ' || any_value(q.text) || chr(10) || 'Search results:' || chr(10) || string_agg(records.text, chr(10) || chr(10) order by rank) evidence
+from benchmark q join hits on qid = item_id::varchar join records on id = rid group by 1"""
+)
 def answered_questions(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way: pages to records to vectors, and the evidence for each benchmark question."""
     questions = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))

@@ -14,9 +14,13 @@ from ..operators.passages import METADATA, RECORD_SCHEMA
 
 
 def load_passages(spark: SparkSession, path: str) -> DataFrame:
-    """Records from JSON lines, blank lines skipped. An empty input and repeated ids are errors."""
-    lines = spark.read.text(path).where(~is_blank(F.col("value")))
-    found = lines.select(F.from_json("value", RECORD_SCHEMA, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    """Records from files of JSON lines."""
+    return parsed_passages(spark.read.text(path))
+
+
+def parsed_passages(lines: DataFrame) -> DataFrame:
+    """Records from JSON lines in `value`, blank lines skipped. An empty input and repeated ids are errors."""
+    found = lines.where(~is_blank(F.col("value"))).select(F.from_json("value", RECORD_SCHEMA, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     if found.isEmpty():
         raise CorpusError("no passages")
     again = duplicate_ids(found).limit(10).collect()

@@ -53,6 +53,13 @@ def test_lettered_headings_follow_the_contents(spark):
     ]
 
 
+def test_lettered_titles_wrap_over_any_number_of_lines_but_no_blank_one(spark):
+    words = [f"Word{chr(65 + i)}" for i in range(14)]
+    contents = "IT SECURITY GUIDELINES\nRef. No.: G3 iii-1\n14.2 Development\n(a) " + "\n".join(words) + " ..... 30\n(b) Source Code ..... 31"
+    got = chunks(spark, contents, "Ref. No.: G3 1\n14. DEVELOPMENT\n14.2 Development\n(a) " + "\n".join(words) + "\nBody.\n(b) Source\n\nCode", profile=GUIDELINE)
+    assert [(r[0], r[4]) for r in got] == [("14.2(a)", " ".join(words) + " Body."), ("14.2(b)", "Source Code")]
+
+
 def test_repeated_sections_are_numbered_and_labels_checked(spark):
     p = pages(spark, "Ref. No.: S17 1\n1. TOP\n1.1.1 One\n1.1.1 Again\n\nA new paragraph")
     ids = [r.id for r in st.structural_chunks(ln.body_lines(ln.kept_lines(p))).orderBy("seg").collect()]
@@ -124,6 +131,33 @@ def test_one_shuffle_carries_pages_to_records(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_the_contents_come_without_shuffling_lines_again(spark):
+    p = pages(spark, "Ref. No.: G3 1\n1. TOP\nText.")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        plan = build_records(p, GUIDELINE)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    # The lines by document, once for the body and once for the contents; the join itself shuffles nothing.
+    assert plan.count("Exchange hashpartitioning(document") == plan.count("Exchange ") == 2 and plan.count("SortMergeJoin") == 1
+
+
+def test_reviews_are_in_document_order(spark):
+    page = "Ref. No.: S17 1\n1. TOP\n1.2.1 Two\ntext\n1.10.1 Ten\ntext"
+    got = checks.review_rows(build_records(pages(spark, page), place=True)).orderBy("position").collect()
+    assert [r.section for r in got] == ["1.2.1", "1.10.1"]
+
+
+def test_replies_are_put_in_order_by_their_numbers():
+    from leafmill.operators.vectors import reply_vectors
+
+    assert reply_vectors([(1, [2.0]), (0, [1.0])], 2) == [[1.0], [2.0]]
+    for wrong in ([(0, [1.0]), (0, [1.0])], [(1, [1.0]), (2, [1.0])], [(0, [1.0])], [[1.0]], [[1.0], []]):
+        with pytest.raises(ValueError):
+            reply_vectors(wrong, 2)
+
+
 def test_each_text_is_embedded_once(spark, tmp_path):
     from leafmill.operators.vectors import bucket_embedder
     from leafmill.plans.corpus import answer_questions
