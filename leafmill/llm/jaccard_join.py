@@ -431,3 +431,17 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s: Simi
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+#: The same by brute force: all pairs of classes that share a shingle, and all classes that links reach.
+ORACLE_SQL = """with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') ws from documents),
+sets as (select doc_id, list_sort(list_distinct(case when len(ws) = 0 then []::varchar[] when len(ws) < 4 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end)) shingles from words),
+keyed as (select doc_id, len(shingles) n, case when len(shingles) > 0 then md5(array_to_string(shingles, chr(10))) end class, shingles from sets),
+classes as (select class, any_value(n) n, any_value(shingles) shingles, min(doc_id) least from keyed where n > 0 group by 1),
+tokens as (select class, n, unnest(shingles) t from classes),
+shared as (select a.class x, b.class y, a.n + b.n both_n, count(*) common from tokens a join tokens b on a.t = b.t and a.class < b.class and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by all),
+links as (select x, y from shared where 100 * common >= 85 * (both_n - common)),
+edges as (select x, y from links union all select y, x from links),
+reach as (select class x, class y from classes union select reach.x, edges.y from reach join edges on reach.y = edges.x),
+comp as (select x class, min(least) component_id from reach join classes on reach.y = classes.class group by 1)
+select doc_id, n::bigint n_shingles, coalesce(component_id, doc_id) component_id from keyed left join comp using (class)"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import jaccard_join
 from .hash_forest import op10_hash_forest
 from .jaccard_join import op5_jaccard_join
 from .language_id import op2_language_id
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_jaccard_join": jaccard_join.ORACLE_SQL}

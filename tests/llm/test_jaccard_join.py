@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from leafmill.llm.jaccard_join import Similarity, components, link, op5_jaccard_join, shingle_sets, unions
+from leafmill.llm.jaccard_join import ORACLE_SQL, Similarity, components, link, op5_jaccard_join, shingle_sets, unions
 from leafmill.llm.textops import Texts
 
+from ..oracle import connect, same
 from . import awkward
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -152,3 +153,7 @@ def test_components_of_chains_of_any_length(spark, links):
     random.Random(2).shuffle(ids)
     edges = spark.createDataFrame([(min(p), max(p)) for p in zip(ids, ids[1:])] + [(1000, 1001), (1000, 1002)], "a long, b long")
     assert sorted((r.fp, r.comp) for r in components(edges).collect()) == [(i, -5) for i in sorted(ids)] + [(i, 1000) for i in (1000, 1001, 1002)]
+
+
+def test_against_sql(spark, sf):
+    same(op5_jaccard_join(spark, sf), connect(sf), ORACLE_SQL)
