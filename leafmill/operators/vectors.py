@@ -18,6 +18,8 @@ BATCH = 8
 BUCKETS = 64
 #: Query vectors broadcast at a time; more are searched block by block.
 QUERY_BLOCK = 4096
+#: Vectors compared with a block of queries at a time, so that a task holds a few matrices of 8 MB.
+VECTOR_SLICE = 256
 
 
 def embedding_inputs(records: DataFrame) -> DataFrame:
@@ -137,12 +139,17 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame
             for part in parts:
                 if not len(part) or not names:
                     continue
-                similar = np.round(_unit(np.array([np.asarray(v, float) for v in part["embedding"]])) @ q.T, 6) + 0.0
-                ids = part["id"].to_numpy()
-                order = np.argsort(ids, kind="stable")
-                similar, ids = similar[order], ids[order]
-                ranks = np.argsort(-np.nan_to_num(similar, nan=-2), axis=0, kind="stable")[:k]
-                yield pd.DataFrame({"query_id": np.repeat(names, len(ranks)), "id": ids[ranks.T.ravel()], "similarity": np.take_along_axis(similar, ranks, axis=0).T.ravel()})
+                part = part.sort_values("id", kind="stable")
+                ids, matrix = part["id"].to_numpy(), np.array([np.asarray(v, float) for v in part["embedding"]])
+                best: list[tuple[np.ndarray, np.ndarray]] = []
+                for at in range(0, len(ids), VECTOR_SLICE):
+                    similar = np.round(_unit(matrix[at : at + VECTOR_SLICE]) @ q.T, 6) + 0.0
+                    ranks = _first(similar, k)
+                    best.append((ids[at : at + VECTOR_SLICE][ranks], np.take_along_axis(similar, ranks, axis=0)))
+                # Slices are in order of ids, so ties still go to the smaller id.
+                found, similar = (np.concatenate(x) for x in zip(*best))
+                ranks = _first(similar, k)
+                yield pd.DataFrame({"query_id": np.repeat(names, len(ranks)), "id": np.take_along_axis(found, ranks, axis=0).T.ravel(), "similarity": np.take_along_axis(similar, ranks, axis=0).T.ravel()})
 
         schema = T.StructType([queries.schema["query_id"], T.StructField("id", id_type), T.StructField("similarity", T.DoubleType())])
         found = vectors.select("id", "embedding").mapInPandas(run, schema)
@@ -150,6 +157,11 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame
     return _ranked(out.withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double"))), k)
 
 
+def _first(similar: np.ndarray, k: int) -> np.ndarray:
+    """Rows of the k largest values of each column, largest first; of equal ones the upper first, and nan last."""
+    return np.argsort(-np.nan_to_num(similar, nan=-2), axis=0, kind="stable")[:k]
+
+
 def _unit(matrix: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
