@@ -3,11 +3,13 @@
 A softmax regression learns domains from the labelled table: clean, poor (quality 0) and toxic. Its inputs are the text
 figures of the quality classifier and the presence of the words that tell domains apart best. It predicts every document's
 domain posteriors. A document's rate says how often its tokens count in the mixture; rates start at 1 and move by projected
-gradient steps of a least squares problem: the expected tokens of each domain (rate x tokens x posterior, summed by Spark)
-shall equal the domain's target share of the budget. Residuals are weighted by the inverse of the posteriors' second
-moment over all documents: then a whole step never makes the loss grow (its Lipschitz constant is at most 1), and few
-passes are needed, over totals by posterior (a document's rate hangs on nothing else). A projection keeps rates nonnegative (and, if asked, at most `max_rate`). Steps end
-when all gaps, or all changes of the expected shares, are small; a stop before that is logged with the gap left. Only sums over all documents, of a few figures a domain, reach the driver.
+gradient steps of a least squares problem: the expected tokens of each domain (rate x tokens x posterior, summed by Spark
+over all documents) shall equal the domain's target share of the budget. The gradient is scaled by the inverse second moment
+of the documents that are free to move (not held at 0 or at `max_rate`), found anew in each round; the whole step, its
+halves down to 2**-11 and the same of the plain gradient are tried in one pass, and the one with the least loss is taken, so
+the loss always falls. A projection keeps rates nonnegative (and, if asked, at most `max_rate`). Rounds end when each domain is
+within `tolerance` of its own target, or no step lowers the loss by `least_gain` any more; there is no other limit. Where
+the targets can't all be met, the gap left is logged. A pass gives the driver a few dozen sums.
 
 The classifier learns from at most `sample` labelled rows, by least hash of their id; which words it looks at is settled by
 counts over the same rows. The largest budget at which no domain needs repeating is taken by default.
@@ -20,7 +22,7 @@ a rate like any other and is drawn by the hash of null. Extra columns are carrie
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,7 +37,8 @@ from .textops import Texts, checkpoint, map_texts, slices, table
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = (0.95, 0.04, 0.01)
 BUCKETS = 1 << 16
-GRID = 128
+#: Parts of a step that are tried.
+PARTS = 0.5 ** np.arange(12)
 
 
 @dataclass(frozen=True)
@@ -44,8 +47,8 @@ class Settings:
     words: int = 256
     steps: int = 400
     decay: float = 1e-3
-    rounds: int = 40
     tolerance: float = 1e-4
+    least_gain: float = 1e-3
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -163,62 +166,93 @@ def memberships(docs: DataFrame, model: Model, carry: list[str], text: str = "te
     return map_texts(docs, kernel, [T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))], carry, text=text)
 
 
+def _summed(members: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all rows of what `kernel` makes of tokens (n) and posteriors (n x domains): `size` figures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column("n_tokens").to_numpy(zero_copy_only=False).astype(float)
+                total += kernel(n, batch.column("posterior").flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["at", "x"])
+
+    out = np.zeros(size)
+    for at, x in members.select("n_tokens", "posterior").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x")).collect():
+        out[at] = x
+    return out
+
+
+def _moved(rates: np.ndarray, p: np.ndarray, move: np.ndarray, max_rate: float | None) -> np.ndarray:
+    return np.clip(rates - p @ move, 0, max_rate)
+
+
 def fitted_rates(members: DataFrame, targets: tuple[float, ...], s: Settings = Settings(), max_rate: float | None = None, whole: int | None = None) -> tuple[Column, list[float]]:
     """A column of rates over `members` (n_tokens, posterior), and each domain's expected share of the budget at these.
 
-    The budget is the largest that needs no repeats; or, with `whole`, the one that this domain fills by itself: domains
-    with less than their target then fall short of it, as the shares tell, and shrink nothing else."""
+    The budget is the largest that needs no repeats, and gaps count relative to each domain's own target; or, with `whole`,
+    the budget is the one that this domain fills by itself, and gaps count as shares of it: domains with less than their
+    target then are left as they are, as the shares tell, and shrink nothing else."""
     k = len(targets)
-    n, p = F.col("n_tokens"), [F.col("posterior")[i] for i in range(k)]
-    have = np.array(members.agg(*[F.coalesce(F.sum(n * p[i]), F.lit(0.0)).alias(f"h{i}") for i in range(k)]).first(), float)
+    have = _summed(members, lambda n, p: n @ p, k)
     goal = np.array(targets, float) / sum(targets)
     if not have.sum():
         return F.lit(1.0), have.tolist()
     budget = min(have[i] / goal[i] for i in range(k) if goal[i] > 0) if whole is None else have[whole] / goal[whole]
     budget = budget or have.sum()
-    if whole is not None:
-        goal = np.minimum(goal, have / budget)
-    rate: Column = F.lit(1.0)
-    expected, before = have / budget, np.full(k, np.inf)
+    used = [i for i in range(k) if whole is None or i == whole or have[i] > goal[i] * budget]
+    unit = np.zeros((k, len(used)))  # from posteriors to what a token adds to each domain's loss
+    unit[used, range(len(used))] = 1 / (budget * np.maximum(goal[used], 1e-9)) if whole is None else 1 / budget
+    aim = goal[used] * budget * unit[used, range(len(used))]
     moves: list[np.ndarray] = []
 
-    def folded() -> Column:
-        """Every step so far, each projected: a fold over a short literal list."""
-        steps = F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves])
-
-        def step(acc: Column, m: Column) -> Column:
-            moved = F.greatest(F.lit(0.0), acc - sum(p[i] * m[i] for i in range(k)))
-            return F.least(F.lit(float(max_rate)), moved) if max_rate is not None else moved
-
-        return F.aggregate(steps, F.lit(1.0), step)
-
-    # A rate hangs on the posteriors alone, so documents are put together by their posteriors' cell of a grid: at most
-    # GRID ** (k - 1) rows, each with its exact totals, however many documents there are.
-    cell = [F.floor(p[i] * GRID).cast("int").alias(f"c{i}") for i in range(k - 1)]
-    cells = members.groupBy(*cell).agg(F.sum("n_tokens").alias("n"), *[F.sum(n * p[i]).alias(f"t{i}") for i in range(k)]).where("n > 0")
-    cells = checkpoint(cells.select("n", F.array(*[F.col(f"t{i}") / F.col("n") for i in range(k)]).alias("posterior")).repartition(4))
-    weight = None
-    for _ in range(s.rounds):
-        d = cells.select("n", "posterior", rate.alias("rate"))
-        sums = [F.sum(F.col("rate") * F.col("n") * p[i]).alias(f"e{i}") for i in range(k)]
-        if weight is None:
-            sums += [F.sum(F.col("n") * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]
-        row = np.array(d.agg(*sums).first(), float) / budget
-        if weight is None:
-            moment = row[k:].reshape(k, k)
-            weight = np.linalg.inv(moment + 1e-9 * max(np.trace(moment) / k, 1e-9) * np.eye(k))
-        expected = row[:k]
-        gap = expected - goal
-        if np.abs(gap).max() < s.tolerance or np.abs(expected - before).max() < s.tolerance / 100:
+    def rates(p: np.ndarray) -> np.ndarray:
+        r = np.ones(len(p))
+        for m in moves:
+            r = _moved(r, p, m, max_rate)
+        return r
+
+    def moment_of(toward: np.ndarray | None) -> np.ndarray:
+        """The second moment of all documents, or of those that are free to move `toward` there."""
+
+        def kernel(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            a = p @ unit
+            if toward is None:
+                return (a * n[:, None]).T @ a
+            r, d = rates(p), p @ toward
+            free = ~((r <= 0) & (d >= 0)) & ~((r >= (np.inf if max_rate is None else max_rate)) & (d <= 0))
+            return (a[free] * n[free, None]).T @ a[free]
+
+        return _summed(members, kernel, len(used) ** 2).reshape(len(used), -1)
+
+    plain = np.eye(len(used))
+    gap, metric, largest = have @ unit - aim, plain, np.linalg.eigvalsh(moment_of(None))[-1]
+    while np.abs(gap / np.where(aim > 0, aim, 1)).max() > s.tolerance:
+        m = moment_of(unit @ metric @ gap)
+        scale = np.sqrt(np.maximum(np.diag(m), 1e-12 * largest))
+        metric = np.linalg.inv(m / np.outer(scale, scale) + 1e-9 * plain) / np.outer(scale, scale)
+        # By a step of the plain gradient over the largest second moment, the loss falls unless nothing can lower it.
+        steps = [unit @ x * t for x in (metric @ gap, gap / largest) for t in PARTS]
+
+        def tried(n: np.ndarray, p: np.ndarray) -> np.ndarray:
+            r, a = rates(p), p @ unit
+            return np.stack([(n * _moved(r, p, x, max_rate)) @ a for x in steps])
+
+        gaps = _summed(members, tried, len(steps) * len(used)).reshape(len(steps), -1) - aim
+        losses = (gaps**2).sum(axis=1)
+        best = int(losses.argmin())
+        if losses[best] > (1 - s.least_gain) * (gap @ gap):
+            logging.getLogger(__name__).warning("mixing: targets can't all be met; shares of the budget off by at most %.5f", np.abs(gap * (goal[used] if whole is None else 1)).max())
             break
-        before = expected
-        # No larger than it need be for the loss never to grow: see the docstring at the top.
-        moves.append(weight @ gap)
-        rate = folded()
-    else:
-        logging.getLogger(__name__).warning("mixing: not converged after %d rounds; largest gap %.5f of the budget", s.rounds, np.abs(gap).max())
-    row = members.agg(*[F.sum(rate * n * p[i]).alias(f"e{i}") for i in range(k)]).first()
-    return rate, [x / budget for x in row]
+        moves.append(steps[best])
+        gap, metric = gaps[best], metric if best < len(PARTS) else plain
+
+    def step(acc: Column, m: Column) -> Column:
+        moved = F.greatest(F.lit(0.0), acc - sum(F.col("posterior")[i] * m[i] for i in range(k)))
+        return F.least(F.lit(float(max_rate)), moved) if max_rate is not None else moved
+
+    rate = F.aggregate(F.array(*[F.array(*[F.lit(float(x)) for x in m]) for m in moves]), F.lit(1.0), step) if moves else F.lit(1.0)
+    return rate, (_summed(members, lambda n, p: (n * rates(p)) @ p, k) / budget).tolist()
 
 
 def copies(rate: Column, id_column: Column, seed: int = 0) -> Column:

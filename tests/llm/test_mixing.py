@@ -6,13 +6,13 @@ from leafmill.llm.mixing import DOMAINS, Settings, TARGETS, copies, fit, fitted_
 from . import awkward
 
 
-def test_expected_totals_match_targets_and_posteriors_are_right(spark):
-    sf = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_expected_totals_match_each_target_and_posteriors_are_right(spark, sf):
     got = op6_mixing(spark, sf).toPandas()
     assert len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
     assert (got["rate"] >= 0).all()
     totals = np.array([(got["rate"] * got["n_tokens"] * got[f"p_{d}"]).sum() for d in DOMAINS])
-    assert np.abs(totals / totals.sum() - TARGETS).max() < 0.01
+    assert np.abs(totals / totals.sum() / TARGETS - 1).max() < 0.01  # of each target
     labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().merge(got, on="doc_id")
     truth = np.where(labels["toxic"] == 1, 2, np.where(labels["quality"] == 0, 1, 0))
     best = labels[[f"p_{d}" for d in DOMAINS]].to_numpy().argmax(axis=1)
@@ -89,3 +89,24 @@ def test_a_scarce_domain_does_not_shrink_the_clean_one(spark, toxic):
     assert r[kind == 0].mean() > 0.97
     assert r[kind == 1].mean() < 0.75  # still thinned to its target
     assert expected[2] <= TARGETS[2]  # the shortfall is told
+
+
+@pytest.mark.parametrize("toxic", [0.0, 0.001, 0.12])
+def test_targets_are_met_however_scarce_a_domain_is(spark, toxic):
+    rng = np.random.default_rng(5)
+    kind = rng.choice(3, 4000, p=[0.8 - toxic, 0.2, toxic])
+    p = np.array([rng.dirichlet(np.eye(3)[k] * 30 + 0.02) for k in kind])
+    df = spark.createDataFrame([(int(t), x.tolist()) for t, x in zip(rng.integers(1, 900, 4000), p)], "n_tokens long, posterior array<double>")
+    rate, expected = fitted_rates(df, TARGETS)
+    assert np.abs(np.array(expected) / TARGETS - 1).max() < 0.01
+    got = df.select("n_tokens", "posterior", rate.alias("r")).toPandas()
+    assert np.allclose((got["n_tokens"] * got["r"]).to_numpy() @ np.stack(got["posterior"]) * expected[0] / ((got["n_tokens"] * got["r"]).to_numpy() @ np.stack(got["posterior"]))[0], expected)
+
+
+def test_long_texts_have_their_tokens_and_a_rate(spark):
+    text = "word " * 60_000
+    docs = spark.createDataFrame([(1, text), (2, "short text here"), (1, text)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (1, 0)], "doc_id long, domain int")
+    members = memberships(docs, fit(docs, labels), ["doc_id"])
+    got = members.withColumn("rate", fitted_rates(members, TARGETS)[0]).collect()
+    assert sorted(r.n_tokens for r in got) == [3, 60_000, 60_000] and all(r.rate >= 0 for r in got)
