@@ -26,22 +26,30 @@ def in_parts(df: DataFrame, order: list[Column] | None = None) -> DataFrame:
     return checkpoint(df.withColumn(PART, F.spark_partition_id()))
 
 
-def numbered(parts: DataFrame, group: str, order: list[Column], number: str, size: str | None = None) -> DataFrame:
-    """Add `number` (long, from 0 in each group) and, if asked for, `size` (rows of the group) to rows with `_part`; `order`
-    holds within a part, and over the whole group if parts are ranges of (group, order). Ties are numbered in any order. A
-    null group is a group of its own."""
+def running(parts: DataFrame, group: str, order: list[Column], sums: dict[str, Column], size: str | None = None) -> DataFrame:
+    """Add to rows with `_part` running sums over their group, each row's own value included, and, if asked for, the group's
+    number of rows. `order` holds within a part, and over the whole group if parts are ranges of (group, order). A null
+    group is a group of its own."""
     own = [PART, "_group"]
     parts = parts.withColumn("_group", F.coalesce(F.concat(F.lit("="), quoted(group).cast("string")), F.lit("")))
-    counts = parts.groupBy(*own).agg(F.count("*").alias("_n"))
+    added = {f"_v{i}": v for i, v in enumerate([*sums.values(), F.lit(1)])}
+    counts = parts.groupBy(*own).agg(*[F.sum(v).alias(c) for c, v in added.items()])
     # Parts of a hot group are many: first a thousand of them together, then within these.
     counts = counts.withColumn("_block", F.floor(F.col(PART) / 1024))
-    blocks = counts.groupBy("_group", "_block").agg(F.sum("_n").alias("_n"))
-    before = W.partitionBy("_group").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.select("_group", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"), F.sum("_n").over(W.partitionBy("_group")).alias("_size"))
-    inside = W.partitionBy("_group", "_block").orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(*own, "_block", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_ahead")).join(blocks, ["_group", "_block"])
-    starts = counts.select(*own, (F.col("_first") + F.col("_ahead")).alias("_start"), "_size")
-    place = F.row_number().over(W.partitionBy(*own).orderBy(*order)) - 1
-    out = parts.withColumn("_place", place.cast("long")).join(starts, own)
-    out = out.withColumn(number, F.col("_start") + F.col("_place"))
-    return (out.withColumn(size, F.col("_size")) if size else out).drop(PART, "_group", "_place", "_start", "_size")
+    blocks = counts.groupBy("_group", "_block").agg(*[F.sum(c).alias(c) for c in added])
+    ahead = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    before, inside = W.partitionBy("_group").orderBy("_block"), W.partitionBy("_group", "_block").orderBy(PART)
+    whole = F.sum(f"_v{len(sums)}").over(W.partitionBy("_group"))
+    blocks = blocks.select("_group", "_block", *[ahead(c, before).alias(f"_b{c}") for c in added], whole.alias("_size"))
+    starts = counts.select(*own, "_block", *[ahead(c, inside).alias(f"_a{c}") for c in added]).join(blocks, ["_group", "_block"])
+    starts = starts.select(*own, *[(F.col(f"_a{c}") + F.col(f"_b{c}")).alias(f"_s{c}") for c in added], "_size")
+    here = W.partitionBy(*own).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = parts.withColumns({c: F.sum(v).over(here) for c, v in added.items()}).join(starts, own)
+    out = out.withColumns({name: F.col(f"_s_v{i}") + F.col(f"_v{i}") for i, name in enumerate(sums)} | ({size: F.col("_size")} if size else {}))
+    return out.drop(*own, "_size", *added, *[f"_s{c}" for c in added])
+
+
+def numbered(parts: DataFrame, group: str, order: list[Column], number: str, size: str | None = None) -> DataFrame:
+    """Add `number` (long, from 0 in each group); ties are numbered in any order. For the rest, see `running`."""
+    out = running(parts, group, order, {number: F.lit(1)}, size)
+    return out.withColumn(number, F.col(number) - 1)
