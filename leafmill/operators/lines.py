@@ -53,11 +53,12 @@ def label_mismatches(rows: DataFrame, profile: Profile = STANDARD) -> DataFrame:
     return page_labels(rows).where(F.exists("names", lambda n: n != profile.document)).select("document", "pdf_page", "names")
 
 
-def kept_lines(pages: DataFrame, profile: Profile = STANDARD) -> DataFrame:
+def kept_lines(pages: DataFrame, profile: Profile = STANDARD, together: tuple[str, ...] = ("document",)) -> DataFrame:
     """document, pdf_page, line_no, line, blank_before, printed_page: text lines with their paragraph breaks.
 
-    A break stands before a line if a blank one lies between it and the text line before it on the same page."""
-    rows = without_header_block(pages, profile).repartition("document")
+    A break stands before a line if a blank one lies between it and the text line before it on the same page. Lines are
+    dealt by the columns `together`: by document, or by document and page where one document may be very large."""
+    rows = without_header_block(pages, profile).repartition(*together)
     ordered = page_window()
     label = F.when(F.col("line").rlike(PAGE_LABEL), strip(F.regexp_extract("line", PAGE_LABEL, 2)))
     # Labels are looked at once per page: the last one holds for all its lines.

@@ -40,14 +40,9 @@ def wrapped_titles(lines: DataFrame, profile: Profile = STANDARD) -> DataFrame:
     return rows.where(~(F.col("goes_on") & F.col("under_head"))).drop("goes_on", "head", "island", "under_head", "rest")
 
 
-def classified(lines: DataFrame, profile: Profile = STANDARD, toc: DataFrame | None = None) -> DataFrame:
-    """Add line_class (top, control, subsection, letter, body), number and title; heading context top and sub (structs).
-
-    toc: document, key, toc_title of lettered headings in the contents."""
+def with_line_class(rows: DataFrame, profile: Profile) -> DataFrame:
+    """Add line_class (without letters) to lines that know their top heading."""
     line = F.col("line")
-    rows = wrapped_titles(lines, profile)
-    rows = rows.withColumn("cur_top", F.last("top_section", ignorenulls=True).over(so_far())).withColumn("cur_top_title", F.last("top_title", ignorenulls=True).over(so_far()))
-    rows = rows.withColumn("top_seq", F.count("top_section").over(so_far()))
 
     def numbered(pattern: str) -> Column:
         fits = line.rlike(pattern) & F.col("top_section").isNull()
@@ -58,10 +53,12 @@ def classified(lines: DataFrame, profile: Profile = STANDARD, toc: DataFrame | N
     control = numbered(profile.control)
     sub = ~control & numbered(profile.subsection)
     rows = rows.withColumn("line_class", F.when(F.col("top_section").isNotNull(), "top").when(control, "control").when(sub, "subsection").otherwise("body"))
-    is_sub = F.col("line_class") == "subsection"
-    under_top = W.partitionBy("document", "top_seq").orderBy("pdf_page", "line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("cur_sub", F.last(F.when(is_sub, F.regexp_extract(line, profile.subsection, 1)), ignorenulls=True).over(under_top))
-    rows = rows.withColumn("cur_sub_title", F.last(F.when(is_sub, strip(F.regexp_extract(line, profile.subsection, 2))), ignorenulls=True).over(under_top))
+    return rows
+
+
+def with_titles(rows: DataFrame, profile: Profile, toc: DataFrame | None) -> DataFrame:
+    """Add number, title and parent_titles to lines that know their class and headings; letters are found here."""
+    line, is_sub = F.col("line"), F.col("line_class") == "subsection"
     number = F.when(F.col("line_class") == "top", F.col("top_section")).when(F.col("line_class") == "control", F.regexp_extract(line, profile.control, 1)).when(is_sub, F.regexp_extract(line, profile.subsection, 1))
     title = F.when(F.col("line_class") == "top", F.col("top_title")).when(F.col("line_class") == "control", strip(F.regexp_extract(line, profile.control, 2))).when(is_sub, strip(F.regexp_extract(line, profile.subsection, 2)))
     rows = rows.withColumn("number", number).withColumn("title", title)
@@ -72,6 +69,23 @@ def classified(lines: DataFrame, profile: Profile = STANDARD, toc: DataFrame | N
     return rows.withColumn("parent_titles", F.array_compact(F.array(top_text, sub_text))).drop("top_section", "top_title")
 
 
+def classified(lines: DataFrame, profile: Profile = STANDARD, toc: DataFrame | None = None) -> DataFrame:
+    """Add line_class (top, control, subsection, letter, body), number and title; heading context top and sub (structs).
+
+    toc: document, key, toc_title of lettered headings in the contents."""
+    line = F.col("line")
+    rows = wrapped_titles(lines, profile)
+    rows = rows.withColumn("cur_top", F.last("top_section", ignorenulls=True).over(so_far())).withColumn("cur_top_title", F.last("top_title", ignorenulls=True).over(so_far()))
+    rows = rows.withColumn("top_seq", F.count("top_section").over(so_far()))
+
+    rows = with_line_class(rows, profile)
+    is_sub = F.col("line_class") == "subsection"
+    under_top = W.partitionBy("document", "top_seq").orderBy("pdf_page", "line_no").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("cur_sub", F.last(F.when(is_sub, F.regexp_extract(line, profile.subsection, 1)), ignorenulls=True).over(under_top))
+    rows = rows.withColumn("cur_sub_title", F.last(F.when(is_sub, strip(F.regexp_extract(line, profile.subsection, 2))), ignorenulls=True).over(under_top))
+    return with_titles(rows, profile, toc)
+
+
 def toc_titles(lines: DataFrame, profile: Profile) -> DataFrame:
     """document, key, toc_title: lettered titles of the contents pages, wrapped entries joined up to the dot leader.
 
@@ -93,6 +107,11 @@ def toc_titles(lines: DataFrame, profile: Profile) -> DataFrame:
     return titled.groupBy("document", "key").agg(F.max_by("toc_title", "entry").alias("toc_title"))
 
 
+def contents_of(toc: DataFrame) -> DataFrame:
+    """document, contents: the lettered titles of a document as one map."""
+    return toc.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("key", "toc_title"))).alias("contents"))
+
+
 def lettered(rows: DataFrame, toc: DataFrame | None) -> DataFrame:
     """Resolve `(a) ...` lines: headings by the contents (or by their looks, where there are none), with wrapped titles
     joined from the lines of the same paragraph and page that carry on the title in the contents.
@@ -102,11 +121,10 @@ def lettered(rows: DataFrame, toc: DataFrame | None) -> DataFrame:
     letter = F.when((F.col("line_class") == "body") & F.col("cur_sub").isNotNull() & line.rlike(LETTER), F.regexp_extract(line, LETTER, 1))
     rows = rows.withColumn("key", F.when(letter.isNotNull(), F.format_string("%s(%s)", F.col("cur_sub"), letter)))
     own = strip(F.regexp_extract(line, LETTER, 2))
-    if toc is None:
+    if toc is None and "contents" not in rows.columns:
         rows = rows.withColumn("toc_title", F.lit(None).cast("string")).withColumn("has_toc", F.lit(False))
     else:
-        entries = toc.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("key", "toc_title"))).alias("contents"))
-        rows = rows.join(entries, "document", "left")
+        rows = rows if toc is None else rows.join(contents_of(toc), "document", "left")
         rows = rows.withColumn("toc_title", F.try_element_at("contents", F.col("key"))).withColumn("has_toc", F.col("contents").isNotNull()).drop("contents")
     by_contents = F.col("toc_title").isNotNull() & (F.lower("toc_title").startswith(F.lower(own)) | is_title_line(own))
     is_heading = F.col("key").isNotNull() & F.when(F.col("has_toc"), by_contents).otherwise(is_title_line(own))
@@ -143,6 +161,11 @@ def structural_chunks(lines: DataFrame, profile: Profile = STANDARD, toc: DataFr
     rows = classified(lines, profile, toc).where("cur_top is not null")
     heading = F.col("line_class") != "body"
     rows = rows.withColumn("seg", F.sum(F.when(heading, 1).otherwise(0)).over(so_far()))
+    return chunks_of(rows, profile)
+
+
+def chunks_of(rows: DataFrame, profile: Profile) -> DataFrame:
+    """The chunks of classed lines that know their `seg`."""
     clause = F.col("line_class").isin("control", "letter")
     rows = rows.where(clause | (F.col("line_class") == "body"))
     text = F.when(clause, F.col("title")).otherwise(F.col("line"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import clean_text, is_title_line, word_count
-from .operators import checks, conversations as conv, lines as ln, passages as ps, structure as st, vectors as vec
+from .operators import checks, conversations as conv, lines as ln, passages as ps, segments as sg, structure as st, vectors as vec
 from .plans.corpus import answer_questions, body_of, build_records
 from .profiles import GUIDELINE, STANDARD, TARGET_WORDS
 from .sources import tables
@@ -267,6 +267,21 @@ def structural_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("document", "seg", "kind", "section", F.array_join("parent_titles", " > ").alias("parents"), "pdf_page_start", "printed_page_start", F.size("lines").cast("long").alias("n_lines"), F.md5(ps.chunk_text(F.col("lines"))).alias("text_md5"))
 
 
+#: All pages of a source's documents, as one document.
+SQL_MERGED = SQL_CHUNKS.replace("pages as (", "own_pages as (", 1).replace(
+    ",\ncut as (", ",\npages as (select source document, p.document * 1000 + pdf_page pdf_page, page_text from own_pages p join documents d on d.doc_id = p.document),\ncut as (", 1
+)
+
+
+@query(SQL_MERGED + "select document, seg::bigint seg, id, kind, section, parents, pdf_page_start::bigint pdf_page_start, printed_page_start, n_lines, md5(text) text_md5 from ids")
+def large_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks of few documents of very many pages: the pages of each source's documents as one."""
+    of = read(spark, sf, "documents").select(F.col("doc_id").alias("document"), "source")
+    pages = derived_pages(spark, sf).join(of, "document").select(F.col("source").alias("document"), (F.col("document") * 1000 + F.col("pdf_page")).cast("int").alias("pdf_page"), "page_text")
+    d = sg.segmented_chunks(pages)
+    return d.select("document", "seg", "id", "kind", "section", F.array_join("parent_titles", " > ").alias("parents"), "pdf_page_start", "printed_page_start", F.size("lines").cast("long").alias("n_lines"), F.md5(ps.chunk_text(F.col("lines"))).alias("text_md5"))
+
+
 @query(SQL_CHUNKS + "select document, seg::bigint seg, id from ids")
 def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
     return _chunks(spark, sf).select("document", "seg", "id")
