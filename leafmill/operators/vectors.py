@@ -6,6 +6,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +19,11 @@ from .checks import CorpusError
 
 BATCH = 8
 BUCKETS = 64
-#: Query vectors broadcast at a time; more are searched block by block.
-QUERY_BLOCK = 4096
-#: Vectors compared with a block of queries at a time, so that a task holds a few matrices of 8 MB.
+#: Query vectors in a block, which is compared with VECTOR_SLICE vectors at a time: matrices of 2 MB.
+QUERY_BLOCK = 1024
 VECTOR_SLICE = 256
+#: Bytes of the vectors that a search task holds.
+HELD_BYTES = 64 << 20
 
 
 def embedding_inputs(records: DataFrame) -> DataFrame:
@@ -100,66 +104,99 @@ def build_counts(records: DataFrame, stored: DataFrame) -> DataFrame:
     return both.agg(F.coalesce(F.sum("i"), F.lit(0)).alias("input_count"), F.coalesce(F.sum("s"), F.lit(0)).alias("stored_count")).withColumn("agrees", F.col("input_count") == F.col("stored_count"))
 
 
-def cosine_native(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
-    """The same as `cosine_topk` in plain expressions; for small tables and tests."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    pairs = vectors.select("id", "embedding").join(F.broadcast(q))
-    cosine = dot(F.col("q"), F.col("embedding")) / F.nullif(norm(F.col("q")) * norm(F.col("embedding")), F.lit(0.0))
-    return _ranked(pairs.select("query_id", "id", F.round(cosine, 6).alias("similarity")), k)
-
-
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("similarity"), "id")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "id", "similarity", F.round(1 - F.col("similarity"), 6).alias("distance"))
 
 
-def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 3) -> DataFrame:
+def packed_vectors(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """keys, data, dim, number: blocks of at most `size` unit vectors, a row each, made where the vectors lie. `data` holds doubles,
+    row after row; zero vectors become nan. `number` tells blocks apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                piece = batch.slice(at, size)
+                dims = set(pc.list_value_length(piece.column("vector")).to_pylist())
+                if len(dims) != 1 or not dims - {0, None}:
+                    raise ValueError("vectors must be non-empty and of one length")
+                matrix = piece.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(piece.num_rows, -1)
+                keys = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("key"))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([_unit(matrix).tobytes()]), pa.array([matrix.shape[1]]), pa.array([number])], names=["keys", "data", "dim", "number"])
+                number += 1
+
+    schema = T.StructType([T.StructField("keys", T.ArrayType(rows.schema[key].dataType)), T.StructField("data", T.BinaryType()), T.StructField("dim", T.LongType()), T.StructField("number", T.LongType())])
+    return rows.select(F.col(key).alias("key"), F.col("embedding").cast("array<double>").alias("vector")).mapInArrow(run, schema)
+
+
+def nearest(asked: np.ndarray, stored: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of `stored` nearest to each of `asked`, and their cosines, both k (or fewer) x len(asked): most similar first, of
+    equal ones the upper row, nan last. A slice of VECTOR_SLICE rows at a time, so memory follows the number asked."""
+    columns = np.arange(len(asked))
+    found, best = np.zeros((0, len(asked)), np.int64), np.zeros((0, len(asked)))
+    for at in range(0, len(stored), VECTOR_SLICE):
+        similar = np.nan_to_num(np.round(stored[at : at + VECTOR_SLICE] @ asked.T, 6) + 0.0, nan=-2)
+        rows = np.concatenate([found, np.broadcast_to(np.arange(at, at + len(similar))[:, None], similar.shape)])
+        pool = np.concatenate([best, similar])
+        places = []
+        for _ in range(min(k, len(pool))):  # the first of the largest, k times
+            place = pool.argmax(axis=0)
+            places.append(place)
+            pool[place, columns] = -np.inf
+        pool = np.concatenate([best, similar])
+        found, best = rows[places, columns], pool[places, columns]
+    return found, np.where(best == -2, np.nan, best)
+
+
+def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 3, groups: int | None = None) -> DataFrame:
     """The k nearest passages of each query by cosine, most similar first, ties by id: query_id, rank, id, similarity, distance.
 
-    Query vectors are broadcast in blocks of QUERY_BLOCK; vectors never leave their partition: each batch gives its best k
-    for each query, and only ids and similarities are shuffled. Zero vectors rank last."""
+    One plan for any number of queries; nothing goes through the driver. Both sides are packed into blocks, a row each. Blocks
+    of vectors are dealt into groups of about HELD_BYTES, and each block of queries is sent to every group. A group's task
+    holds its vectors and lets the queries pass, so a vector is shuffled once and a query once a group; out come k rows for each
+    query and group, and the k best of them remain. Zero vectors rank last.
+
+    groups: how many; by default the vectors' bytes over HELD_BYTES, and no fewer than there are shuffle partitions."""
     if not isinstance(k, int) or isinstance(k, bool) or k < 1:
         raise ValueError("k must be a positive whole number")
-    id_type = vectors.schema["id"].dataType
-    block = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK))))
-    blocked = queries.select("query_id", "embedding", block.alias("block"))
-    out = None
-    for (number,) in blocked.select("block").distinct().collect() or [(0,)]:
-        got = blocked.where(F.col("block") == number).select("query_id", "embedding").toPandas()  # about QUERY_BLOCK rows
-        names, matrix = got["query_id"].tolist(), np.array([np.asarray(v, float) for v in got["embedding"]]) if len(got) else np.zeros((0, 1))
-        if len(got) and (matrix.ndim != 2 or not matrix.shape[1]):
-            raise ValueError("query vectors must be non-empty and of one length")
-        shared = vectors.sparkSession.sparkContext.broadcast((names, _unit(matrix)))
-
-        def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, q = shared.value
-            for part in parts:
-                if not len(part) or not names:
+    if groups is None:
+        size = vectors.agg((F.count("*") * F.coalesce(F.max(F.size("embedding")), F.lit(0)) * 8).alias("bytes")).first().bytes
+        groups = max(-(-size // HELD_BYTES), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    id_type, query_type = vectors.schema["id"].dataType, queries.schema["query_id"].dataType
+    stored = packed_vectors(vectors.select("id", "embedding"), "id", VECTOR_SLICE)
+    stored = stored.select(F.pmod(F.xxhash64("number"), F.lit(groups)).cast("int").alias("grp"), F.col("keys").alias("ids"), F.lit(None).cast(T.ArrayType(query_type)).alias("asked"), "data", "dim")
+    asked = packed_vectors(queries.select("query_id", "embedding"), "query_id", QUERY_BLOCK)
+    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"), F.lit(None).cast(T.ArrayType(id_type)).alias("ids"), F.col("keys").alias("asked"), "data", "dim")
+    rows = stored.unionByName(asked).repartition(groups, "grp").sortWithinPartitions("grp", F.col("asked").isNotNull())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each group first the vectors' blocks, which are held, then the queries', which pass."""
+        grp, ids, blocks, whole = None, [], [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                matrix = np.frombuffer(row.column("data")[0].as_buffer(), float).reshape(-1, row.column("dim")[0].as_py())
+                if row.column("grp")[0].as_py() != grp:
+                    grp, ids, blocks, whole = row.column("grp")[0].as_py(), [], [], None
+                if row.column("ids")[0].is_valid:
+                    ids.append(row.column("ids").flatten())
+                    blocks.append(matrix.copy())
+                    continue
+                if not ids:
                     continue
-                part = part.sort_values("id", kind="stable")
-                ids, matrix = part["id"].to_numpy(), np.array([np.asarray(v, float) for v in part["embedding"]])
-                best: list[tuple[np.ndarray, np.ndarray]] = []
-                for at in range(0, len(ids), VECTOR_SLICE):
-                    similar = np.round(_unit(matrix[at : at + VECTOR_SLICE]) @ q.T, 6) + 0.0
-                    ranks = _first(similar, k)
-                    best.append((ids[at : at + VECTOR_SLICE][ranks], np.take_along_axis(similar, ranks, axis=0)))
-                # Slices are in order of ids, so ties still go to the smaller id.
-                found, similar = (np.concatenate(x) for x in zip(*best))
-                ranks = _first(similar, k)
-                yield pd.DataFrame({"query_id": np.repeat(names, len(ranks)), "id": np.take_along_axis(found, ranks, axis=0).T.ravel(), "similarity": np.take_along_axis(similar, ranks, axis=0).T.ravel()})
-
-        schema = T.StructType([queries.schema["query_id"], T.StructField("id", id_type), T.StructField("similarity", T.DoubleType())])
-        found = vectors.select("id", "embedding").mapInPandas(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return _ranked(out.withColumn("similarity", F.nanvl("similarity", F.lit(None).cast("double"))), k)
-
-
-def _first(similar: np.ndarray, k: int) -> np.ndarray:
-    """Rows of the k largest values of each column, largest first; of equal ones the upper first, and nan last."""
-    return np.argsort(-np.nan_to_num(similar, nan=-2), axis=0, kind="stable")[:k]
+                if whole is None:  # in the order of ids, so that ties go to the smaller one
+                    names = pa.concat_arrays(ids)
+                    order = pc.sort_indices(names)
+                    names, whole, blocks = names.take(order), np.concatenate(blocks)[order.to_numpy()], []
+                found, similar = nearest(matrix, whole, k)
+                similar = pa.array(similar.T.ravel(), from_pandas=True)
+                asked = row.column("asked").flatten().take(pa.array(np.repeat(np.arange(len(matrix)), len(found))))
+                yield pa.RecordBatch.from_arrays([asked, names.take(pa.array(found.T.ravel())), similar], names=["query_id", "id", "similarity"])
+
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("similarity", T.DoubleType())])
+    return _ranked(rows.mapInArrow(run, schema), k)
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:

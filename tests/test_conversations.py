@@ -3,6 +3,8 @@ import pytest
 from leafmill.operators import checks, conversations as conv, vectors as vec
 from leafmill.sources import tables
 
+from .test_vectors import cosine_native
+
 FIRST, SECOND = conv.PHASES
 
 
@@ -41,7 +43,7 @@ def test_order_of_similar_passages_and_bad_k(spark):
     v = spark.createDataFrame([("encryption", [1.0, 0.0]), ("logging", [0.0, 1.0]), ("access", [0.9, 0.1]), ("zero", [0.0, 0.0])], "id string, embedding array<double>")
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
     assert [r.id for r in vec.cosine_topk(q, v).orderBy("rank").collect()] == ["encryption", "access", "logging"]
-    assert [(r.id, r.similarity) for r in vec.cosine_topk(q, v, 9).orderBy("rank").collect()] == [(r.id, r.similarity) for r in vec.cosine_native(q, v, 9).orderBy("rank").collect()]
+    assert [(r.id, r.similarity) for r in vec.cosine_topk(q, v, 9).orderBy("rank").collect()] == [(r.id, r.similarity) for r in cosine_native(q, v, 9).orderBy("rank").collect()]
     assert vec.cosine_topk(q, v.limit(0)).count() == 0
     for k in (0, -1, 1.5, True):
         with pytest.raises(ValueError):
