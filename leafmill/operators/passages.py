@@ -1,10 +1,13 @@
 """From structural chunks to size-bounded passages and records (R21-R28). All inside a chunk's own row: nothing is shuffled.
 
-Counting words is additive over parts joined by spaces, so packing is a fold over whole numbers; texts are cut afterwards.
+Counting words is additive over parts joined by spaces, so where units and packs begin is found from whole numbers and flags
+alone, in one pass over them (two small Arrow helpers); texts never leave the JVM and are cut by place, so a chunk costs in
+proportion to its length.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +19,43 @@ _WORD_CUT = rf"(?:^[^A-Za-z0-9]*+)?(?:[A-Za-z0-9]++(?:[/-][A-Za-z0-9]++)*+[^A-Za
 _ITEM = "array<struct<text:string,words:int,kind:string>>"
 
 
+def _spans_of_units(starts: pd.Series, kinds: pd.Series) -> pd.Series:
+    """From the parts' flags: first part, number of parts and kind of each unit. A kind holds until a part sets another."""
+    out: list[list[dict] | None] = []
+    for flags, names in zip(starts, kinds, strict=True):
+        if flags is None:
+            out.append(None)
+            continue
+        units, kind = [{"at": 0, "n": 0, "kind": "paragraph"}], "paragraph"
+        for i, (starts_here, name) in enumerate(zip(flags, names, strict=True)):
+            kind = kind if name is None else name
+            if starts_here:
+                units.append({"at": i, "n": 0, "kind": kind})
+            units[-1]["n"] += 1
+            units[-1]["kind"] = kind
+        out.append(units)
+    return pd.Series(out, dtype=object)
+
+
+def _spans_of_packs(words: pd.Series, joins: pd.Series, target: pd.Series) -> pd.Series:
+    """First item and number of items of each pack: neighbours that join stay together while their words are within the target."""
+    out: list[list[dict] | None] = []
+    for counts, flags, most in zip(words, joins, target, strict=True):
+        if counts is None:
+            out.append(None)
+            continue
+        packs, open_words, joining = [], 0, False
+        for i, (n, flag) in enumerate(zip(counts, flags, strict=True)):
+            if flag and joining and open_words + n <= most:
+                open_words += n
+                packs[-1]["n"] += 1
+            else:
+                packs.append({"at": i, "n": 1})
+                open_words, joining = n, flag
+        out.append(packs)
+    return pd.Series(out, dtype=object)
+
+
 def chunk_text(lines: Column) -> Column:
     """A chunk's text on one line."""
     return clean_text(F.array_join(F.transform(lines, lambda x: x["line"]), " "))
@@ -37,19 +77,12 @@ def semantic_units(chunks: DataFrame, profile: Profile = STANDARD) -> DataFrame:
     """Add `units`: array of (text, words, kind). A fragment that starts a unit closes the one before; others go on in the
     open unit, whatever its kind."""
     d = chunks.withColumn("_parts", F.flatten(F.transform("lines", lambda x: _fragments(x, profile.enumerated))))
-    none = F.array().cast("array<string>")
-    state = F.struct(F.array().cast("array<struct<texts:array<string>,kind:string>>").alias("done"), none.alias("texts"), F.lit("paragraph").alias("kind"))
-    closed = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["texts"].alias("texts"), acc["kind"].alias("kind"))))
-
-    def step(acc: Column, p: Column) -> Column:
-        more = F.when(p["text"] == "", none).otherwise(F.array(p["text"]))
-        done = F.when(p["starts"], closed(acc)).otherwise(acc["done"])
-        return F.struct(done.alias("done"), F.when(p["starts"], more).otherwise(F.concat(acc["texts"], more)).alias("texts"), F.coalesce(p["kind"], acc["kind"]).alias("kind"))
-
-    d = d.withColumn("_units", F.aggregate("_parts", state, step, closed))
+    spans = F.pandas_udf(_spans_of_units, "array<struct<at:int,n:int,kind:string>>")
+    d = d.withColumn("_spans", spans(F.transform("_parts", lambda p: p["starts"]), F.transform("_parts", lambda p: p["kind"])))
+    d = d.withColumn("_units", F.transform("_spans", lambda u: F.struct(F.filter(F.transform(F.slice("_parts", u["at"] + 1, u["n"]), lambda p: p["text"]), lambda t: t != "").alias("texts"), u["kind"].alias("kind"))))
     d = d.withColumn("_units", F.transform("_units", lambda u: F.struct(clean_text(F.array_join(u["texts"], " ")).alias("text"), u["kind"].alias("kind"))))
     d = d.withColumn("units", F.transform(F.filter("_units", lambda u: u["text"] != ""), lambda u: F.struct(u["text"].alias("text"), word_count(u["text"]).alias("words"), u["kind"].alias("kind"))))
-    return d.drop("_parts", "_units")
+    return d.drop("_parts", "_spans", "_units")
 
 
 def merge_leading_heading(units: Column) -> Column:
@@ -63,21 +96,15 @@ def merge_leading_heading(units: Column) -> Column:
 def packed(items: Column, joins: str, name: str) -> Column:
     """Pack neighbouring items of kind `joins` while their words stay within the target; others stand alone.
 
-    items: array of (text, words, kind); gives the same, with packs named `name`. A pack's text stays short, so it can
-    grow inside the fold."""
-    state = F.struct(F.array().cast(_ITEM).alias("done"), F.lit("").alias("text"), F.lit(0).alias("words"), F.lit(None).cast("string").alias("kind"))
-    closed = lambda acc: F.when(acc["kind"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["text"].alias("text"), acc["words"].alias("words"), acc["kind"].alias("kind")))))
-
-    def step(acc: Column, x: Column) -> Column:
-        goes_on = F.coalesce((x["kind"] == joins) & (acc["kind"] == name) & (acc["words"] + x["words"] <= TARGET_WORDS), F.lit(False))
-        return F.struct(
-            F.when(goes_on, acc["done"]).otherwise(closed(acc)).alias("done"),
-            F.when(goes_on, F.concat_ws(" ", acc["text"], x["text"])).otherwise(x["text"]).alias("text"),
-            (x["words"] + F.when(goes_on, acc["words"]).otherwise(0)).alias("words"),
-            F.when(x["kind"] == joins, name).otherwise(x["kind"]).alias("kind"),
-        )
-
-    return F.aggregate(items, state, step, closed)
+    items: array of (text, words, kind); gives the same, with packs named `name`."""
+    spans = F.pandas_udf(_spans_of_packs, "array<struct<at:int,n:int>>")(F.transform(items, lambda x: x["words"]), F.transform(items, lambda x: x["kind"] == joins), F.lit(TARGET_WORDS))
+
+    def pack(span: Column) -> Column:
+        own = F.slice(items, span["at"] + 1, span["n"])
+        kind = F.get(own, F.lit(0))["kind"]
+        return F.struct(F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"), F.aggregate(own, F.lit(0), lambda n, x: n + x["words"]).alias("words"), F.when(kind == joins, name).otherwise(kind).alias("kind"))
+
+    return F.transform(spans, pack)
 
 
 def sentence_items(text: Column, profile: Profile = STANDARD) -> Column:

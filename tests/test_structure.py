@@ -173,3 +173,22 @@ def test_each_text_is_embedded_once(spark, tmp_path):
     questions = spark.range(10).selectExpr("id query_id", "concat('question number ', id) query")
     assert len(answer_questions(records, questions, embed).collect()) == 10
     assert len(open(log).read()) == 50
+
+
+def test_units_and_packs_cost_in_proportion_to_a_chunk(spark):
+    import time
+
+    def seconds(n):
+        line = F.when(F.col("id") % 3 == 0, F.concat(F.lit("• bullet words "), F.col("id").cast("string"))).otherwise(F.lit("Plain body words here."))
+        d = spark.range(n).coalesce(1).select("id", F.struct(line.alias("line"), (F.col("id") % 2 == 0).alias("blank_before")).alias("x")).groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "x"))), lambda y: y["x"]).alias("lines"))
+        d = d.select("lines", F.lit("D").alias("document"), F.lit(1).alias("seg")).cache()
+        d.count()
+        began = time.time()
+        units = ps.semantic_units(d)
+        got = units.select(F.size("units").alias("u"), F.size(ps.packed(F.col("units"), "paragraph", "paragraph_group")).alias("p")).first()
+        d.unpersist()
+        assert got.u > n // 2 and got.p > n // 3
+        return time.time() - began
+
+    seconds(1_000)
+    assert seconds(40_000) < 8 * seconds(10_000)
