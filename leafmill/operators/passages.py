@@ -1,13 +1,13 @@
 """From structural chunks to size-bounded passages and records (R21-R28). All inside a chunk's own row: nothing is shuffled.
 
-Counting words is additive over parts joined by spaces, so where units and packs begin is found from whole numbers and flags
-alone, in one pass over them (two small Arrow helpers); texts never leave the JVM and are cut by place, so a chunk costs in
-proportion to its length.
+Counting words is additive over parts joined by spaces, so packing is a fold over whole numbers. A fold copies the list that it
+adds to; `folded` folds block by block, so a chunk costs in proportion to its length.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,44 +16,27 @@ from ..functions.text import SENTENCE_BREAK, clean_text, is_title_line, strip, w
 from ..profiles import BULLET, BULLETS, HARD_MAX_WORDS, HEADING_WORDS, TARGET_WORDS, Profile, STANDARD
 
 _WORD_CUT = rf"(?:^[^A-Za-z0-9]*+)?(?:[A-Za-z0-9]++(?:[/-][A-Za-z0-9]++)*+[^A-Za-z0-9]*+){{1,{TARGET_WORDS}}}"
-_ITEM = "array<struct<text:string,words:int,kind:string>>"
-
-
-def _spans_of_units(starts: pd.Series, kinds: pd.Series) -> pd.Series:
-    """From the parts' flags: first part, number of parts and kind of each unit. A kind holds until a part sets another."""
-    out: list[list[dict] | None] = []
-    for flags, names in zip(starts, kinds, strict=True):
-        if flags is None:
-            out.append(None)
-            continue
-        units, kind = [{"at": 0, "n": 0, "kind": "paragraph"}], "paragraph"
-        for i, (starts_here, name) in enumerate(zip(flags, names, strict=True)):
-            kind = kind if name is None else name
-            if starts_here:
-                units.append({"at": i, "n": 0, "kind": kind})
-            units[-1]["n"] += 1
-            units[-1]["kind"] = kind
-        out.append(units)
-    return pd.Series(out, dtype=object)
-
-
-def _spans_of_packs(words: pd.Series, joins: pd.Series, target: pd.Series) -> pd.Series:
-    """First item and number of items of each pack: neighbours that join stay together while their words are within the target."""
-    out: list[list[dict] | None] = []
-    for counts, flags, most in zip(words, joins, target, strict=True):
-        if counts is None:
-            out.append(None)
-            continue
-        packs, open_words, joining = [], 0, False
-        for i, (n, flag) in enumerate(zip(counts, flags, strict=True)):
-            if flag and joining and open_words + n <= most:
-                open_words += n
-                packs[-1]["n"] += 1
-            else:
-                packs.append({"at": i, "n": 1})
-                open_words, joining = n, flag
-        out.append(packs)
-    return pd.Series(out, dtype=object)
+_STRUCT = "struct<text:string,words:int,kind:string>"
+_ITEM = f"array<{_STRUCT}>"
+
+
+#: Items of a block of a fold.
+BLOCK_ITEMS = 128
+
+
+def folded(items: Column, kind: str, state: dict[str, Column], step: Callable[[Column, Column], Column], finish: Callable[[Column], Column]) -> Column:
+    """A fold over `items` that makes a list of `kind`. States are structs of the list `done` and the fields of `state`; `finish`
+    gives the list from the last one. Each block of items adds to a list of its own; the lists are put together at the end."""
+    none = F.array().cast(f"array<{kind}>").alias("done")
+    last_block = F.greatest(F.ceil(F.size(items) / BLOCK_ITEMS).cast("int") - 1, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last_block), lambda b: F.slice(items, b * BLOCK_ITEMS + 1, BLOCK_ITEMS))
+    start = F.struct(F.array().cast(f"array<array<{kind}>>").alias("lists"), F.struct(none, *[v.alias(n) for n, v in state.items()]).alias("last"))
+
+    def block_step(acc: Column, block: Column) -> Column:
+        opened = F.struct(none, *[acc["last"][n].alias(n) for n in state])
+        return F.struct(F.concat(acc["lists"], F.array(acc["last"]["done"])).alias("lists"), F.aggregate(block, opened, step).alias("last"))
+
+    return F.aggregate(blocks, start, block_step, lambda acc: F.flatten(F.concat(acc["lists"], F.array(finish(acc["last"])))))
 
 
 def chunk_text(lines: Column) -> Column:
@@ -77,9 +60,14 @@ def semantic_units(chunks: DataFrame, profile: Profile = STANDARD) -> DataFrame:
     """Add `units`: array of (text, words, kind). A fragment that starts a unit closes the one before; others go on in the
     open unit, whatever its kind."""
     d = chunks.withColumn("_parts", F.flatten(F.transform("lines", lambda x: _fragments(x, profile.enumerated))))
-    spans = F.pandas_udf(_spans_of_units, "array<struct<at:int,n:int,kind:string>>")
-    d = d.withColumn("_spans", spans(F.transform("_parts", lambda p: p["starts"]), F.transform("_parts", lambda p: p["kind"])))
-    d = d.withColumn("_units", F.transform("_spans", lambda u: F.struct(F.filter(F.transform(F.slice("_parts", u["at"] + 1, u["n"]), lambda p: p["text"]), lambda t: t != "").alias("texts"), u["kind"].alias("kind"))))
+    starts = F.concat(F.array(F.lit(0)), F.array_compact(F.transform("_parts", lambda p, i: F.when(p["starts"], i))))
+    ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(F.size("_parts")))
+    set_by = F.transform(F.filter("_parts", lambda p: p["starts"]), lambda p: p["kind"])
+    add = lambda acc, kind: F.struct(F.concat(acc["done"], F.array(F.coalesce(kind, acc["kind"]))).alias("done"), F.coalesce(kind, acc["kind"]).alias("kind"))
+    kinds = F.concat(F.array(F.lit("paragraph")), folded(set_by, "string", {"kind": F.lit("paragraph")}, add, lambda acc: acc["done"]))
+    spans = F.arrays_zip(starts.alias("at"), ends.alias("to"), kinds.alias("kind"))
+    own = lambda u: F.filter(F.transform(F.slice("_parts", u["at"] + 1, u["to"] - u["at"]), lambda p: p["text"]), lambda t: t != "")
+    d = d.withColumn("_spans", F.when(F.col("_parts").isNotNull(), spans)).withColumn("_units", F.transform("_spans", lambda u: F.struct(own(u).alias("texts"), u["kind"].alias("kind"))))
     d = d.withColumn("_units", F.transform("_units", lambda u: F.struct(clean_text(F.array_join(u["texts"], " ")).alias("text"), u["kind"].alias("kind"))))
     d = d.withColumn("units", F.transform(F.filter("_units", lambda u: u["text"] != ""), lambda u: F.struct(u["text"].alias("text"), word_count(u["text"]).alias("words"), u["kind"].alias("kind"))))
     return d.drop("_parts", "_spans", "_units")
@@ -97,14 +85,18 @@ def packed(items: Column, joins: str, name: str) -> Column:
     """Pack neighbouring items of kind `joins` while their words stay within the target; others stand alone.
 
     items: array of (text, words, kind); gives the same, with packs named `name`."""
-    spans = F.pandas_udf(_spans_of_packs, "array<struct<at:int,n:int>>")(F.transform(items, lambda x: x["words"]), F.transform(items, lambda x: x["kind"] == joins), F.lit(TARGET_WORDS))
+    closed = lambda acc: F.when(acc["kind"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["text"].alias("text"), acc["words"].alias("words"), acc["kind"].alias("kind")))))
 
-    def pack(span: Column) -> Column:
-        own = F.slice(items, span["at"] + 1, span["n"])
-        kind = F.get(own, F.lit(0))["kind"]
-        return F.struct(F.array_join(F.transform(own, lambda x: x["text"]), " ").alias("text"), F.aggregate(own, F.lit(0), lambda n, x: n + x["words"]).alias("words"), F.when(kind == joins, name).otherwise(kind).alias("kind"))
+    def step(acc: Column, x: Column) -> Column:
+        goes_on = F.coalesce((x["kind"] == joins) & (acc["kind"] == name) & (acc["words"] + x["words"] <= TARGET_WORDS), F.lit(False))
+        return F.struct(
+            F.when(goes_on, acc["done"]).otherwise(closed(acc)).alias("done"),
+            F.when(goes_on, F.concat_ws(" ", acc["text"], x["text"])).otherwise(x["text"]).alias("text"),
+            (x["words"] + F.when(goes_on, acc["words"]).otherwise(0)).alias("words"),
+            F.when(x["kind"] == joins, name).otherwise(x["kind"]).alias("kind"),
+        )
 
-    return F.transform(spans, pack)
+    return F.when(items.isNotNull(), folded(items, _STRUCT, {"text": F.lit(""), "words": F.lit(0), "kind": F.lit(None).cast("string")}, step, closed))
 
 
 def sentence_items(text: Column, profile: Profile = STANDARD) -> Column:
@@ -130,7 +122,8 @@ def split_to_target(items: DataFrame, profile: Profile = STANDARD) -> DataFrame:
 def retrieval_pieces(chunks: DataFrame, profile: Profile = STANDARD) -> DataFrame:
     """One row a piece: the chunk's columns, piece (text, words, kind = split method), part_number and part_count.
 
-    The steps stand in rows of their own, still within the chunk's partition."""
+    The steps stand in rows of their own, still within the chunk's partition. No list is ever empty, and the outer form of
+    explode says so: with the plain one, Spark would make each list once more to filter out empty ones."""
     d = chunks.withColumnRenamed("kind", "source_kind").withColumn("_text", chunk_text(F.col("lines"))).withColumn("_words", word_count(F.col("_text")))
     d = d.withColumn("lines", F.when(F.col("_words") > TARGET_WORDS, F.col("lines")))  # only large chunks are looked at line by line
     d = semantic_units(d, profile)
@@ -138,9 +131,9 @@ def retrieval_pieces(chunks: DataFrame, profile: Profile = STANDARD) -> DataFram
     whole = lambda kind: F.array(F.struct(F.col("_text").alias("text"), F.col("_words").alias("words"), F.lit(kind).alias("kind")))
     packs = F.when(F.col("_words") <= TARGET_WORDS, whole("unchanged")).when(F.size("units") > 0, packed(F.col("units"), "paragraph", "paragraph_group")).otherwise(whole("sentence_boundary"))
     d = d.withColumn("_packs", packs).drop("lines", "units", "_text", "_words")
-    d = d.select("*", F.posexplode("_packs").alias("_pack", "_item")).drop("_packs").select("*", "_item.*").drop("_item")
+    d = d.select("*", F.posexplode_outer("_packs").alias("_pack", "_item")).drop("_packs").select("*", "_item.*").drop("_item")
     d = split_to_target(d, profile).drop("text", "words", "kind")
-    d = d.select("*", F.posexplode("pieces").alias("_piece", "piece")).drop("pieces")
+    d = d.select("*", F.posexplode_outer("pieces").alias("_piece", "piece")).drop("pieces")
     own = W.partitionBy("document", "seg")
     return d.withColumn("part_number", F.row_number().over(own.orderBy("_pack", "_piece"))).withColumn("part_count", F.count("*").over(own).cast("int")).drop("_pack", "_piece")
 

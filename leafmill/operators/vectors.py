@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +37,6 @@ def embedding_inputs(records: DataFrame) -> DataFrame:
 
 def bucket_embedder(texts: list[str]) -> list[list[float]]:
     """A stand-in for an embedding service: words counted in hashed buckets, to unit length."""
-    import hashlib
     import re
 
     out = []
@@ -81,6 +83,58 @@ def embed_passages(rows: DataFrame, embed: Callable[[list[str]], list[list[float
     return keyed.join(made, "_key").drop("_key")
 
 
+def embed_resumably(rows: DataFrame, embed: Callable[[list[str]], list[list[float]]], store: str, text: str = "text", batch: int = BATCH) -> DataFrame:
+    """As `embed_passages`, but no text is paid for twice, whatever fails: vectors are kept in `store`, a folder that all
+    executors share (a path, or an address that Arrow's file systems open), by the hash of their text.
+
+    Each batch is committed by itself as soon as its reply is there: its file, named by the hash of its texts' hashes, is
+    written aside and then moved. Texts are in order of their hashes within a task, so a task that is tried again makes the
+    same batches, and finds those that it had committed. After a job that broke off, the next one takes over what its tasks
+    had committed, in whatever batches, before it asks for the rest. At the end of a job batches become one Parquet table."""
+    if not rows.where(is_blank(F.col(text))).isEmpty():
+        raise CorpusError("blank text to embed")
+    spark, (files, root) = rows.sparkSession, fs.FileSystem.from_uri(store)
+    for name in ("batches", "vectors"):
+        files.create_dir(f"{root}/{name}", recursive=True)
+    schema = "_key string, embedding array<double>"
+
+    def table() -> DataFrame:
+        return spark.read.schema(schema).parquet(f"{store}/vectors")
+
+    def opened(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for content in part.column("content"):
+                yield from pa.ipc.open_stream(content.as_buffer())
+
+    left = spark.read.format("binaryFile").load(f"{store}/batches").select("content").mapInArrow(opened, schema)
+    # Of a batch that a broken job had already put into the table, nothing is added again.
+    left.dropDuplicates(["_key"]).join(table().select("_key"), "_key", "left_anti").write.mode("append").parquet(f"{store}/vectors")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, place = fs.FileSystem.from_uri(store)
+        for part in parts:
+            for at in range(0, part.num_rows, batch):
+                keys, texts = (part.column(c).slice(at, batch).to_pylist() for c in ("_key", "text"))
+                path = f"{place}/batches/{hashlib.sha256(','.join(keys).encode()).hexdigest()}.arrow"
+                if here.get_file_info(path).type == fs.FileType.File:
+                    with here.open_input_stream(path) as f:
+                        yield from pa.ipc.open_stream(f.read())
+                    continue
+                vectors = reply_vectors(embed(texts), len(texts))
+                made = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float64()))], names=["_key", "embedding"])
+                aside = f"{place}/batches/_{uuid.uuid4().hex}"
+                with here.open_output_stream(aside) as f, pa.ipc.new_stream(f, made.schema) as out:
+                    out.write_batch(made)
+                here.move(aside, path)
+                yield made
+
+    keyed = rows.withColumn("_key", F.sha2(F.col(text), 256))
+    asked = keyed.groupBy("_key").agg(F.first(text).alias("text")).join(table().select("_key"), "_key", "left_anti")
+    asked.sortWithinPartitions("_key").mapInArrow(run, schema).write.mode("append").parquet(f"{store}/vectors")
+    files.delete_dir_contents(f"{root}/batches")
+    return keyed.join(table(), "_key").drop("_key")
+
+
 def vector_dimensions(vectors: DataFrame) -> DataFrame:
     """One row: least and most length, rows without a vector, and whether all fit."""
     size = F.coalesce(F.size("embedding"), F.lit(0))

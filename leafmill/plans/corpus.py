@@ -36,6 +36,33 @@ def checked_records(pages: DataFrame, profile: Profile = STANDARD) -> DataFrame:
     return records
 
 
+def resume_build(records: DataFrame, root: str, embed: Callable[[list[str]], list[list[float]]], model: str) -> DataFrame:
+    """The vector table under `root` brought up to `records` (id, text): what is stored stays, what is new is embedded and
+    upserted. Gives the manifest's row.
+
+    Stored ids that the input no longer has, vectors of several lengths and counts that don't agree are errors, and the table
+    stays as it was: a snapshot is pointed to only after its checks. Whatever fails, no text is embedded twice."""
+    spark = records.sparkSession
+    last = tables.last_snapshot(spark, root)
+    number, stored = last if last else (0, None)
+    todo = records.select("id", "text")
+    if stored is not None:
+        stale = vectors.unexpected_ids(records, stored).limit(5).collect()
+        if stale:
+            raise checks.CorpusError(f"stored ids that the input no longer has: {[r.id for r in stale]}")
+        todo = vectors.remaining_passages(todo, stored)
+    made = vectors.embed_resumably(todo, embed, f"{root}/_texts").select("id", "text", "embedding")
+    table = tables.snapshot(made if stored is None else tables.upserted(stored, made))
+    size = vectors.vector_dimensions(table).first()
+    if size.n and not size.fits:
+        raise checks.CorpusError(f"vectors of {size.least} to {size.most} figures, {size.empty} without any")
+    counts = vectors.build_counts(records, table).first()
+    if not counts.agrees:
+        raise checks.CorpusError(f"{counts.input_count} passages, {counts.stored_count} stored")
+    tables.write_snapshot(spark, table, root, number + 1)
+    return tables.build_manifest(table, model)
+
+
 def answer_questions(records: DataFrame, questions: DataFrame, embed: Callable[[list[str]], list[list[float]]], k: int = 3) -> DataFrame:
     """query_id, evidence: the k nearest passages' texts for each question. Blank questions are an error before any call.
 

@@ -320,13 +320,13 @@ def _large_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SQL_UNITS + "select id, unit, kind, words, md5(text) text_md5 from units")
 def semantic_units(spark: SparkSession, sf: str) -> DataFrame:
-    return _large_chunks(spark, sf).select("id", F.posexplode("units").alias("unit", "u")).select("id", "unit", "u.kind", "u.words", F.md5("u.text").alias("text_md5"))
+    return _large_chunks(spark, sf).select("id", F.posexplode_outer("units").alias("unit", "u")).where("u is not null").select("id", "unit", "u.kind", "u.words", F.md5("u.text").alias("text_md5"))
 
 
 @query(SQL_UNITS + "select id, pack, p.kind kind, p.words as words from packs")
 def packed_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     d = _large_chunks(spark, sf).withColumn("units", ps.merge_leading_heading(F.col("units")))
-    return d.select("id", F.posexplode(ps.packed(F.col("units"), "paragraph", "paragraph_group")).alias("pack", "u")).select("id", "pack", "u.kind", "u.words")
+    return d.select("id", F.posexplode_outer(ps.packed(F.col("units"), "paragraph", "paragraph_group")).alias("pack", "u")).where("u is not null").select("id", "pack", "u.kind", "u.words")
 
 
 @query(
@@ -336,7 +336,7 @@ def packed_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 def sentence_pieces(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").where("text is not null").select("doc_id", clean_text(F.col("text")).alias("text"), F.lit("document").alias("kind"))
     d = ps.split_to_target(docs.withColumn("words", word_count(F.col("text"))))
-    return d.select("doc_id", F.posexplode("pieces").alias("part", "p")).select("doc_id", "part", F.col("p.kind").alias("split_method"), F.col("p.words").alias("words"), F.md5("p.text").alias("text_md5"))
+    return d.select("doc_id", F.posexplode_outer("pieces").alias("part", "p")).select("doc_id", "part", F.col("p.kind").alias("split_method"), F.col("p.words").alias("words"), F.md5("p.text").alias("text_md5"))
 
 
 @query(SQL_RECORDS + "select * exclude (seg, whole, body) from records")

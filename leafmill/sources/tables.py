@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,17 @@ def current_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def last_snapshot(spark: SparkSession, root: str) -> tuple[int, DataFrame] | None:
+    """Number and rows of the newest snapshot; None if there is none yet."""
+    try:
+        newest = spark.read.schema("number long, path string").json(f"{root}/_pointer").orderBy(F.desc("number")).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return None if newest is None else (newest.number, spark.read.parquet(newest.path))
+
+
 def build_manifest(vectors: DataFrame, model: str, batch: int = 8, timed: bool = True) -> DataFrame:
     """One row: counts, dimension, model, input fields, a hash over all ids and texts, and (if asked) the time."""
     pair = F.sha2(F.concat_ws("\x1f", F.col("id").cast("string"), "text"), 256)
