@@ -450,7 +450,9 @@ def upsert_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """select 'bucket' model, 'section,parent_titles,text' input_fields, count(*) chunk_count, count(distinct vec_id) ids, max(len(embedding))::bigint dimension, 8::bigint batch_size,
-sum(('0x' || sha256(vec_id::varchar || chr(31) || 'text-' || vec_id::varchar)[1:8])::bigint)::varchar source_hash from embeddings"""
+concat_ws('-', """
+    + ", ".join(f"(sum(('0x' || sha256(vec_id::varchar || chr(31) || 'text-' || vec_id::varchar)[{1 + 16 * i}:{16 + 16 * i}])::hugeint) % 18446744073709551616::hugeint)::varchar" for i in range(4))
+    + ") source_hash from embeddings"
 )
 def build_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return tables.build_manifest(_vectors(spark, sf), "bucket", timed=False)

@@ -78,10 +78,11 @@ def last_snapshot(spark: SparkSession, root: str) -> tuple[int, DataFrame] | Non
 def build_manifest(vectors: DataFrame, model: str, batch: int = 8, timed: bool = True) -> DataFrame:
     """One row: counts, dimension, model, input fields, a hash over all ids and texts, and (if asked) the time."""
     pair = F.sha2(F.concat_ws("\x1f", F.col("id").cast("string"), "text"), 256)
-    # Hashes are added up as numbers, so no order and no gathering is needed.
-    number = F.conv(F.substring(pair, 1, 8), 16, 10).cast("long")
+    # Hashes are added up in four lanes of 64 bits, so no order and no gathering is needed.
+    lane = lambda i: F.sum(F.conv(F.substring(pair, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)"))
+    lanes = [F.pmod(F.coalesce(lane(i), F.lit(0)), F.lit(str(1 << 64)).cast("decimal(20,0)")).cast("decimal(20,0)").cast("string") for i in range(4)]
     out = vectors.agg(
-        F.count("*").alias("chunk_count"), F.countDistinct("id").alias("ids"), F.max(F.size("embedding")).alias("dimension"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("source_hash")
+        F.count("*").alias("chunk_count"), F.countDistinct("id").alias("ids"), F.max(F.size("embedding")).alias("dimension"), F.concat_ws("-", *lanes).alias("source_hash")
     ).select(F.lit(model).alias("model"), F.lit("section,parent_titles,text").alias("input_fields"), "chunk_count", "ids", "dimension", F.lit(batch).alias("batch_size"), "source_hash")
     return out.withColumn("built_at_utc", F.current_timestamp()) if timed else out
 

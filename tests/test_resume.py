@@ -73,3 +73,11 @@ def test_resumed_builds(spark, tmp_path):
 
 def test_an_empty_build(spark, tmp_path):
     assert resume_build(spark.createDataFrame([], "id string, text string"), str(tmp_path / "t"), bucket_embedder, "bucket").first().chunk_count == 0
+
+
+def test_the_manifest_tells_swapped_texts_and_ids(spark):
+    made = lambda rows: tables.build_manifest(spark.createDataFrame([(i, t, [1.0]) for i, t in rows], "id string, text string, embedding array<double>"), "m", timed=False).first().source_hash
+    rows = [("a", "one"), ("b", "two"), ("c", "three")]
+    assert made(rows) == made(rows[::-1])
+    others = ([("a", "two"), ("b", "one"), ("c", "three")], [("b", "one"), ("a", "two"), ("c", "three")], rows[:2], [*rows, rows[0]], [("a", "one"), ("b", "two"), ("c", "Three")])
+    assert len({made(x) for x in others} | {made(rows)}) == 5  # the first two are the same rows
