@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import SPACE, is_blank
+from ..functions.text import SPACE, WORD, is_blank
 from ..profiles import BULLETS, HARD_MAX_WORDS
 
 REQUIRED = ("document", "version", "language", "section", "parent_titles", "source_file", "printed_page_start")
@@ -64,22 +64,46 @@ def oversized_records(records: DataFrame) -> DataFrame:
     return records.where(F.col("metadata.word_count") > HARD_MAX_WORDS).select("id", F.col("metadata.word_count").alias("word_count"))
 
 
+#: Two primes below 2^31 and a base for each: products of remainders stay within a long.
+_MODULI = ((2147483647, 1103515245), (2147483629, 1664525011))
+#: Words as passages count them, and every other character but white space and bullets: no cut falls inside one of these.
+_TOKEN = rf"{WORD}|(?!{SPACE}|{BULLETS})."
+
+
+def sequence_hash(text: Column) -> Column:
+    """A hash of a text's tokens in their order, as (hashes, powers): those of two texts in a row follow from each one's own,
+    by `hash_of_parts`. White space and bullets don't count."""
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(f"(?s){_TOKEN}"), F.lit(0)), lambda t: F.xxhash64(t))
+    start = F.struct(*[F.lit(v).cast("long").alias(n) for n, v in (("h0", 0), ("h1", 0), ("p0", 1), ("p1", 1))])
+    step = lambda acc, t: F.struct(
+        *[F.pmod(acc[f"h{i}"] * base + F.pmod(t, F.lit(m)), F.lit(m)).alias(f"h{i}") for i, (m, base) in enumerate(_MODULI)],
+        *[F.pmod(acc[f"p{i}"] * base, F.lit(m)).alias(f"p{i}") for i, (m, base) in enumerate(_MODULI)],
+    )
+    return F.aggregate(tokens, start, step)
+
+
+def hash_of_parts(parts: Column) -> Column:
+    """The hashes h0 and h1 of texts in a row. parts: an array of their `sequence_hash`, in order."""
+    start = F.struct(F.lit(0).cast("long").alias("h0"), F.lit(0).cast("long").alias("h1"))
+    return F.aggregate(parts, start, lambda acc, x: F.struct(*[F.pmod(acc[f"h{i}"] * x[f"p{i}"] + x[f"h{i}"], F.lit(m)).alias(f"h{i}") for i, (m, _) in enumerate(_MODULI)]))
+
+
 def coverage_audit(parents: DataFrame, records: DataFrame) -> DataFrame:
-    """Chunks that their passages don't cover: `problem` says why. Hashes are compared; texts don't travel.
+    """Chunks that their passages don't cover: `problem` says why. Each text is hashed in its own row, and the passages'
+    hashes combine to the chunk's: only figures are shuffled.
 
-    Texts count as equal if they are so without white space and bullet glyphs: a cut may fall between two words that no
-    space parts, and a bullet without text is lost on purpose.
+    Texts count as equal if their words and other characters are so, in order, without white space and bullet glyphs: a cut
+    may fall between two words that no space parts, and a bullet without text is lost on purpose.
 
     parents: id, section, parent_titles (array), text. records: with the piece in `piece` or as the text's third line."""
-    bare = lambda c: F.regexp_replace(c, rf"{SPACE}|{BULLETS}", "")
     body = F.regexp_extract("text", r"(?s)\nText: (.*)$", 1)
     m = lambda k: F.col(f"metadata.{k}")
-    children = records.select(m("parent_chunk_id").alias("id"), m("part_number").alias("n"), m("section").alias("section"), m("parent_titles").alias("titles"), body.alias("body"))
+    children = records.select(m("parent_chunk_id").alias("id"), m("part_number").alias("n"), m("section").alias("section"), m("parent_titles").alias("titles"), sequence_hash(body).alias("hash"))
     grouped = children.groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct("n", "body"))).alias("parts"), F.array_sort(F.collect_set("section")).alias("sections"), F.array_sort(F.collect_set("titles")).alias("child_titles"), F.count("*").alias("n_children")
+        F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("parts"), F.array_sort(F.collect_set("section")).alias("sections"), F.array_sort(F.collect_set("titles")).alias("child_titles"), F.count("*").alias("n_children")
     )
-    grouped = grouped.select("id", "sections", "child_titles", "n_children", F.sha2(bare(F.array_join("parts.body", "")), 256).alias("child_hash"))
-    own = parents.select("id", "section", F.array_join("parent_titles", " > ").alias("titles"), F.sha2(bare(F.col("text")), 256).alias("hash"))
+    grouped = grouped.select("id", "sections", "child_titles", "n_children", hash_of_parts(F.transform("parts", lambda x: x["hash"])).alias("child_hash"))
+    own = parents.select("id", "section", F.array_join("parent_titles", " > ").alias("titles"), hash_of_parts(F.array(sequence_hash(F.col("text")))).alias("hash"))
     problem = (
         F.when(F.col("n_children").isNull(), "no passages")
         .when(F.col("sections") != F.array("section"), "section differs")

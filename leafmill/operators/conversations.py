@@ -115,16 +115,35 @@ def evidence_messages(queries: DataFrame, texts: DataFrame) -> DataFrame:
     return queries.select("query_id", "query").join(texts, "query_id", "left").select("query_id", evidence_text(F.col("query"), F.col("texts")).alias("evidence"))
 
 
-def turn_messages(first: DataFrame, evidence: DataFrame, second: DataFrame) -> DataFrame:
+def turn_messages(first: DataFrame, evidence: DataFrame, second: DataFrame, keys: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """Messages of each turn: a direct answer, or evidence and an answer; none after an error.
 
-    first, second: conv_id and reply of both phases; evidence: conv_id, evidence. Gives conv_id, turn_order, role, text."""
-    d = first.select("conv_id", F.col("reply").alias("a")).join(evidence, "conv_id", "left").join(second.select("conv_id", F.col("reply").alias("b")), "conv_id", "left")
+    first, second: the keys and reply of both phases; evidence: the keys and evidence. Gives the keys, turn_order, role, text."""
+    on = list(keys)
+    d = first.select(*on, F.col("reply").alias("a")).join(evidence.select(*on, "evidence"), on, "left").join(second.select(*on, F.col("reply").alias("b")), on, "left")
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
     direct = F.array(message("assistant", F.col("a.content")))
     searched = F.array(message("system", F.col("evidence")), message("assistant", F.col("b.content")))
     messages = F.when(F.col("a.kind") == "answer", direct).when((F.col("a.kind") == "tool_call") & (F.col("b.kind") == "answer"), searched)
-    return d.select("conv_id", F.posexplode(messages).alias("turn_order", "m")).select("conv_id", "turn_order", "m.role", "m.text")
+    return d.select(*on, F.posexplode(messages).alias("turn_order", "m")).select(*on, "turn_order", "m.role", "m.text")
+
+
+def run_conversations(questions: DataFrame, replies: DataFrame, assistant_only: bool = False) -> DataFrame:
+    """Whole conversations, turn by turn, in one ordered pass over each: conv_id, position, asked_turn, role, text, n_shown.
+
+    questions: conv_id, turn, text; replies: conv_id, turn, turn_order, role, text. A turn with replies puts its question and
+    these at the end of the history; a turn without any leaves it as it was. position: gapless from 0. n_shown: how many
+    messages of the history, the question included, the model saw when the message's turn began (those of agent roles only).
+    assistant_only: the terminal's variant, which keeps no evidence."""
+    added = replies.where("role = 'assistant'") if assistant_only else replies
+    answered = replies.select("conv_id", "turn").distinct()
+    asked = questions.join(answered, ["conv_id", "turn"], "left_semi").select("conv_id", "turn", F.lit(-1).alias("turn_order"), F.lit("user").alias("role"), "text")
+    history = asked.unionByName(added.select("conv_id", "turn", "turn_order", "role", "text"))
+    so_far = W.partitionBy("conv_id").orderBy("turn", "turn_order")
+    shown = F.count(F.when(F.col("role").isin(*AGENT_ROLES), 1)).over(so_far.rowsBetween(W.unboundedPreceding, 0))
+    history = history.withColumn("position", (F.row_number().over(so_far) - 1).cast("long")).withColumn("_shown", F.when(F.col("turn_order") == -1, shown))
+    n_shown = F.last("_shown", ignorenulls=True).over(so_far.rowsBetween(W.unboundedPreceding, 0))
+    return history.select("conv_id", "position", F.col("turn").alias("asked_turn"), "role", "text", n_shown.alias("n_shown"))
 
 
 def appended_history(turns: DataFrame, question: DataFrame, replies: DataFrame, assistant_only: bool = False) -> DataFrame:

@@ -112,6 +112,32 @@ def contents_of(toc: DataFrame) -> DataFrame:
     return toc.groupBy("document").agg(F.map_from_entries(F.collect_list(F.struct("key", "toc_title"))).alias("contents"))
 
 
+def with_wrapped_letters(rows: DataFrame) -> DataFrame:
+    """Add joined and taken: a lettered heading's title with the lines that carry it on in the contents, and how many.
+
+    The lines of a paragraph are gathered once. Each line that a title takes makes it longer by two characters at least, so a
+    heading looks at as many lines as its title in the contents can hold: the work is in proportion to the paragraph and its titles."""
+    columns = [c for c in rows.columns if c not in ("document", "pdf_page", "paragraph")]
+    whole = rows.groupBy("document", "pdf_page", "paragraph").agg(F.array_sort(F.collect_list(F.struct("line_no", *[c for c in columns if c != "line_no"]))).alias("rows"))
+    whole = whole.withColumn("lines", F.transform("rows", lambda r: r["line"]))
+
+    def carried(r: Column, i: Column) -> Column:
+        toc = F.lower(r["toc_title"])
+        state = F.struct(r["own"].alias("title"), F.lit(0).alias("taken"), F.lit(False).alias("done"))
+
+        def step(acc: Column, x: Column) -> Column:
+            longer = F.concat_ws(" ", acc["title"], x)
+            fits = F.coalesce(~acc["done"] & (F.lower(acc["title"]) != toc) & toc.startswith(F.lower(longer)), F.lit(False))
+            return F.struct(F.when(fits, longer).otherwise(acc["title"]).alias("title"), (acc["taken"] + fits.cast("int")).alias("taken"), (acc["done"] | ~fits).alias("done"))
+
+        return F.aggregate(F.slice(F.col("lines"), i + 2, F.length(r["toc_title"])), state, step)
+
+    alone_in = lambda r: F.struct(r["own"].alias("title"), F.lit(0).alias("taken"), F.lit(True).alias("done"))
+    found = F.transform("rows", lambda r, i: F.when(r["is_letter"], F.when(r["toc_title"].isNull(), alone_in(r)).otherwise(carried(r, i))))
+    whole = whole.select("document", "pdf_page", "paragraph", F.inline_outer(F.arrays_zip(F.col("rows").alias("r"), found.alias("f"))))
+    return whole.select("document", "pdf_page", "paragraph", *[F.col(f"r.{c}").alias(c) for c in columns], F.col("f.title").alias("joined"), F.col("f.taken").alias("taken"))
+
+
 def lettered(rows: DataFrame, toc: DataFrame | None) -> DataFrame:
     """Resolve `(a) ...` lines: headings by the contents (or by their looks, where there are none), with wrapped titles
     joined from the lines of the same paragraph and page that carry on the title in the contents.
@@ -129,29 +155,16 @@ def lettered(rows: DataFrame, toc: DataFrame | None) -> DataFrame:
     by_contents = F.col("toc_title").isNotNull() & (F.lower("toc_title").startswith(F.lower(own)) | is_title_line(own))
     is_heading = F.col("key").isNotNull() & F.when(F.col("has_toc"), by_contents).otherwise(is_title_line(own))
     rows = rows.withColumn("is_letter", F.coalesce(is_heading, F.lit(False)))
-    # A blank line ends a title: only paragraphs with a heading that the contents name are looked through.
+    # A blank line ends a title: a heading that the contents name looks at the lines of its paragraph on its page.
     rows = rows.withColumn("paragraph", F.sum(F.col("blank_before").cast("int")).over(page_window().rowsBetween(W.unboundedPreceding, 0)))
-    paragraph = W.partitionBy("document", "pdf_page", "paragraph").orderBy("line_no")
-    named = F.max(F.col("is_letter") & F.col("toc_title").isNotNull()).over(paragraph.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rows = rows.withColumn("named", named)
-    ahead = F.collect_list(F.when(F.col("named"), F.col("line"))).over(paragraph.rowsBetween(1, W.unboundedFollowing))
-    rows = rows.withColumn("ahead", ahead)
-    state = F.struct(own.alias("title"), F.lit(0).alias("taken"), F.col("toc_title").isNull().alias("done"))
-
-    def step(acc: Column, x: Column) -> Column:
-        longer = F.concat_ws(" ", acc["title"], x)
-        fits = ~acc["done"] & (F.lower(acc["title"]) != F.lower(F.col("toc_title"))) & F.lower(F.col("toc_title")).startswith(F.lower(longer))
-        fits = F.coalesce(fits, F.lit(False))
-        return F.struct(F.when(fits, longer).otherwise(acc["title"]).alias("title"), F.when(fits, acc["taken"] + 1).otherwise(acc["taken"]).alias("taken"), (acc["done"] | ~fits).alias("done"))
-
-    rows = rows.withColumn("joined", F.when(F.col("is_letter"), F.aggregate("ahead", state, step)))
+    rows = with_wrapped_letters(rows.withColumn("own", own))
     # Lines that a heading has taken leave the body.
     at = F.row_number().over(page_window())
-    rows = rows.withColumn("at", at).withColumn("covers", F.max(F.when(F.col("is_letter"), F.col("at") + F.col("joined.taken"))).over(page_window().rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("at", at).withColumn("covers", F.max(F.when(F.col("is_letter"), F.col("at") + F.col("taken"))).over(page_window().rowsBetween(W.unboundedPreceding, -1)))
     rows = rows.where(F.coalesce("covers", F.lit(0)) < F.col("at"))
     rows = rows.withColumn("line_class", F.when(F.col("is_letter"), "letter").otherwise(F.col("line_class")))
-    rows = rows.withColumn("number", F.when(F.col("is_letter"), F.col("key")).otherwise(F.col("number"))).withColumn("title", F.when(F.col("is_letter"), F.col("joined.title")).otherwise(F.col("title")))
-    return rows.drop("key", "toc_title", "has_toc", "is_letter", "paragraph", "named", "ahead", "joined", "at", "covers")
+    rows = rows.withColumn("number", F.when(F.col("is_letter"), F.col("key")).otherwise(F.col("number"))).withColumn("title", F.when(F.col("is_letter"), F.col("joined")).otherwise(F.col("title")))
+    return rows.drop("key", "toc_title", "has_toc", "is_letter", "paragraph", "own", "joined", "taken", "at", "covers")
 
 
 def structural_chunks(lines: DataFrame, profile: Profile = STANDARD, toc: DataFrame | None = None) -> DataFrame:

@@ -36,6 +36,15 @@ def checked_records(pages: DataFrame, profile: Profile = STANDARD) -> DataFrame:
     return records
 
 
+def corpus_report(pages: DataFrame, profile: Profile = STANDARD) -> tuple[DataFrame, DataFrame]:
+    """The report and the coverage audit of a build, from one snapshot of its chunks: headings are found once."""
+    kept = lines.kept_lines(pages, profile)
+    toc = structure.toc_titles(kept, profile) if profile.lettered else None
+    chunks = tables.snapshot(structure.structural_chunks(lines.body_lines(kept, profile), profile, toc))
+    records = passages.records(chunks, profile)
+    return checks.chunk_report(records, pages, chunks), checks.coverage_audit(chunks.withColumn("text", passages.chunk_text(F.col("lines"))), records)
+
+
 def resume_build(records: DataFrame, root: str, embed: Callable[[list[str]], list[list[float]]], model: str) -> DataFrame:
     """The vector table under `root` brought up to `records` (id, text): what is stored stays, what is new is embedded and
     upserted. Gives the manifest's row.

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import clean_text, is_title_line, word_count
 from .operators import checks, conversations as conv, lines as ln, passages as ps, segments as sg, structure as st, vectors as vec
-from .plans.corpus import answer_questions, body_of, build_records
+from .plans.corpus import answer_questions, body_of, build_records, corpus_report
 from .profiles import GUIDELINE, STANDARD, TARGET_WORDS
 from .sources import tables
 from .sources.pages import derived_pages
@@ -351,14 +351,14 @@ SQL_SIMPLE = f"""with simple as (select 'doc-' || (case when doc_id % 50 = 7 the
 """
 
 
-def _simple(spark: SparkSession, sf: str) -> DataFrame:
+def _simple(spark: SparkSession, sf: str, text: Column | None = None) -> DataFrame:
     d = read(spark, sf, "documents")
     n = F.col("doc_id")
     meta = F.struct(
         F.col("source").alias("document"), F.lit("1.0").alias("version"), F.col("lang").alias("language"), F.when(n % 30 == 4, "").otherwise((n % 9 + 1).cast("string")).alias("section"), F.col("source").alias("parent_titles"),
         F.lit("documents").alias("source_file"), F.lit("").alias("printed_page_start"), (n % 20).alias("pdf_page_start"), word_count(F.col("text")).cast("long").alias("word_count"),
     )
-    return d.select(F.concat(F.lit("doc-"), F.when(n % 50 == 7, n - 1).otherwise(n).cast("string")).alias("id"), F.when(n % 40 == 3, " ").otherwise(F.col("text")).alias("text"), meta.alias("metadata"), n.alias("doc_id"))
+    return d.select(F.concat(F.lit("doc-"), F.when(n % 50 == 7, n - 1).otherwise(n).cast("string")).alias("id"), (F.when(n % 40 == 3, " ").otherwise(F.col("text")) if text is None else text).alias("text"), meta.alias("metadata"), n.alias("doc_id"))
 
 
 @query(
@@ -386,8 +386,7 @@ def oversized_records(spark: SparkSession, sf: str) -> DataFrame:
 from records group by 1"""
 )
 def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _chunks(spark, sf)
-    return checks.coverage_audit(chunks.withColumn("text", ps.chunk_text(F.col("lines"))), ps.records(chunks))
+    return corpus_report(derived_pages(spark, sf))[1]
 
 
 @query(
@@ -396,7 +395,7 @@ def coverage_audit(spark: SparkSession, sf: str) -> DataFrame:
 case when grouping(source_kind) = 1 then (select count(*) from pages) end pages, case when grouping(source_kind) = 1 then (select count(*) from ids) end structural_chunks from records group by rollup (source_kind, split_method)"""
 )
 def chunk_report(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.chunk_report(_records(spark, sf), derived_pages(spark, sf), _chunks(spark, sf))
+    return corpus_report(derived_pages(spark, sf))[0]
 
 
 @query(
@@ -408,11 +407,21 @@ def review_rows(spark: SparkSession, sf: str) -> DataFrame:
     return checks.review_rows(build_records(derived_pages(spark, sf), place=True))
 
 
-@query(SQL_SIMPLE + "select id, length(text)::bigint n_chars, document, word_count from simple where doc_id % 50 not in (6, 7) and text <> ' '")
+@query(
+    f"""with d as (select doc_id, text, source, {_WORDS.replace('X', 'text')}::bigint words, doc_id % 40 = 3 broken from documents)
+select 'doc-' || doc_id::varchar id, case when not broken then length(text) end::bigint n_chars, case when not broken then source end document, case when not broken then words end word_count, broken, case when broken then true end has_file, case when broken then true end has_line from d"""
+)
 def load_passages(spark: SparkSession, sf: str) -> DataFrame:
-    good = _simple(spark, sf).where("doc_id % 50 not in (6, 7) and text <> ' '")  # of each repeated id neither row, and no blank text
-    d = tables.parsed_passages(good.select(F.to_json(F.struct("id", "text", "metadata")).alias("value")).union(spark.createDataFrame([(" ",)], "value string")))
-    return d.select("id", F.length("text").alias("n_chars"), "metadata.document", "metadata.word_count")
+    """Every document written as a line of JSON, some of them cut off, and read back: records, and broken lines, whose file and
+    line are known (the tests hold them against the files)."""
+    d = _simple(spark, sf, text=F.col("text")).select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("id"), "text", "metadata")
+    wire = F.to_json(F.struct("id", "text", "metadata"))
+    path = tables.scratch(spark, "passages")
+    d.select(F.when(F.col("doc_id") % 40 == 3, F.substring(wire, 1, 30)).otherwise(wire).alias("value")).write.text(path)
+    good, broken = tables.read_passages(spark, path)
+    told = broken.select(F.regexp_extract("value", "doc-[0-9]+", 0).alias("id"), F.lit(True).alias("broken"), F.col("file").contains("/passages-").alias("has_file"), (F.col("line") >= 1).alias("has_line"))
+    good = good.select("id", F.length("text").alias("n_chars"), "metadata.document", "metadata.word_count", F.lit(False).alias("broken"))
+    return good.unionByName(told, allowMissingColumns=True)
 
 
 @query(
@@ -604,43 +613,44 @@ def reply_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 _TURN_SQL = (
     _CLASS_SQL
-    + ", one as (select * from c where turn = 1), "
-    + _cosine_sql("", "", "q.vec_id in (select conv_id from one where kind = 'tool_call' and conv_id % 2 = 0)").removeprefix("with ")
+    + ", "
+    + _cosine_sql("", "", "q.vec_id in (select conv_id from c where kind = 'tool_call' and conv_id % 2 = 0)").removeprefix("with ")
     + """, found as (select query_id, string_agg('text-' || id::varchar, chr(10) || chr(10) order by rank) texts from hits group by 1), t as (
-select conv_id, 0 turn_order, 'assistant' as role, output->>'content' as text from one where kind = 'answer'
-union all select conv_id, 0, 'system', 'Regulation search: question ' || conv_id::varchar || chr(10) || 'Search results:' || chr(10) || coalesce(texts, 'No matching regulations found.') from one left join found on query_id = conv_id where kind = 'tool_call'
-union all select conv_id, 1, 'assistant', 'final ' || conv_id::varchar from one where kind = 'tool_call')
+select conv_id, turn, 0 turn_order, 'assistant' as role, output->>'content' as text from c where kind = 'answer'
+union all select conv_id, turn, 0, 'system', 'Regulation search: question ' || conv_id::varchar || chr(10) || 'Search results:' || chr(10) || coalesce(texts, 'No matching regulations found.') from c left join found on query_id = conv_id where kind = 'tool_call'
+union all select conv_id, turn, 1, 'assistant', 'final ' || conv_id::varchar from c where kind = 'tool_call')
 """
 )
 
 
-def _turn(spark: SparkSession, sf: str) -> DataFrame:
-    """One turn of every conversation: its reply number 1 is the first phase's. Searches of even conversations find the
-    passages nearest to the vector with the conversation's number; the others find nothing."""
-    first = conv.reply_classes(_replies(spark, sf).where("turn = 1"))
-    asked = first.where("reply.kind = 'tool_call'").select(F.col("conv_id").alias("query_id"), F.col("reply.query").alias("query"))
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn of every conversation: its reply is the first phase's. Searches of even conversations find the passages
+    nearest to the vector with the conversation's number; the others find nothing."""
+    first = conv.reply_classes(_replies(spark, sf))
+    asked = first.where("reply.kind = 'tool_call'").select(F.struct("conv_id", "turn").alias("query_id"), F.col("reply.query").alias("query"))
     v = _vectors(spark, sf)
-    searched = v.join(asked.where("query_id % 2 = 0").select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
-    evidence = conv.evidence_messages(asked, conv.retrieve_texts(vec.cosine_topk(searched, v), v)).withColumnRenamed("query_id", "conv_id")
-    final = first.select("conv_id", F.concat(F.lit('{"type": "answer", "content": "final '), F.col("conv_id").cast("string"), F.lit('"}')).alias("output"))
-    return conv.turn_messages(first, evidence, conv.reply_classes(final, conv.PHASES[1]))
+    searched = v.join(asked.where("query_id.conv_id % 2 = 0").select(F.col("query_id.conv_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding")
+    texts = conv.retrieve_texts(vec.cosine_topk(searched, v), v).withColumnRenamed("query_id", "conv_id")
+    texts = asked.select("query_id", F.col("query_id.conv_id").alias("conv_id")).join(texts, "conv_id").select("query_id", "texts")
+    evidence = conv.evidence_messages(asked, texts).select("query_id.conv_id", "query_id.turn", "evidence")
+    final = first.select("conv_id", "turn", F.concat(F.lit('{"type": "answer", "content": "final '), F.col("conv_id").cast("string"), F.lit('"}')).alias("output"))
+    return conv.turn_messages(first, evidence, conv.reply_classes(final, conv.PHASES[1]), ("conv_id", "turn"))
 
 
-@query(_TURN_SQL + "select conv_id, turn_order::bigint turn_order, role, text from t")
+@query(_TURN_SQL + "select conv_id, turn, turn_order::bigint turn_order, role, text from t")
 def turn_messages(spark: SparkSession, sf: str) -> DataFrame:
-    return _turn(spark, sf)
+    return _turns(spark, sf)
 
 
 @query(
     _TURN_SQL
-    + """, new as (select distinct conv_id, -1 turn_order, 'user' as role, 'next question' as text from t union all select conv_id, turn_order, role, text from t)
-select conv_id, turn, role, text from conversations union all
-select conv_id, (select max(turn) from conversations x where x.conv_id = new.conv_id) + row_number() over (partition by conv_id order by turn_order), role, text from new"""
+    + """, new as (select conv_id, turn, -1 turn_order, 'user' as role, text from conversations semi join t using (conv_id, turn) union all select conv_id, turn, turn_order, role, text from t),
+placed as (select *, row_number() over w - 1 as position, count(*) filter (role in ('user', 'assistant')) over w shown from new window w as (partition by conv_id order by turn, turn_order))
+select conv_id, position, turn asked_turn, role, text, max(case when turn_order = -1 then shown end) over (partition by conv_id, turn) n_shown from placed"""
 )
 def appended_history(spark: SparkSession, sf: str) -> DataFrame:
-    turns = read(spark, sf, "conversations")
-    question = turns.select("conv_id").distinct().withColumn("text", F.lit("next question"))
-    return conv.appended_history(turns, question, _turn(spark, sf))
+    """Conversations run from their first turn to the last: what each turn's text asks, and its replies."""
+    return conv.run_conversations(read(spark, sf, "conversations").select("conv_id", "turn", "text"), _turns(spark, sf))
 
 
 @query(

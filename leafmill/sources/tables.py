@@ -2,26 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import is_blank
 from ..operators.checks import CorpusError, check_corpus, duplicate_ids
 from ..operators.passages import METADATA, RECORD_SCHEMA
 
 
+def read_passages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Records, and broken lines as file, line (from 1) and value, from files of JSON lines; blank lines are skipped.
+
+    A line is broken if it isn't one JSON object with the records' types, or has no id. Lines are counted without gathering
+    them: a block of a file says how many it holds, blocks are added up, and a line's place in its block is that of its row. Files must
+    stay as they are while they are read: both readings of a file deal its blocks alike."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    parsed = F.from_json("value", f"{RECORD_SCHEMA}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = rows.withColumn("r", parsed)
+    # from_json stops at the end of the first value; the whole line must be one object.
+    whole = F.get_json_object("value", "$").isNotNull() & F.ltrim("value").startswith("{") & F.rtrim("value").endswith("}")
+    fits = F.coalesce(F.col("r._broken").isNull() & F.col("r.id").isNotNull() & whole, F.lit(False))
+    blank = is_blank(F.col("value"))
+    good = rows.where(~blank & fits).select("r.*").drop("_broken")
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("row").alias("first_row"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", "first_row", before.alias("before"))
+    broken = rows.where(~blank & ~fits).select("file", "block", "row", "value").join(blocks, ["file", "block"])
+    return good, broken.select("file", (F.col("before") + F.col("row") - F.col("first_row") + 1).alias("line"), "value")
+
+
 def load_passages(spark: SparkSession, path: str) -> DataFrame:
-    """Records from files of JSON lines."""
-    return parsed_passages(spark.read.text(path))
+    """Records from files of JSON lines. A broken line, an empty input and repeated ids are errors."""
+    found, broken = read_passages(spark, path)
+    if wrong := broken.orderBy("file", "line").limit(5).collect():
+        raise CorpusError(f"lines that aren't passages: {[(r.file, r.line) for r in wrong]}")
+    return _distinct(found)
 
 
 def parsed_passages(lines: DataFrame) -> DataFrame:
     """Records from JSON lines in `value`, blank lines skipped. An empty input and repeated ids are errors."""
-    found = lines.where(~is_blank(F.col("value"))).select(F.from_json("value", RECORD_SCHEMA, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+    return _distinct(lines.where(~is_blank(F.col("value"))).select(F.from_json("value", RECORD_SCHEMA, {"mode": "FAILFAST"}).alias("r")).select("r.*"))
+
+
+def _distinct(found: DataFrame) -> DataFrame:
     if found.isEmpty():
         raise CorpusError("no passages")
     again = duplicate_ids(found).limit(10).collect()
@@ -87,12 +116,11 @@ def build_manifest(vectors: DataFrame, model: str, batch: int = 8, timed: bool =
     return out.withColumn("built_at_utc", F.current_timestamp()) if timed else out
 
 
-def snapshot(df: DataFrame) -> DataFrame:
-    """The rows as they are now, in the folder that spark.checkpoint.dir names: what stands behind them isn't run again.
-    Where none is named, a folder of our own will do only in local mode."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where none is named, a folder of our own will do only in local mode."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
@@ -100,4 +128,15 @@ def snapshot(df: DataFrame) -> DataFrame:
 
             where = tempfile.mkdtemp(prefix="leafmill-snapshot-")
         context.setCheckpointDir(where)
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of a new folder that all executors share."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def snapshot(df: DataFrame) -> DataFrame:
+    """The rows as they are now, in the shared folder: what stands behind them isn't run again."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

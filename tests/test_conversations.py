@@ -89,3 +89,40 @@ def test_round_trip_and_bad_passages(spark, tmp_path):
         checks.check_corpus(records.limit(0))
     tables.write_passages(records, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_whole_conversations_turn_by_turn(spark):
+    questions = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "x"), (3, 5, "never answered")], "conv_id long, turn long, text string")
+    replies = spark.createDataFrame([(1, 0, 0, "assistant", "A"), (1, 2, 0, "system", "found"), (1, 2, 1, "assistant", "C"), (2, 0, 0, "assistant", "X")], "conv_id long, turn long, turn_order int, role string, text string")
+    got = sorted((tuple(r) for r in conv.run_conversations(questions, replies).collect()))
+    assert got == [
+        (1, 0, 0, "user", "a", 1), (1, 1, 0, "assistant", "A", 1), (1, 2, 2, "user", "c", 3), (1, 3, 2, "system", "found", 3), (1, 4, 2, "assistant", "C", 3),
+        (2, 0, 0, "user", "x", 1), (2, 1, 0, "assistant", "X", 1),
+    ]
+    short = sorted(tuple(r)[:5] for r in conv.run_conversations(questions, replies, assistant_only=True).where("conv_id = 1").collect())
+    assert short == [(1, 0, 0, "user", "a"), (1, 1, 0, "assistant", "A"), (1, 2, 2, "user", "c"), (1, 3, 2, "assistant", "C")]
+    assert conv.run_conversations(questions.limit(0), replies.limit(0)).count() == 0
+
+
+def test_broken_lines_are_told_by_file_and_line(spark, tmp_path):
+    good = '{"id": "%s", "text": "words", "metadata": {"document": "D", "part_number": 1}}'
+    lines = [good % "a", "", '{"id": "cut', good % "b", "[1]", "null", '{"text": "no id"}', '{"id": "c", "text": "x", "metadata": {"part_number": "one"}}', "   ", good % "d"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "in" / "two.jsonl").write_text("\n".join([good % f"t{i}" if i % 50 else f"broken {i}" for i in range(2_000)]) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)  # several blocks a file
+        found, broken = tables.read_passages(spark, str(tmp_path / "in"))
+        assert found.rdd.getNumPartitions() > 3
+        told = sorted((r.file.rsplit("/", 1)[1], r.line, r.value) for r in broken.collect())
+        ids = sorted(r.id for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert told == [("one.jsonl", n, lines[n - 1]) for n in (3, 5, 6, 7, 8)] + sorted(("two.jsonl", i + 1, f"broken {i}") for i in range(0, 2_000, 50))
+    assert ids == sorted(["a", "b", "d", *(f"t{i}" for i in range(2_000) if i % 50)])
+    with pytest.raises(checks.CorpusError, match="one.jsonl', 3"):
+        tables.load_passages(spark, str(tmp_path / "in"))
+    (tmp_path / "none.jsonl").write_text("\n \n")
+    with pytest.raises(checks.CorpusError, match="no passages"):
+        tables.load_passages(spark, str(tmp_path / "none.jsonl"))

@@ -192,3 +192,35 @@ def test_units_and_packs_cost_in_proportion_to_a_chunk(spark):
 
     seconds(1_000)
     assert seconds(40_000) < 8 * seconds(10_000)
+
+
+def test_wrapped_letters_cost_in_proportion_to_a_paragraph(spark):
+    import time
+
+    from leafmill.operators.structure import lettered
+
+    def seconds(n):
+        i = F.col("id")
+        line = F.when(i % 3 == 0, F.concat(F.lit("(b) Title "), i.cast("string"))).when(i % 3 == 1, F.lit("Goes On")).otherwise(F.lit("Then Ends"))
+        rows = spark.range(n).coalesce(1).select(F.lit("D").alias("document"), F.lit(1).alias("pdf_page"), i.alias("line_no"), line.alias("line"), F.lit(False).alias("blank_before"), F.lit("body").alias("line_class"), F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("title"))
+        rows = rows.withColumn("cur_sub", F.concat(F.lit("1."), (F.col("line_no") - F.col("line_no") % 3).cast("string"))).cache()
+        toc = rows.where("line_no % 3 = 0").select("document", F.format_string("%s(b)", "cur_sub").alias("key"), F.concat(F.lit("title "), F.col("line_no").cast("string"), F.lit(" goes on then")).alias("toc_title"))
+        rows.count()
+        began = time.time()
+        got = lettered(rows, toc).orderBy("line_no").limit(4).collect(), lettered(rows, toc).agg(F.count("*")).first()[0]
+        rows.unpersist()
+        assert [(r.line_class, r.title, r.line) for r in got[0][:3]] == [("letter", "Title 0 Goes On", "(b) Title 0"), ("body", None, "Then Ends"), ("letter", "Title 3 Goes On", "(b) Title 3")]
+        assert got[1] == n // 3 * 2
+        return time.time() - began
+
+    seconds(999)
+    assert seconds(12_000) < 8 * seconds(3_000)
+
+
+def test_hashes_of_parts_combine_to_the_whole(spark):
+    from leafmill.operators.checks import hash_of_parts, sequence_hash
+
+    cases = [("one two • three", ["one two", "• three"], True), ("a(b c", ["a", "(b", "c"], True), ("é-x 1/2.", ["é-", "x", "1/2."], True), ("", [], True), ("one two", ["two", "one"], False), ("one", ["one", "one"], False), ("a b", ["a"], False), ("a\nb", ["a b"], True), ("ab", ["a", "b"], False)]
+    d = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, whole string, parts array<string>, same boolean")
+    got = d.select("i", "same", (hash_of_parts(F.array(sequence_hash(F.col("whole")))) == hash_of_parts(F.transform("parts", sequence_hash))).alias("equal")).collect()
+    assert all(r.same == r.equal for r in got), got
