@@ -11,6 +11,10 @@ in order of frequency, so often met groups are small. The weights start as the f
 training texts (smoothed) and are trained in numpy inside Spark tasks on every id of every training text, in one round;
 Spark averages the tasks' weights by the ids they saw. So the last digits of `score` hang on how rows are dealt to tasks.
 
+The score of a text lies between that model and the frequencies of whole words: at each token the model counts by a share, and
+a text's probability is the mean over Settings.shares, so each text has the share that suits it. Words outside the broadcast get
+their share of the frequencies' remaining mass as the model spells them.
+
 Scoring goes over overlapping windows: each part of a line of ids is led by the CONTEXT - 1 ids before it, so every id is
 scored once and with its whole context, and attention for a whole part is masked at texts' starts. A text ends with one
 end symbol, which is scored too.
@@ -44,6 +48,7 @@ FIRST_GROUP, GROWTH = 12, 1.35  # ids in the first group of the softmax, and how
 LOGITS = 1 << 20  # of one group, held at once
 END = 2  # the tokenizer's own end symbol
 _END_WORD = np.uint64(0)
+SHARES = (0.05, 0.2, 0.4, 0.6, 0.8, 0.95)  # of the attention model in op9's score
 
 
 @dataclass(frozen=True)
@@ -52,6 +57,7 @@ class Settings:
     rate: float = 0.2
     batch: int = 3 << 12  # ids of a step
     smoothing: float = 0.1
+    shares: tuple[float, ...] = (1.0,)  # of the attention model, beside frequencies of words; 1: that model alone
 
 
 # ---- words -------------------------------------------------------------------------------------------------------
@@ -353,6 +359,7 @@ def gradient(w: dict[str, np.ndarray], x: Line, skip: int, g: dict[str, np.ndarr
 
 
 BLOCK = 1024  # weights that Spark adds up together
+LEVEL = 256  # groups that the tasks' differences of a block are dealt into before they are added up
 
 
 class Learner:
@@ -404,7 +411,10 @@ def trained(texts_only: DataFrame, weights: np.ndarray, lexicons, place: np.ndar
         parts = [np.frombuffer(x, np.float64) for x in rows.column("w").to_pylist()]
         return pa.table({"i": rows.column("i").slice(0, 1), "w": pa.array([np.sum(parts, axis=0).tobytes()], pa.binary()), "n": pa.array([float(sum(rows.column("n").to_pylist()))])})
 
-    rows = texts_only.mapInArrow(run, "i int, w binary, n double").groupBy("i").applyInArrow(total, "i int, w binary, n double").toArrow().to_pylist()
+    # In two levels: with many tasks, a block's rows of all of them would be too many for one group.
+    moved = texts_only.mapInArrow(run, "i int, w binary, n double").withColumn("part", F.spark_partition_id() % LEVEL)
+    half = moved.groupBy("i", "part").applyInArrow(total, "i int, w binary, n double")
+    rows = half.groupBy("i").applyInArrow(total, "i int, w binary, n double").toArrow().to_pylist()
     seen = sum(r["n"] for r in rows if r["i"] < 0)
     out = np.append(weights, np.zeros(-len(weights) % BLOCK)).reshape(-1, BLOCK)
     for r in rows:
@@ -431,7 +441,7 @@ class Reader:
 
     def line(self, texts: Texts) -> tuple[Line, dict[str, np.ndarray]]:
         """The texts' line, each with its end symbol; and hashes, at (place in the lexicon), known (whether it is there),
-        first (where each text's words begin), cuts (where its ids do)."""
+        first (where each text's words begin), cuts (where its ids do), token_cuts (where each word's or end's ids do)."""
         hashes, starts, ends, first = _words(texts)
         words = self.frequent.words
         at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
@@ -449,7 +459,7 @@ class Reader:
         stop = np.cumsum(size)
         ids = places[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[number] - (stop - size), size)]
         cuts = np.concatenate([[0], stop])[first + np.arange(len(first))]
-        return Line.of(ids, cuts, len(self.place)), {"hashes": hashes, "at": at, "known": known, "first": first, "cuts": cuts}
+        return Line.of(ids, cuts, len(self.place)), {"hashes": hashes, "at": at, "known": known, "first": first, "cuts": cuts, "token_cuts": np.concatenate([[0], stop])}
 
 
 @dataclass
@@ -459,7 +469,7 @@ class Model:
     model_file: str
 
     def log10_p(self, line: Line, cuts: np.ndarray) -> np.ndarray:
-        """Of each text."""
+        """Of the ids between each two cuts."""
         sums = np.concatenate([[0.0], np.cumsum(target_log_p(unpack(self.weights), line).astype(np.float64))])
         return np.diff(sums[cuts]) / np.log(10)
 
@@ -482,6 +492,23 @@ def fit(docs: DataFrame, counts: DataFrame, text: str, model_file: str | None =
 # ---- scoring -----------------------------------------------------------------------------------------------------
 
 
+def interpolated(attention: np.ndarray, word: np.ndarray, first: np.ndarray, shares: tuple[float, ...], other: float) -> np.ndarray:
+    """log10 probability of each text between the attention model and frequencies of whole words: at each token, the former
+    counts by a share that is the text's own; each of `shares` is as likely beforehand.
+
+    attention: the model's log10 probability of a token's ids; word: log10 frequency of frequent words and the end, nan for
+    others. Those share the mass `other`, which the frequencies leave, as the attention model spells them: so the
+    probabilities of all texts still add up to one at most. first: where each text's tokens begin, and the end."""
+    with np.errstate(divide="ignore"):
+        by_count = np.where(np.isnan(word), np.log10(other) + attention, word) * np.log(10)
+        attention = attention * np.log(10)
+        texts = np.full(len(first) - 1, -np.inf)
+        for share in shares:
+            sums = np.concatenate([[0.0], np.cumsum(np.logaddexp(np.log(share) + attention, np.log1p(-share) + by_count))])
+            texts = np.logaddexp(texts, np.diff(sums[first]))
+    return (texts - np.log(len(shares))) / np.log(10)
+
+
 def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text: str = "text", s: Settings = Settings()) -> DataFrame:
     """id, n_tokens, n_known, train_tokens, base_score, score of every row of `docs`, learning from `training`."""
     context = docs.sparkSession.sparkContext
@@ -491,11 +518,13 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
     model, hot_counts = context.broadcast(fitted), context.broadcast(frequent_counts)
     end_count = int(counts.where(F.col("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     floor = np.log10(total + 0.1 * (distinct + 1))
+    end_log = float(np.log10(end_count + 0.1) - floor)
+    other = max(1 - float(10.0 ** -floor * (frequent_counts + 0.1).sum()) - 10.0**end_log, 0.0)
     source = docs.select(quoted(id_column).alias("id"), quoted(text).cast("string").alias("text"))
     rare_type = pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.log10(hot_counts.value + 0.1)
+        logs = np.append(np.log10(hot_counts.value + 0.1), 0.0)  # the last one is nobody's
         reader = Reader(lexicon.value, model.value.place, model.value.model_file)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -504,6 +533,9 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
                 sizes = np.diff(first)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
                 base = np.bincount(owner[known], logs[x["at"][known]], len(sizes)) + np.log10(end_count + 0.1)
+                attention = model.value.log10_p(line, x["token_cuts"])
+                word = np.insert(np.where(known, logs[x["at"]] - floor, np.nan), first[1:], end_log)
+                scores = interpolated(attention, word, first + np.arange(len(first)), s.shares, other)
                 rest = np.flatnonzero(~known)
                 order = rest[np.lexsort((hashes[rest], owner[rest]))]
                 new = np.ones(len(order), bool)
@@ -518,7 +550,7 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
                         pa.array(sizes.astype(np.int64) + 1),
                         pa.array(np.bincount(owner[known], minlength=len(sizes)).astype(np.int64) + (end_count > 0)),
                         pa.array(base),
-                        pa.array(model.value.log10_p(line, x["cuts"])),
+                        pa.array(scores),
                         pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), rare).cast(rare_type),
                     ],
                     names=["id", "n_tokens", "known", "base", "score", "rare"],
@@ -546,5 +578,5 @@ def score(docs: DataFrame, training: DataFrame, id_column: str = "doc_id", text:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_remainder("doc_id", 10) == 0, F.lit(False))
-    out = score(docs, docs.where(~held))
+    out = score(docs, docs.where(~held), s=Settings(shares=SHARES))
     return out.withColumnRenamed("id", "doc_id").withColumn("held_out", held)

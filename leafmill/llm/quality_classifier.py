@@ -199,11 +199,13 @@ def _newton(leaf: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarra
 
 
 def labelled_features(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
-    """Features and label of at most s.sample labelled documents. docs: doc_id, text; labels: doc_id, label (0 or 1)."""
+    """Features and label of at most s.sample labelled documents, repeated ids included. docs: doc_id, text; labels: doc_id, label (0 or 1)."""
     chosen = labels.where("doc_id is not null and label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(s.sample)
-    joined = docs.where("doc_id is not null and text is not null").join(F.broadcast(chosen), "doc_id")  # at most s.sample rows
+    joined = docs.where("doc_id is not null and text is not null").join(F.broadcast(chosen), "doc_id")  # at most s.sample ids
     kernel = lambda batch: {"x": pa.array(features(Texts(batch.column("text"))).tolist(), pa.list_(pa.float32()))}
-    got = map_texts(joined, kernel, [T.StructField("x", T.ArrayType(T.FloatType()))], ["doc_id", "label"]).select("row.doc_id", "row.label", "x").toPandas()
+    got = map_texts(joined, kernel, [T.StructField("x", T.ArrayType(T.FloatType()))], ["doc_id", "label"]).select("row.doc_id", "row.label", "x")
+    # Repeated ids bring more rows than were chosen: the bound holds for rows as well.
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "label", "x").limit(s.sample).toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
     if got.empty:
         return np.zeros((0, len(FEATURES)), np.float32), np.zeros(0)

@@ -106,6 +106,24 @@ def test_training_beats_frequencies_on_held_out_texts(spark):
     assert mean(1) > 0.93 * mean(0)
 
 
+def test_held_out_texts_are_likelier_than_by_frequencies_alone(spark):
+    held = lm.op9_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) score", "sum(base_score) base").first()
+    assert held.score > held.base
+
+
+def test_interpolation_against_each_share_in_turn_and_sums_to_one():
+    attention, other, shares = np.log10([0.5, 0.2, 0.1, 0.15, 0.05]), 0.2, (0.1, 0.5, 0.9)
+    word = np.log10([0.4, 0.3, 0.1, 1, 1])
+    word[3:] = np.nan  # words that the frequencies don't know: their model's probabilities are 0.2 together
+    first = np.array([0, 2, 2, 5])
+    by_count = np.where(np.isnan(word), other * 10**attention, 10.0 ** np.nan_to_num(word))
+    p = [[np.prod([share * 10 ** attention[i] + (1 - share) * by_count[i] for i in range(a, b)]) for share in shares] for a, b in zip(first, first[1:])]
+    assert np.allclose(lm.interpolated(attention, word, first, shares, other), np.log10(np.mean(p, axis=1)))
+    one = 10 ** lm.interpolated(attention, word, np.arange(6), shares, other)
+    assert one.sum() <= 1
+    assert np.isfinite(lm.interpolated(attention, word, first, shares, 0.0)).all()
+
+
 def test_awkward_rows(spark):
     docs = awkward.frame(spark)
     got = score(docs, docs, s=lm.Settings()).collect()

@@ -54,3 +54,12 @@ def test_features_do_not_depend_on_neighbours(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()]
     together = features(Texts(pa.array(texts)))
     assert np.allclose(together, np.vstack([features(Texts(pa.array([t]))) for t in texts]))
+
+
+def test_repeated_ids_stay_within_the_sample(spark):
+    from leafmill.llm.quality_classifier import Settings, labelled_features
+
+    docs = spark.range(300).selectExpr("id % 3 doc_id", "concat('text number ', id) text")
+    labels = spark.range(3).selectExpr("id doc_id", "cast(id % 2 as int) label")
+    x, y = labelled_features(docs, labels, Settings(sample=40))
+    assert len(x) == len(y) == 40
