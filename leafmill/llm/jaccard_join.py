@@ -18,9 +18,13 @@ are the shingles that may be the first one it shares with a similar class.
 Pairs inside one component are never made, so the work for a large group of copies grows with its size, and no bound drops
 a pair that may be linked. How many links a document has isn't counted: that would need all pairs of a group.
 
-Shingles met often in a task are broadcast, HOT_TOKENS at most; they stand last in the order and are never shuffled to
-find open classes, so no key of that shuffle is hot. Ids to read again are broadcast if there are at most BROADCAST_IDS
-of them (more are joined by shuffle). Links, components and sets never meet on the driver. Shingles are compared by
+Frequent shingles are broadcast, HOT_TOKENS at most; they stand last in the order and are never shuffled to find open
+classes. They are those met often in a task, and those found often in a sample of all tasks' shingles (one in SAMPLED of
+those that a task meets too seldom to report), so a shingle of many texts is found even where no task meets it twice: a
+key of that shuffle holds about 1/HOT_TOKENS of all shingles at most. Which shingles are sampled changes only the order,
+never the links. Keys of other joins that hold more than 1/HOT_KEYS of the rows (equal texts, min-hash values of many
+classes) are joined by broadcast: there are fewer than HOT_KEYS of them. Ids to read again are broadcast if there are at
+most BROADCAST_IDS of them (more are joined by shuffle). Links, components and sets never meet on the driver. Shingles are compared by
 64-bit hashes that mix each word; two different ones share a hash with odds of about 2**-64.
 
 Defined results: a null text, or one without words, has 0 shingles, is linked with nothing and is its own component.
@@ -47,7 +51,10 @@ GROUP = 128
 UNION_BITS = 1 << 15  # of a group's bitmap: what Spark's own bitmap functions use
 HOT_TOKENS = 1 << 20
 BROADCAST_IDS = 1 << 20
+HOT_KEYS = 4096
+SAMPLED = 64
 _HOT_IN_TASK = 3
+_HOT_IN_SAMPLE = 8
 _FLUSH_TOKENS = 1 << 21
 _odd = np.random.default_rng(77).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -115,16 +122,17 @@ def fingerprints(docs: DataFrame, text: str = "text", s: Similarity = Similarity
 
 
 def sketches(docs: DataFrame, id_column: str, text: str, s: Similarity) -> DataFrame:
-    """id, n, fp (fingerprint of the set); and rows with only `hot`: shingles frequent in a task."""
+    """id, n, fp (fingerprint of the set); and rows with only `hot`: shingles frequent in a task, with their count n, and
+    shingles sampled from all others of the task, with their count in the sample, hits."""
     source = docs.select(quoted(id_column).alias("id"), quoted(text).cast("string").alias("text"))
     fields = [
         source.schema["id"],
         T.StructField("n", T.LongType()),
         T.StructField("fp", T.LongType()),
-        T.StructField("hot", T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("n", T.LongType())]))),
+        T.StructField("hot", T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("token", "n", "hits")]))),
     ]
     names = [f.name for f in fields]
-    arrow_hot = pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))
+    arrow_hot = pa.list_(pa.struct([(k, pa.int64()) for k in ("token", "n", "hits")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: list[np.ndarray] = []
@@ -134,10 +142,14 @@ def sketches(docs: DataFrame, id_column: str, text: str, s: Similarity) -> DataF
             if not met:
                 return
             tokens, counts = np.unique(np.concatenate(met), return_counts=True)
+            # What is sampled differs between tasks, and is the same again if a task is run again.
+            drawn = mix64(tokens ^ mix64(np.bitwise_xor.reduce(tokens, keepdims=True) + np.uint64(len(tokens)))) % np.uint64(SAMPLED) == 0
             met.clear()
-            at = np.flatnonzero(counts >= _HOT_IN_TASK)
+            often = counts >= _HOT_IN_TASK
+            at = np.flatnonzero(often | drawn)
             for part in np.array_split(at, len(at) // 20_000 + 1):
-                rows = pa.StructArray.from_arrays([pa.array(tokens[part].view(np.int64)), pa.array(counts[part])], names=["token", "n"])
+                columns = [tokens[part].view(np.int64), np.where(often[part], counts[part], 0), np.where(often[part], 0, counts[part])]
+                rows = pa.StructArray.from_arrays([pa.array(c) for c in columns], names=["token", "n", "hits"])
                 hot = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), rows)
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), hot], names=names)
 
@@ -158,7 +170,10 @@ def frequent_tokens(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that are frequent, and their level (the logarithm of their count); HOT_TOKENS at most.
 
     Only the order of shingles hangs on this, and any one order that all use gives the same links."""
-    counts = checkpoint(sketch.where("hot is not null").select(F.explode("hot").alias("h")).groupBy("h.token").agg(F.sum("h.n").alias("n")).withColumn("level", F.floor(F.log2("n")).cast("int")))
+    counts = sketch.where("hot is not null").select(F.explode("hot").alias("h")).groupBy("h.token").agg(F.sum("h.n").alias("n"), F.sum("h.hits").alias("hits"))
+    # A few hits of the sample tell nothing: most shingles are in one text.
+    counts = counts.withColumn("n", F.col("n") + F.when(F.col("hits") >= _HOT_IN_SAMPLE, SAMPLED * F.col("hits")).otherwise(0))
+    counts = checkpoint(counts.where("n > 0").withColumn("level", F.floor(F.log2("n")).cast("int")))
     levels = sorted(counts.groupBy("level").count().collect(), reverse=True)
     total, least = 0, 0
     for level, rows in levels:
@@ -180,6 +195,16 @@ def _levels(tokens: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarra
     return np.where(hot[0][at] == tokens, hot[1][at], 0).astype(np.uint8)
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join with `right`, which has each key once, with the number of `rows` that `left` has for it, of `total`.
+
+    Keys of more than 1/HOT_KEYS of all rows of `left` are joined by broadcast, fewer than HOT_KEYS rows; others by shuffle."""
+    many = F.col(rows) * HOT_KEYS > total
+    hot = right.where(many)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(~many), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def asked(n: Column) -> Column:
     """How many of its first shingles a set of n asks for in other sets: 1 in 20, 1 at least."""
     return F.greatest(F.lit(1), F.floor(n / F.lit(20)))
@@ -334,7 +359,7 @@ def star_pairs(sets: DataFrame, s: Similarity) -> DataFrame:
     """Each class with the class of each of its min-hash values that can be linked with the largest ones."""
     keys = sets.select("fp", F.floor(F.size("tokens") * (100.0 + s.percent) / s.percent - F.col("n")).alias("reach"), F.posexplode("keys").alias("k", "key"))
     leaders = keys.groupBy("k", "key").agg(F.max_by("fp", F.struct("reach", "fp")).alias("leader"), F.count("*").alias("size")).where("size > 1")
-    pairs = keys.join(leaders, ["k", "key"]).where("fp <> leader")
+    pairs = join_hot(keys, checkpoint(leaders), ["k", "key"], "size", KEYS * sets.count()).where("fp <> leader")
     return pairs.select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
 
 
@@ -419,12 +444,13 @@ def link(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s: Simi
     if not late.isEmpty():
         comp = components(edges.union(late))
     # The least id of each component, then of each class. Most classes have no link: those meet no component.
-    classes = some.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first")).join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    classes = some.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp")).alias("first"), F.count("*").alias("rows")).join(comp, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     classes = checkpoint(classes)
     heads = classes.groupBy("comp").agg(F.min("first").alias("head"))
-    named = classes.join(heads, "comp").select("fp", "head")
+    named = checkpoint(classes.join(heads, "comp").select("fp", "head", "rows"))
     keeper = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("fp") == F.col("head.fp"))
-    out = some.join(named, "fp").select("id", "fp", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"), keeper.alias("keeper"))
+    total = named.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    out = join_hot(some, named, ["fp"], "rows", total).select("id", "fp", F.col("n").alias("n_shingles"), F.col("head.id").alias("component_id"), keeper.alias("keeper"))
     alone = rows.where("n = 0").select("id", "fp", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("keeper"))
     return out.unionByName(alone)
 

@@ -5,7 +5,9 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from leafmill.llm import jaccard_join
 from leafmill.llm.jaccard_join import ORACLE_SQL, Similarity, components, link, op5_jaccard_join, shingle_sets, unions
 from leafmill.llm.textops import Texts
 
@@ -96,6 +98,26 @@ def test_awkward_rows(spark):
     assert link(awkward.empty(spark)).count() == 0
 
 
+def test_shingles_met_seldom_in_each_task_are_found_by_the_sample(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(400))) for i in range(40)], "doc_id long, text string")
+    hot = jaccard_join.sketches(docs, "doc_id", "text", Similarity()).select(F.explode("hot").alias("h")).select("h.*").toPandas()
+    # One in SAMPLED of 40 x 397 shingles, none of them often in a task.
+    assert hot["n"].max() == 0 and 150 < hot["hits"].sum() < 350
+    rows = [(7, 0, 1), (8, 2000, 0)] + [(9, 0, 1)] * 30 + [(6, 3, 2)]
+    sketch = spark.createDataFrame([([r],) for r in rows], "hot array<struct<token: long, n: long, hits: long>>").repartition(5)
+    tokens, levels = jaccard_join.frequent_tokens(sketch)
+    assert dict(zip(tokens.tolist(), levels.tolist())) == {6: 1, 8: 10, 9: 10}
+
+
+@pytest.mark.parametrize("keys", [1, 8, 4096])
+def test_hot_keys_are_joined_as_others_are(spark, monkeypatch, keys):
+    monkeypatch.setattr(jaccard_join, "HOT_KEYS", keys)
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(90)], "k long, i long")
+    right = left.groupBy("k").agg(F.count("*").alias("rows"), F.min("i").alias("least"))
+    got = jaccard_join.join_hot(left, right, ["k"], "rows", 90).collect()
+    assert sorted(tuple(r) for r in got) == sorted(tuple(r) for r in left.join(right, "k").collect())
+
+
 def test_unions_hold_every_token(spark):
     rng = np.random.default_rng(3)
     sets = [(int(g), [int(x) for x in rng.integers(-(1 << 62), 1 << 62, 50)]) for g in (1, 1, 2, 3, 3, 3)]
