@@ -1,7 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of hashed n-grams are added up by Spark over all training documents; the matrix of log probabilities (buckets x
-languages) is broadcast, with its size checked; batches are scored in numpy by adding the rows of each document's n-grams.
+languages) is broadcast in blocks of languages, each of bounded size; batches are scored in numpy by adding the rows of
+each document's n-grams, block by block, so any number of languages gets the same buckets. The driver holds the whole
+matrix: 128 KB a language.
 
 Defined results: a null text, or one without any letter, is `und` with score 0, and so is every text if there is nothing
 to learn from. Rows with a null language, text or id are never learned from. Equal scores go to the language that sorts
@@ -11,7 +13,7 @@ first. Repeated rows are each learned from and each predicted. Extra columns are
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +21,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textops import crc_remainder, map_texts, quoted, slices, table
+from .textops import checkpoint, crc_remainder, map_texts, quoted, slices, table
 
 UNDETERMINED = "und"
-#: Most bytes of the broadcast matrix; beyond that (thousands of languages), the number of buckets is halved until it fits.
+#: Most bytes of one broadcast block of the matrix (512 languages at 15 bits).
 MODEL_BYTES = 64 << 20
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -92,7 +94,7 @@ def count_grams(df: DataFrame, label: Column, text: str, s: Settings) -> DataFra
 @dataclass
 class Model:
     labels: list[str]
-    log_p: np.ndarray  # buckets x labels
+    blocks: list[np.ndarray]  # buckets x labels, a block of labels each
     prior: np.ndarray
     settings: Settings
 
@@ -102,32 +104,42 @@ def fit(df: DataFrame, label: str, text: str = "text", s: Settings = Settings())
     label_column = quoted(label).cast("string")
     documents = dict(df.where(label_column.isNotNull() & quoted(text).isNotNull()).groupBy(label_column.alias("label")).agg(F.count("*").alias("n")).collect())
     labels = sorted(documents)
-    while s.bits > 8 and (4 << s.bits) * len(labels) > MODEL_BYTES:
-        s = Settings(s.orders, s.bits - 1, s.smoothing)
-    counts = np.full((1 << s.bits, max(len(labels), 1)), s.smoothing)
-    if labels:
-        # At most buckets x labels rows, which the loop above has bounded.
-        rows = count_grams(df, label_column, text, s).toArrow()
-        column = {name: i for i, name in enumerate(labels)}
+    width = max(MODEL_BYTES // (4 << s.bits), 1)
+    names = [labels[a : a + width] for a in range(0, len(labels), width)]
+    grams_of = count_grams(df, label_column, text, s)
+    if len(names) > 1:
+        grams_of = checkpoint(grams_of)
+    blocks = []
+    for block in names:
+        # At most buckets x width rows.
+        rows = (grams_of.where(F.col("label").isin(block)) if len(names) > 1 else grams_of).toArrow()
+        column = {name: i for i, name in enumerate(block)}
         codes = np.array([column[x] for x in rows.column("label").to_pylist()], np.int64)
+        counts = np.full((1 << s.bits, len(block)), s.smoothing)
         counts[rows.column("bucket").to_numpy(), codes] += rows.column("n").to_numpy()
+        blocks.append(np.log(counts / counts.sum(axis=0)).astype(np.float32))
     prior = np.log([documents[x] for x in labels]) if labels else np.zeros(1)
-    return Model(labels, np.log(counts / counts.sum(axis=0)).astype(np.float32), prior - np.logaddexp.reduce(prior), s)
+    return Model(labels, blocks, prior - np.logaddexp.reduce(prior), s)
 
 
-def posteriors(texts: list[str], model: Model) -> np.ndarray:
-    """Rows of label probabilities."""
+def posteriors(texts: list[str], model: Model, blocks: Iterator[np.ndarray] | None = None) -> np.ndarray:
+    """Rows of label probabilities. blocks: the model's, where it was broadcast without them."""
     found, starts = grams(texts, model.settings)
     total = np.tile(model.prior, (len(texts), 1))
-    for g in found:
-        # In blocks, so that a very long text doesn't need its whole n-gram matrix at once.
-        for a in range(0, len(g), 1 << 18):
-            b = min(a + (1 << 18), len(g))
-            rows = model.log_p[g[a:b]]
-            first = int(np.searchsorted(starts, a, side="right")) - 1
-            last = int(np.searchsorted(starts, b, side="left"))
-            cuts = np.maximum(starts[first:last] - a, 0)
-            total[first:last] += np.add.reduceat(rows, cuts, axis=0, dtype=np.float64)
+    done = 0
+    for log_p in model.blocks if blocks is None else blocks:
+        own = total[:, done : done + log_p.shape[1]]
+        done += log_p.shape[1]
+        for g in found:
+            # In pieces, so that a very long text doesn't need its whole n-gram matrix at once.
+            step = max((1 << 20) // log_p.shape[1], 1)
+            for a in range(0, len(g), step):
+                b = min(a + step, len(g))
+                rows = log_p[g[a:b]]
+                first = int(np.searchsorted(starts, a, side="right")) - 1
+                last = int(np.searchsorted(starts, b, side="left"))
+                cuts = np.maximum(starts[first:last] - a, 0)
+                own[first:last] += np.add.reduceat(rows, cuts, axis=0, dtype=np.float64)
     total -= total.max(axis=1, keepdims=True)
     np.exp(total, out=total)
     return total / total.sum(axis=1, keepdims=True)
@@ -135,14 +147,15 @@ def posteriors(texts: list[str], model: Model) -> np.ndarray:
 
 def predict(df: DataFrame, model: Model, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns in `carry` (all, by default) in the struct `row`, lang_pred and score. No shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    context = df.sparkSession.sparkContext
+    shared, blocks = context.broadcast(replace(model, blocks=[])), [context.broadcast(b) for b in model.blocks]
 
     def kernel(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         m = shared.value
         letters = batch.column("letters").fill_null(False).to_numpy(zero_copy_only=False)
         if not m.labels:
             letters = np.zeros(len(letters), bool)
-        p = posteriors(_texts(batch), m)
+        p = posteriors(_texts(batch), m, (b.value for b in blocks))
         best = p.argmax(axis=1)
         names = np.array([*m.labels, UNDETERMINED], object)[np.where(letters, best, len(m.labels))]
         return {"lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(letters, p[np.arange(len(best)), best], 0.0))}

@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
+from leafmill.llm import language_id
 from leafmill.llm.language_id import Settings, fit, grams, op2_language_id, posteriors, predict
 
 from . import awkward
@@ -43,6 +44,18 @@ def test_against_brute_force(spark):
     assert p[0] == pytest.approx(1 / (1 + math.exp(want["en"] - want["de"])), rel=1e-3)
 
 
+def test_blocks_of_languages_change_nothing(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [r.text for r in docs.limit(30).collect()]
+    whole = fit(docs, "lang")
+    monkeypatch.setattr(language_id, "MODEL_BYTES", 4 << whole.settings.bits)
+    model = fit(docs, "lang")
+    assert (len(whole.blocks), len(model.blocks)) == (1, len(whole.labels))
+    assert np.allclose(posteriors(texts, model), posteriors(texts, whole), atol=1e-12)
+    got, want = (predict(docs, m, carry=["doc_id"]).orderBy("row.doc_id").collect() for m in (model, whole))
+    assert [(r.row, r.lang_pred) for r in got] == [(r.row, r.lang_pred) for r in want]
+
+
 def test_awkward_rows(spark):
     docs = awkward.frame(spark)
     got = predict(docs, fit(docs, "lang")).collect()
