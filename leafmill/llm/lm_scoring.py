@@ -500,12 +500,16 @@ def interpolated(attention: np.ndarray, word: np.ndarray, first: np.ndarray, sha
     others. Those share the mass `other`, which the frequencies leave, as the attention model spells them: so the
     probabilities of all texts still add up to one at most. first: where each text's tokens begin, and the end."""
     with np.errstate(divide="ignore"):
-        by_count = np.where(np.isnan(word), np.log10(other) + attention, word) * np.log(10)
-        attention = attention * np.log(10)
+        by_count = np.where(np.isnan(word), np.log10(other) + attention, word)
+        larger = np.maximum(attention, by_count)
+        least = np.power(10.0, np.minimum(attention, by_count) - larger)  # the other one, as a part of the larger
+        ahead = attention >= by_count
         texts = np.full(len(first) - 1, -np.inf)
         for share in shares:
-            sums = np.concatenate([[0.0], np.cumsum(np.logaddexp(np.log(share) + attention, np.log1p(-share) + by_count))])
-            texts = np.logaddexp(texts, np.diff(sums[first]))
+            mixed = np.where(ahead, share, 1 - share) + np.where(ahead, 1 - share, share) * least
+            tokens = attention if share == 1 else larger + np.log10(mixed)
+            sums = np.concatenate([[0.0], np.cumsum(tokens)])[first]
+            texts = np.logaddexp(texts, np.diff(sums) * np.log(10))
     return (texts - np.log(len(shares))) / np.log(10)
 
 
