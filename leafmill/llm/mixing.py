@@ -111,7 +111,11 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, k: int, s: Settings) -> np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """docs: doc_id, text; labels: doc_id, domain (place in DOMAINS)."""
     chosen = labels.where("doc_id is not null and domain is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(s.sample)
-    sample = checkpoint(docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))  # at most s.sample ids
+    sample = checkpoint(docs.where("doc_id is not null and text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_row", F.monotonically_increasing_id()))  # at most s.sample ids
+    if sample.count() > s.sample:
+        # Ids repeat: by row, then.
+        rows = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "domain", F.xxhash64("text"), "_row").limit(s.sample).select("_row")
+        sample = checkpoint(sample.join(F.broadcast(rows), "_row", "left_semi"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(DOMAINS), BUCKETS), np.int64)
@@ -145,11 +149,13 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     figures = map_texts(sample, plain, field, ["doc_id"]).toPandas()
     if len(figures):
         raw = np.stack(figures["x"].to_numpy())
+        raw = raw[np.lexsort(raw.T)]  # sums must not hang on the order in which rows arrive
         model.mean, model.spread = raw.mean(axis=0), np.maximum(raw.std(axis=0), 1e-6)
     got = map_texts(sample, kernel, field, ["doc_id", "domain"]).select("row.doc_id", "row.domain", "x").toPandas()
     if len(got):
-        got = got.sort_values(["doc_id", "domain"], kind="stable")
-        model.weights = fit_softmax(np.stack(got["x"].to_numpy()).astype(np.float64), got["domain"].to_numpy(int), len(DOMAINS), s)
+        x, y = np.stack(got["x"].to_numpy()).astype(np.float64), got["domain"].to_numpy(int)
+        order = np.lexsort([*x.T, y])
+        model.weights = fit_softmax(x[order], y[order], len(DOMAINS), s)
     return model
 
 

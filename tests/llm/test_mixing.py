@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from leafmill.llm.mixing import DOMAINS, Settings, TARGETS, copies, fit, fitted_rates, labelled_domains, memberships, op6_mixing
+from leafmill.llm import mixing
+from leafmill.llm.mixing import DOMAINS, Settings, TARGETS, copies, fit, fit_softmax, fitted_rates, labelled_domains, memberships, op6_mixing
 
 from . import awkward
 
@@ -103,6 +104,16 @@ def test_targets_are_met_however_scarce_a_domain_is(spark, toxic):
     assert np.allclose((got["n_tokens"] * got["r"]).to_numpy() @ np.stack(got["posterior"]) * expected[0] / ((got["n_tokens"] * got["r"]).to_numpy() @ np.stack(got["posterior"]))[0], expected)
 
 
+def test_repeated_ids_bring_no_more_rows_than_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 2, f"word{i % 7} text of row {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, domain int")
+    seen = []
+    monkeypatch.setattr(mixing, "fit_softmax", lambda x, y, k, s: seen.append(len(y)) or fit_softmax(x, y, k, s))
+    model = fit(docs, labels, Settings(sample=20))
+    assert seen == [20]
+    assert np.array_equal(model.weights, fit(docs.repartition(5), labels, Settings(sample=20)).weights)
+
+
 def test_long_texts_have_their_tokens_and_a_rate(spark):
     text = "word " * 60_000
     docs = spark.createDataFrame([(1, text), (2, "short text here"), (1, text)], "doc_id long, text string")
