@@ -262,7 +262,8 @@ def open_classes(docs: DataFrame, text: str, s: Similarity, hot) -> DataFrame:
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, rows: DataFrame, id_column: str, text: str, s: Similarity, hot) -> DataFrame:
     """fp, n, rare, frequent (the set's shingles, the frequent ones in order) and keys (min-hashes) of the wanted classes."""
-    needed = checkpoint(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id")))
+    # Rows of one class are added up before they meet: joined first, a class of many copies would be one task's rows.
+    needed = checkpoint(rows.groupBy("fp").agg(F.min("id").alias("id")).join(wanted, "fp", "left_semi"))
     few = needed.count() <= BROADCAST_IDS
     small = F.broadcast if few else (lambda d: d)
     source = docs.select(quoted(id_column).alias("id"), quoted(text).cast("string").alias("text"))
