@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import SPACE, WORD, is_blank
+from ..functions.text import SPACE, SPARK_WORD, is_blank
 from ..profiles import BULLETS, HARD_MAX_WORDS
 
 REQUIRED = ("document", "version", "language", "section", "parent_titles", "source_file", "printed_page_start")
@@ -67,7 +67,7 @@ def oversized_records(records: DataFrame) -> DataFrame:
 #: Two primes below 2^31 and a base for each: products of remainders stay within a long.
 _MODULI = ((2147483647, 1103515245), (2147483629, 1664525011))
 #: Words as passages count them, and every other character but white space and bullets: no cut falls inside one of these.
-_TOKEN = rf"{WORD}|(?!{SPACE}|{BULLETS})."
+_TOKEN = rf"{SPARK_WORD}|(?! )[^{SPACE[1:-1]}{BULLETS[1:-1]}]"
 
 
 def sequence_hash(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
-from ..functions.text import is_blank, normalise_line, split_lines, strip
+from ..functions.text import TEXT, is_blank, normalise_line, split_lines, strip
 from ..profiles import PAGE_LABEL, Profile, STANDARD
 
 
@@ -18,7 +18,7 @@ def page_window() -> WindowSpec:
 def page_lines(pages: DataFrame) -> DataFrame:
     """document, pdf_page, line_no, line: every line, normalised; blank ones are empty."""
     lines = F.transform(split_lines(F.col("page_text")), normalise_line)
-    return pages.select("document", "pdf_page", F.posexplode(lines).alias("line_no", "line"))
+    return pages.select("document", "pdf_page", F.posexplode_outer(lines).alias("line_no", "line")).where("line_no is not null")
 
 
 def _starts(line: Column, prefixes: tuple[str, ...]) -> Column:
@@ -31,14 +31,14 @@ def _starts(line: Column, prefixes: tuple[str, ...]) -> Column:
 def without_header_block(pages: DataFrame, profile: Profile = STANDARD) -> DataFrame:
     """Lines without the running header: if the page's first text is a header, all before the first page label goes, and
     so does any line that starts with a header prefix. Done on the page's own array, so nothing moves."""
-    raw = split_lines(F.col("page_text"))
-    lines = F.transform(raw, normalise_line)
-    first = F.get(F.filter(F.transform(raw, strip), lambda x: x != ""), F.lit(0))
-    staged = pages.select("document", "pdf_page", lines.alias("lines"), first.alias("first"))
+    # The outer form of posexplode throughout: with the plain one Spark makes each list once more to filter out empty ones.
+    staged = pages.select("document", "pdf_page", split_lines(F.col("page_text")).alias("raw"))
+    first = strip(F.get(F.filter("raw", lambda x: x.rlike(TEXT)), F.lit(0)))
+    staged = staged.select("document", "pdf_page", F.transform("raw", normalise_line).alias("lines"), first.alias("first"))
     label_at = F.array_position(F.transform("lines", lambda x: x.rlike(PAGE_LABEL)), True)
     at = F.when(_starts(F.col("first"), profile.header_prefixes) & (label_at > 0), label_at - 1).otherwise(0) if profile.header_block else F.lit(0)
     staged = staged.withColumn("at", at.cast("int"))
-    rows = staged.select("document", "pdf_page", "at", F.posexplode("lines").alias("line_no", "line")).where("line_no >= at").drop("at")
+    rows = staged.select("document", "pdf_page", "at", F.posexplode_outer("lines").alias("line_no", "line")).where("line_no >= at").drop("at")
     return rows.where(~_starts(F.col("line"), profile.header_prefixes) & ~F.col("line").isin(*profile.header_lines) if profile.header_lines else ~_starts(F.col("line"), profile.header_prefixes))
 
 
@@ -58,7 +58,7 @@ def kept_lines(pages: DataFrame, profile: Profile = STANDARD, together: tuple[st
 
     A break stands before a line if a blank one lies between it and the text line before it on the same page. Lines are
     dealt by the columns `together`: by document, or by document and page where one document may be very large."""
-    rows = without_header_block(pages, profile).repartition(*together)
+    rows = without_header_block(pages.repartition(*together), profile)
     ordered = page_window()
     label = F.when(F.col("line").rlike(PAGE_LABEL), strip(F.regexp_extract("line", PAGE_LABEL, 2)))
     # Labels are looked at once per page: the last one holds for all its lines.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import SENTENCE_BREAK, clean_text, is_title_line, strip, word_count
+from ..functions.text import SENTENCE_BREAK, clean_text, is_title_line, once, strip, word_count
 from ..profiles import BULLET, BULLETS, HARD_MAX_WORDS, HEADING_WORDS, TARGET_WORDS, Profile, STANDARD
 
 _WORD_CUT = rf"(?:^[^A-Za-z0-9]*+)?(?:[A-Za-z0-9]++(?:[/-][A-Za-z0-9]++)*+[^A-Za-z0-9]*+){{1,{TARGET_WORDS}}}"
@@ -41,16 +41,21 @@ def folded(items: Column, kind: str, state: dict[str, Column], step: Callable[[C
 
 def chunk_text(lines: Column) -> Column:
     """A chunk's text on one line."""
-    return clean_text(F.array_join(F.transform(lines, lambda x: x["line"]), " "))
+    return clean_text(F.array_join(lines["line"], " "))
+
+
+def sized(chunks: DataFrame) -> DataFrame:
+    """Add `words`. The figure stands in a row of its own, so that a filter on it doesn't count once more."""
+    return chunks.select("*", F.explode_outer(F.array(word_count(chunk_text(F.col("lines"))))).alias("words"))
 
 
 def _fragments(x: Column, enumerated: str) -> Column:
     """What a line adds to the units: parts as (text, starts a unit, kind it sets)."""
     part = lambda text, starts, kind: F.struct(text.alias("text"), F.lit(starts).alias("starts"), F.lit(kind).cast("string").alias("kind"))
     line = x["line"]
-    pieces = F.split(line, BULLETS, -1)
-    bullets = F.transform(F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: strip(p) != ""), lambda p: part(F.concat(F.lit(BULLET + " "), strip(p)), True, "bullet_item"))
-    with_bullets = F.concat(F.array(part(strip(F.get(pieces, F.lit(0))), False, None), part(F.lit(""), True, None)), bullets)
+    bullets = lambda pieces: F.transform(F.filter(F.slice(pieces, 2, F.size(pieces)), lambda p: p != ""), lambda p: part(F.concat(F.lit(BULLET + " "), p), True, "bullet_item"))
+    cut = lambda pieces: F.concat(F.array(part(F.get(pieces, F.lit(0)), False, None), part(F.lit(""), True, None)), bullets(pieces))
+    with_bullets = once(F.transform(F.split(line, BULLETS, -1), strip), cut)
     plain = F.when(line.rlike(enumerated), F.array(part(line, True, "enumerated_item"))).when(is_title_line(line), F.array(part(line, True, "internal_heading"))).otherwise(F.array(part(line, False, None)))
     own = F.when(line.rlike(BULLETS), with_bullets).otherwise(plain)
     return F.when(x["blank_before"], F.concat(F.array(part(F.lit(""), True, "paragraph")), own)).otherwise(own)

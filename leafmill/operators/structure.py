@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
-from ..functions.text import clean_text, is_title_line, is_upper, strip
+from ..functions.text import TEXT, clean_text, is_title_line, is_upper, strip
 from ..profiles import APPENDIX, LETTER, Profile, STANDARD, TOC_LEADER
 from .lines import page_window
 
@@ -192,9 +192,9 @@ def chunks_of(rows: DataFrame, profile: Profile) -> DataFrame:
         F.min_by(F.coalesce("printed_page", F.lit("")), place).alias("printed_page_start"),
         F.array_sort(F.collect_list(entry)).alias("parts"),
     )
+    chunks = chunks.where(F.exists("parts", lambda x: x["line"].rlike(TEXT)))
     lines_of = F.transform("parts", lambda x, i: F.struct(x["line"].alias("line"), (x["blank_before"] & (i > 0)).alias("blank_before")))
     chunks = chunks.withColumn("lines", lines_of).drop("parts")
-    chunks = chunks.where(clean_text(F.array_join("lines.line", " ")) != "")
     suffix = F.when(F.col("kind") == "overview", "overview").otherwise("clause")
     base = F.concat(F.col("document").cast("string"), F.lit(f"-v{profile.version}-"), "section", F.lit("-"), suffix)
     chunks = chunks.withColumn("base_id", base)

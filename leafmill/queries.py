@@ -311,11 +311,11 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(SQL_CHUNKS + f"select id, {_WORDS.replace('X', 'text')}::bigint words from ids where {_WORDS.replace('X', 'text')} > 220")
 def oversized_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return _chunks(spark, sf).select("id", word_count(ps.chunk_text(F.col("lines"))).alias("words")).where(F.col("words") > TARGET_WORDS)
+    return ps.sized(_chunks(spark, sf)).select("id", "words").where(F.col("words") > TARGET_WORDS)
 
 
 def _large_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return ps.semantic_units(_chunks(spark, sf).where(word_count(ps.chunk_text(F.col("lines"))) > TARGET_WORDS))
+    return ps.semantic_units(ps.sized(_chunks(spark, sf)).where(F.col("words") > TARGET_WORDS).drop("words"))
 
 
 @query(SQL_UNITS + "select id, unit, kind, words, md5(text) text_md5 from units")
