@@ -95,8 +95,12 @@ def _classified(output: pd.Series, phase: pd.Series) -> pd.DataFrame:
 
 
 def reply_classes(replies: DataFrame, phase: str = PHASES[0]) -> DataFrame:
-    """Add `reply` (kind, content, query, error); the raw output stays in its column."""
-    return replies.withColumn("reply", F.pandas_udf(_classified, REPLY)(F.col("output"), F.lit(phase)))
+    """Add `reply` (kind, content, query, error); the raw output stays in its column.
+
+    Declared as not deterministic, so that a filter on `reply` doesn't make Spark classify a second time, in a second Python
+    worker of the same task."""
+    classified = F.pandas_udf(_classified, REPLY).asNondeterministic()
+    return replies.withColumn("reply", classified(F.col("output"), F.lit(phase)))
 
 
 def evidence_text(query: Column, texts: Column) -> Column:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -27,6 +27,8 @@ QUERY_BLOCK = 1024
 VECTOR_SLICE = 256
 #: Bytes of the vectors that a search task holds.
 HELD_BYTES = 64 << 20
+#: Bytes of an Arrow batch: blocks of queries that pass are handed to a search task so many at a time.
+BATCH_BYTES = 8 << 20
 
 
 def embedding_inputs(records: DataFrame) -> DataFrame:
@@ -204,6 +206,26 @@ def nearest(asked: np.ndarray, stored: np.ndarray, k: int) -> tuple[np.ndarray,
     return found, np.where(best == -2, np.nan, best)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Blocks of vectors are long rows: unless the session says otherwise, hand them to Python BATCH_BYTES at a time, so that
+    memory doesn't follow the number of queries up to Arrow's usual 64 MB, two of which a task holds while it reads."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def placed(blocks: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """The rows of all blocks in `order`. Each block is let go as soon as its rows are placed, so nothing is held thrice."""
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    whole, end = np.empty((len(order), blocks[0].shape[1])), len(order)
+    while blocks:
+        block = blocks.pop()
+        whole[place[end - len(block) : end]] = block
+        end -= len(block)
+    return whole
+
+
 def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 3, groups: int | None = None) -> DataFrame:
     """The k nearest passages of each query by cosine, most similar first, ties by id: query_id, rank, id, similarity, distance.
 
@@ -215,6 +237,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 3, groups: int
     groups: how many; by default the vectors' bytes over HELD_BYTES, and no fewer than there are shuffle partitions."""
     if not isinstance(k, int) or isinstance(k, bool) or k < 1:
         raise ValueError("k must be a positive whole number")
+    bounded_batches(vectors.sparkSession)
     if groups is None:
         size = vectors.agg((F.count("*") * F.coalesce(F.max(F.size("embedding")), F.lit(0)) * 8).alias("bytes")).first().bytes
         groups = max(-(-size // HELD_BYTES), int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -243,7 +266,7 @@ def cosine_topk(queries: DataFrame, vectors: DataFrame, k: int = 3, groups: int
                 if whole is None:  # in the order of ids, so that ties go to the smaller one
                     names = pa.concat_arrays(ids)
                     order = pc.sort_indices(names)
-                    names, whole, blocks = names.take(order), np.concatenate(blocks)[order.to_numpy()], []
+                    names, whole = names.take(order), placed(blocks, order.to_numpy())
                 found, similar = nearest(matrix, whole, k)
                 similar = pa.array(similar.T.ravel(), from_pandas=True)
                 asked = row.column("asked").flatten().take(pa.array(np.repeat(np.arange(len(matrix)), len(found))))

@@ -126,3 +126,10 @@ def test_broken_lines_are_told_by_file_and_line(spark, tmp_path):
     (tmp_path / "none.jsonl").write_text("\n \n")
     with pytest.raises(checks.CorpusError, match="no passages"):
         tables.load_passages(spark, str(tmp_path / "none.jsonl"))
+
+
+def test_a_filter_on_the_reply_does_not_classify_twice(spark):
+    replies = conv.reply_classes(spark.createDataFrame([(1, '{"type":"answer","content":"x"}'), (2, "[1]")], "conv_id long, output string"))
+    found = replies.where("reply.kind = 'answer'").select("conv_id", "reply.content")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # two, and two workers a task, before
+    assert [tuple(r) for r in found.collect()] == [(1, "x")]

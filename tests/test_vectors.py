@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators.vectors import VECTOR_SLICE, _ranked, cosine_topk
+from leafmill.operators.vectors import BATCH_BYTES, VECTOR_SLICE, _ranked, cosine_topk, placed
 
 
 def cosine_native(queries, vectors, k=3):
@@ -71,3 +73,24 @@ def test_vectors_of_several_lengths_are_an_error(spark):
     queries = spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>")
     with pytest.raises(Exception, match="of one length"):
         cosine_topk(queries, vectors).collect()
+
+
+def test_blocks_are_handed_over_a_few_at_a_time(spark):
+    """Blocks of queries of 128 MB in all reach a task in batches near BATCH_BYTES; 64 MB before."""
+    vectors = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
+    was = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        cosine_topk(vectors.withColumnRenamed("id", "query_id"), vectors)
+        blocks = spark.range(0, 256, 1, 1).select(F.expr("cast(repeat('x', 512 * 1024) as binary)").alias("data"))
+        sizes = blocks.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", was)
+    assert sum(r.n for r in sizes) >= 128 << 20 and max(r.n for r in sizes) <= BATCH_BYTES + (1 << 20)
+
+
+def test_rows_of_held_blocks_are_placed_in_order():
+    rng = np.random.default_rng(3)
+    blocks = [rng.random((n, 4)) for n in (3, 1, 5)]
+    order = rng.permutation(9)
+    want = np.concatenate(blocks)[order]
+    assert (placed(blocks, order) == want).all() and not blocks
