@@ -29,6 +29,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -237,33 +238,42 @@ class Line:
             yield Line(self.target[part], self.ahead[part], self.pos[part]), at - begin
 
 
+def _projections(w: dict[str, np.ndarray]) -> np.ndarray:
+    """The four matrices that an embedding meets, one below the other, so that it is read once."""
+    return np.concatenate([w["query"] * w["query"].dtype.type(WIDTH**-0.5), w["key"], w["value"], w["skip"]])
+
+
 def _attend(w: dict[str, np.ndarray], x: Line) -> tuple[np.ndarray, ...]:
     """The context vector of each position, and what the gradient needs. A position sees itself and up to CONTEXT - 1
     positions before it in its own text; the others are masked."""
     n = len(x.ahead)
     e = np.take(w["embed"], x.ahead, axis=1)
-    q, k, v = w["query"] @ e, w["key"] @ e, w["value"] @ e
-    q *= WIDTH**-0.5
+    q, k, v, h = (_projections(w) @ e).reshape(4, WIDTH, n)
     a = np.full((CONTEXT, n), -1e9, e.dtype)
+    early = np.flatnonzero(x.pos < CONTEXT - 1)  # only these see fewer positions than CONTEXT
     for d in range(min(CONTEXT, n)):
-        s = np.einsum("ij,ij->j", q[:, d:], k[:, : n - d])
-        s += w["distance"][d]
-        s[x.pos[d:] < d] = -1e9
-        a[d, d:] = s
+        np.einsum("ij,ij->j", q[:, d:], k[:, : n - d], out=a[d, d:])
+        a[d, d:] += w["distance"][d]
+        a[d, early[x.pos[early] < d]] = -1e9
     a -= a.max(axis=0)
     np.exp(a, out=a)
     a /= a.sum(axis=0)
-    h = w["skip"] @ e
     for d in range(min(CONTEXT, n)):
         h[:, d:] += a[d, d:] * v[:, : n - d]
     return h, e, q, k, v, a
 
 
+@lru_cache(maxsize=4)
+def _groups_of_ids(ids: int) -> np.ndarray:
+    sizes = np.diff(group_bounds(ids))
+    return np.repeat(np.arange(len(sizes), dtype=np.int16), sizes)
+
+
 def _in_groups(target: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, slice]]]:
     """Group of each target; an order of the targets by group; and first id, end and part of that order of each group met,
     LOGITS figures at most at a time."""
-    group = np.searchsorted(bounds, target, side="right") - 1
-    order = np.argsort(group.astype(np.int16), kind="stable")
+    group = _groups_of_ids(int(bounds[-1]))[target]
+    order = np.argsort(group, kind="stable")
     cuts = np.searchsorted(group[order], np.arange(len(bounds))).tolist()
     parts = []
     for a, b, i, stop in zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts[:-1], cuts[1:], strict=True):
@@ -272,15 +282,26 @@ def _in_groups(target: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return group, order, parts
 
 
-def _softmax(z: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """z: choices x positions, changed to its exponentials; their sums; and the log probability of the right choice."""
+def _with_bias(matrix: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The bias as one more column: it meets the row of ones that `_with_ones` adds."""
+    return np.concatenate([matrix, bias[:, None]], axis=1)
+
+
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([h, np.ones((1, h.shape[1]), h.dtype)])
+
+
+def _softmax(z: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """z: choices x positions, changed to its exponentials; their sums; the log probability of the right choice; and where in z,
+    row after row, that choice lies."""
     if z.max(initial=0) > 60:
         z -= z.max(axis=0)
-    log_p = z[right, np.arange(len(right))]
+    at = right.astype(np.int64) * len(right) + np.arange(len(right))
+    log_p = z.reshape(-1)[at]
     np.exp(z, out=z)
-    total = z.sum(axis=0)
+    total = np.ones(len(z), z.dtype) @ z
     log_p -= np.log(total)
-    return z, total, log_p
+    return z, total, log_p, at
 
 
 def all_log_p(w: dict[str, np.ndarray], x: Line) -> np.ndarray:
@@ -296,53 +317,57 @@ def target_log_p(w: dict[str, np.ndarray], line: Line) -> np.ndarray:
     """Log probability of each target: the same as `all_log_p`, but only a target's own group is looked at."""
     out, bounds = [np.zeros(0, np.float32)], group_bounds(len(w["bias"]))
     for x, skip in line.windows(WINDOW):
-        h, target = _attend(w, x)[0][:, skip:], x.target[skip:]
+        h, target = _with_ones(_attend(w, x)[0][:, skip:]), x.target[skip:]
         group, order, parts = _in_groups(target, bounds)
-        z = w["out"] @ h
-        z += w["level"][:, None]
-        log_p = _softmax(z, group)[2]
-        h, target, inner = h[:, order], target[order], np.empty_like(log_p)
+        log_p = _softmax(_with_bias(w["out"], w["level"]) @ h, group)[2]
+        h, target, inner = np.take(h, order, axis=1), target[order], np.empty_like(log_p)
         for a, b, at in parts:
-            z = w["inner"][a:b] @ h[:, at]
-            z += w["bias"][a:b, None]
-            inner[at] = _softmax(z, target[at] - a)[2]
+            inner[at] = _softmax(_with_bias(w["inner"][a:b], w["bias"][a:b]) @ h[:, at], target[at] - a)[2]
         log_p[order] += inner
         out.append(log_p)
     return np.concatenate(out)
 
 
+def _met(ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of n ids occur, in order; and for each id its number among these."""
+    there = np.zeros(n, bool)
+    there[ids] = True
+    return np.flatnonzero(there), np.cumsum(there) - 1
+
+
 def gradient(w: dict[str, np.ndarray], x: Line, skip: int, g: dict[str, np.ndarray]) -> float:
     """Mean log loss over the targets (the first `skip` are context only); its gradient is put into `g`, which holds zeros."""
     whole, e, q, k, v, a = _attend(w, x)
     n, size = len(x.target), max(len(x.target) - skip, 1)
-    h, target = whole[:, skip:], x.target[skip:]
+    h, target = _with_ones(whole[:, skip:]), x.target[skip:]
     group, order, parts = _in_groups(target, group_bounds(len(w["bias"])))
 
-    def last_layer(z: np.ndarray, right: np.ndarray) -> tuple[float, np.ndarray]:
-        p, total, log_p = _softmax(z, right)
-        total *= size
-        p /= total
-        p[right, np.arange(len(right))] -= p.dtype.type(1 / size)
-        return -float(log_p.sum(dtype=np.float64)) / size, p
-
-    loss, dz = last_layer(w["out"] @ h + w["level"][:, None], group)
-    g["out"][:], g["level"][:], dh = dz @ h.T, dz.sum(axis=1), w["out"].T @ dz
-    ordered, right, inner = h[:, order], target[order], np.empty_like(dh)
+    def last_layer(rows: np.ndarray, h: np.ndarray, right: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss; its gradients by `rows` (the last column is the bias) and by `h`, without the row of ones."""
+        p, total, log_p, at = _softmax(rows @ h, right)
+        p.reshape(-1)[at] -= total
+        total *= size  # few figures beside p's, which are left undivided
+        dh = rows[:, :-1].T @ p
+        dh /= total
+        return -float(log_p.sum(dtype=np.float64)) / size, p @ (h / total).T, dh
+
+    loss, slope, dh = last_layer(_with_bias(w["out"], w["level"]), h, group)
+    g["out"][:], g["level"][:] = slope[:, :-1], slope[:, -1]
+    ordered, right, inner = np.take(h, order, axis=1), target[order], np.empty_like(dh)
     for first, end, at in parts:
-        z = w["inner"][first:end] @ ordered[:, at]
-        z += w["bias"][first:end, None]
-        more, dz = last_layer(z, right[at] - first)
+        more, slope, inner[:, at] = last_layer(_with_bias(w["inner"][first:end], w["bias"][first:end]), ordered[:, at], right[at] - first)
         loss += more
-        g["inner"][first:end] += dz @ ordered[:, at].T
-        g["bias"][first:end] += dz.sum(axis=1)
-        inner[:, at] = w["inner"][first:end].T @ dz
-    dh[:, order] += inner
-    d = np.zeros_like(whole)
+        g["inner"][first:end] += slope[:, :-1]
+        g["bias"][first:end] += slope[:, -1]
+    back = np.empty_like(order)
+    back[order] = np.arange(len(order))
+    dh += np.take(inner, back, axis=1)
+    moved = np.zeros((4, WIDTH, n), whole.dtype)
+    dq, dk, dv, d = moved
     d[:, skip:] = dh
     ds = np.zeros_like(a)
-    dq, dk, dv = np.zeros_like(q), np.zeros_like(k), np.zeros_like(v)
     for i in range(min(CONTEXT, n)):
-        ds[i, i:] = np.einsum("ij,ij->j", d[:, i:], v[:, : n - i])
+        np.einsum("ij,ij->j", d[:, i:], v[:, : n - i], out=ds[i, i:])
         dv[:, : n - i] += a[i, i:] * d[:, i:]
     ds -= np.einsum("ij,ij->j", a, ds)
     ds *= a
@@ -350,11 +375,15 @@ def gradient(w: dict[str, np.ndarray], x: Line, skip: int, g: dict[str, np.ndarr
     for i in range(min(CONTEXT, n)):
         dq[:, i:] += ds[i, i:] * k[:, : n - i]
         dk[:, : n - i] += ds[i, i:] * q[:, i:]
-    dq *= WIDTH**-0.5
-    g["query"][:], g["key"][:], g["value"][:], g["skip"][:] = dq @ e.T, dk @ e.T, dv @ e.T, d @ e.T
-    de = w["query"].T @ dq + w["key"].T @ dk + w["value"].T @ dv + w["skip"].T @ d
+    moved = moved.reshape(4 * WIDTH, n)
+    slopes = (moved @ e.T).reshape(4, WIDTH, WIDTH)
+    slopes[0] *= WIDTH**-0.5
+    g["query"][:], g["key"][:], g["value"][:], g["skip"][:] = slopes
+    de = _projections(w).T @ moved
+    met, number = _met(x.ahead, len(g["embed"][0]))
+    number = number[x.ahead]
     for row, to in zip(de, g["embed"], strict=True):
-        to[:] = np.bincount(x.ahead, row, len(to))
+        to[met] = np.bincount(number, row, len(met))
     return loss
 
 
@@ -363,22 +392,41 @@ LEVEL = 256  # groups that the tasks' differences of a block are dealt into befo
 
 
 class Learner:
-    """Steps scaled by each weight's own past gradients (Adagrad); changes the flat weights in place."""
+    """Steps scaled by each weight's own past gradients (Adagrad); changes the flat weights in place.
+
+    Only weights that have a gradient are gone over: embeddings of ids met, groups with a target, and all small matrices. The
+    others would stay as they are."""
 
     def __init__(self, weights: np.ndarray, s: Settings) -> None:
         self.flat, self.w, self.s = weights, unpack(weights), s
         self.square = np.full_like(weights, 1e-10)
-        self.slope = np.zeros_like(weights)
-        self.g = unpack(self.slope)
+        self.slope = np.zeros_like(weights)  # zeros between steps
+        self.g, self.squares = unpack(self.slope), unpack(self.square)
+        self.bounds = group_bounds(len(self.w["bias"]))
+        self.small = slice(self.w["embed"].size, len(weights) - self.w["inner"].size - self.w["bias"].size)
+
+    def _step(self, weights: np.ndarray, slope: np.ndarray, square: np.ndarray) -> None:
+        square += slope * slope
+        slope /= np.sqrt(square)
+        slope *= np.float32(self.s.rate)
+        weights -= slope
 
     def learn(self, line: Line) -> None:
         for x, skip in line.windows(self.s.batch):
-            self.slope.fill(0)
             gradient(self.w, x, skip, self.g)
-            self.square += self.slope * self.slope
-            self.slope /= np.sqrt(self.square)
-            self.slope *= np.float32(self.s.rate)
-            self.flat -= self.slope
+            groups = np.flatnonzero(np.bincount(_groups_of_ids(int(self.bounds[-1]))[x.target[skip:]]))
+            runs = np.split(groups, np.flatnonzero(np.diff(groups) > 1) + 1) if len(groups) else []
+            views = [(self.flat[self.small], self.slope[self.small], self.square[self.small])]
+            for run in runs:
+                rows = slice(self.bounds[run[0]], self.bounds[run[-1] + 1])
+                views += [(self.w[name][rows], self.g[name][rows], self.squares[name][rows]) for name in ("inner", "bias")]
+            for view in views:
+                self._step(*view)
+                view[1].fill(0)
+            met, _ = _met(x.ahead, self.bounds[-1] + 1)
+            taken = [np.take(part["embed"], met, axis=1) for part in (self.w, self.g, self.squares)]
+            self._step(*taken)
+            self.w["embed"][:, met], self.squares["embed"][:, met], self.g["embed"][:, met] = taken[0], taken[2], 0
 
 
 def trained(texts_only: DataFrame, weights: np.ndarray, lexicons, place: np.ndarray, model_file: str, s: Settings) -> np.ndarray:
@@ -437,27 +485,55 @@ class Reader:
 
     def __init__(self, frequent: Lexicon, place: np.ndarray, model_file: str) -> None:
         self.frequent, self.place, self.model_file = frequent, place, model_file
-        self.end = Lexicon(np.zeros(1, np.uint64), [None], place, model_file)
+        end = Lexicon(np.zeros(1, np.uint64), [None], place, model_file)
+        # The frequent words, the end, and room for a slice's own words.
+        self.sizes, self.places = np.append(frequent.sizes, end.sizes), np.append(frequent.places, end.places)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.fixed = len(self.sizes), len(self.places)
+        # Hashes are spread evenly: the first bits nearly tell a word's place.
+        bits = max(len(frequent.words).bit_length(), 1) + 1
+        self.shift = np.uint64(64 - bits)
+        heads = np.bincount((frequent.words >> self.shift).astype(np.int64), minlength=1 << bits)
+        self.starts = (np.cumsum(heads) - heads).astype(np.int32)
+        self.padded = np.append(frequent.words, np.uint64((1 << 64) - 1))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The first place in the frequent words, which are sorted, whose word isn't less: as np.searchsorted has it."""
+        at = self.starts[(hashes >> self.shift).astype(np.int64)].astype(np.int64)
+        left = np.flatnonzero(self.padded[at] < hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.padded[at[left]] < hashes[left]]
+        return at
+
+    def _add(self, own: Lexicon) -> None:
+        """Put a slice's own words behind the fixed ones, in place of the last slice's."""
+        words, places = self.fixed
+        if words + len(own.sizes) > len(self.sizes):
+            self.sizes, self.begin = (np.append(x[:words], np.zeros(2 * len(own.sizes), x.dtype)) for x in (self.sizes, self.begin))
+        if places + len(own.places) > len(self.places):
+            self.places = np.append(self.places[:places], np.zeros(2 * len(own.places), self.places.dtype))
+        self.sizes[words : words + len(own.sizes)] = own.sizes
+        self.begin[words : words + len(own.sizes)] = places + np.cumsum(own.sizes) - own.sizes
+        self.places[places : places + len(own.places)] = own.places
 
     def line(self, texts: Texts) -> tuple[Line, dict[str, np.ndarray]]:
         """The texts' line, each with its end symbol; and hashes, at (place in the lexicon), known (whether it is there),
         first (where each text's words begin), cuts (where its ids do), token_cuts (where each word's or end's ids do)."""
         hashes, starts, ends, first = _words(texts)
         words = self.frequent.words
-        at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
+        at = np.minimum(self.find(hashes), max(len(words) - 1, 0))
         known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
         rest = np.flatnonzero(~known)
         found, where, which = np.unique(hashes[rest], return_index=True, return_inverse=True)
         own = Lexicon(found, _strings(texts, starts[rest[where]], ends[rest[where]]), self.place, self.model_file)
         number = at.astype(np.int64)
-        number[rest] = len(words) + which
-        number = np.insert(number, first[1:], len(words) + len(found))
-        lexicons = (self.frequent, own, self.end)
-        sizes, places = (np.concatenate([getattr(x, name) for x in lexicons]) for name in ("sizes", "places"))
-        begin = np.cumsum(sizes) - sizes
-        size = sizes[number]
+        number[rest] = len(words) + 1 + which
+        number = np.insert(number, first[1:], len(words))
+        self._add(own)
+        size = self.sizes[number]
         stop = np.cumsum(size)
-        ids = places[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin[number] - (stop - size), size)]
+        ids = self.places[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(self.begin[number] - (stop - size), size)]
         cuts = np.concatenate([[0], stop])[first + np.arange(len(first))]
         return Line.of(ids, cuts, len(self.place)), {"hashes": hashes, "at": at, "known": known, "first": first, "cuts": cuts, "token_cuts": np.concatenate([[0], stop])}
 

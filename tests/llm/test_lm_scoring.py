@@ -152,3 +152,42 @@ def test_every_training_row_is_learned_from(spark, monkeypatch):
     monkeypatch.setattr(lm, "trained", lambda texts, weights, *more: met.append(texts.count()) or weights)
     lm.fit(rows, lm.word_counts(rows.select("text")), "text")
     assert met == [300] * lm.Settings().rounds
+
+
+def dense_steps(flat, line, s):
+    """What a learner does, over all weights at each step."""
+    square = np.full_like(flat, 1e-10)
+    for x, skip in line.windows(s.batch):
+        slope = np.zeros_like(flat)
+        gradient(unpack(flat), x, skip, unpack(slope))
+        square += slope * slope
+        flat = flat - np.float32(s.rate) * (slope / np.sqrt(square))
+    return flat
+
+
+def test_a_step_goes_over_the_weights_met_only_and_changes_them_as_a_dense_one(monkeypatch):
+    rng, ids = np.random.default_rng(4), 3000
+    start = first_weights(rng.random(ids) + 0.1).astype(np.float32)
+    some = np.r_[0:40, 900:1000, 2950:3000].astype(np.int32)  # some groups are never met
+    line = Line.of(rng.choice(some, 400), np.array([0, 150, 400]), ids)
+    s = lm.Settings(batch=100)
+    learner, gone_over = lm.Learner(start.copy(), s), []
+    step = learner._step
+    monkeypatch.setattr(learner, "_step", lambda w, *more: gone_over.append(w.size) or step(w, *more), raising=False)
+    learner.learn(line)
+    assert np.allclose(learner.flat, dense_steps(start, line, s), atol=1e-6) and not learner.slope.any()
+    assert len(gone_over) >= 4 and sum(gone_over) < 0.6 * 4 * len(start)  # all of them at each step, before
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 3000])
+def test_places_of_words_are_those_of_a_binary_search(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    words = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+    words[: n // 3] >>= np.uint64(20)  # not spread evenly
+    words = np.unique(np.append(words, np.array([(1 << 64) - 1] * (n > 4), np.uint64)))
+    frequent = lm.Lexicon.__new__(lm.Lexicon)
+    frequent.words, frequent.sizes, frequent.places = words, np.ones(len(words), np.int64), np.zeros(len(words), np.int32)
+    monkeypatch.setattr(lm, "Lexicon", lambda *_: frequent)  # no tokenizer is needed here
+    reader = lm.Reader(frequent, np.zeros(1, np.int32), "")
+    asked = np.concatenate([words, words - np.uint64(1), words + np.uint64(1), rng.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+    assert (reader.find(asked) == np.searchsorted(words, asked)).all()
