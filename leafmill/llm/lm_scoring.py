@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sentencepiece_codec import public_model
-from .textops import Texts, checkpoint, crc_remainder, quoted, short_batches, slices, table
+from .textops import LOWER, Texts, checkpoint, crc_remainder, quoted, short_batches, slices, table
 
 HOT_WORDS = 1 << 18
 HOT_BYTES = 64  # longer words are never broadcast
@@ -75,6 +75,14 @@ def _strings(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> list[str]:
     return [raw[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def _spelled(texts: Texts, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """As `_strings`, as an Arrow column and without a Python object a word."""
+    size = ends - starts
+    cuts = np.concatenate([[0], np.cumsum(size)])
+    data = LOWER[texts.data[np.arange(cuts[-1]) + np.repeat(starts - cuts[:-1], size)]]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data))
+
+
 def word_counts(texts_only: DataFrame) -> DataFrame:
     """word (hash; the end symbol is 0), n, spelling over a column `text`."""
 
@@ -96,7 +104,7 @@ def word_counts(texts_only: DataFrame) -> DataFrame:
                 words, at, n = np.unique(hashes, return_index=True, return_counts=True)
                 waiting["word"].append(np.append(words, _END_WORD))
                 waiting["n"].append(np.append(n, texts.n))
-                waiting["spelling"].append(pa.array([*_strings(texts, starts[at], ends[at]), None], pa.string()))
+                waiting["spelling"] += [_spelled(texts, starts[at], ends[at]), pa.nulls(1, pa.string())]
                 if sum(map(len, waiting["word"])) > 1 << 21:
                     yield from flush()
         if waiting["word"]:
@@ -580,12 +588,20 @@ def interpolated(attention: np.ndarray, word: np.ndarray, first: np.ndarray, sha
         larger = np.maximum(attention, by_count)
         least = np.power(10.0, np.minimum(attention, by_count) - larger)  # the other one, as a part of the larger
         ahead = attention >= by_count
+        parts = np.where(ahead, 1.0, least), np.where(ahead, least, 1.0)  # of the model and of the frequencies
         texts = np.full(len(first) - 1, -np.inf)
+        largest = np.concatenate([[0.0], np.cumsum(larger)])
         for share in shares:
-            mixed = np.where(ahead, share, 1 - share) + np.where(ahead, 1 - share, share) * least
-            tokens = attention if share == 1 else larger + np.log10(mixed)
-            sums = np.concatenate([[0.0], np.cumsum(tokens)])[first]
-            texts = np.logaddexp(texts, np.diff(sums) * np.log(10))
+            if share == 1:
+                sums = np.diff(np.concatenate([[0.0], np.cumsum(attention)])[first])
+            else:
+                # A logarithm for a run of tokens: their product is no less than 1e-300.
+                run = max(int(300 / -np.log10(min(share, 1 - share))), 1) if 0 < share < 1 else 1
+                cuts = np.union1d(first, np.arange(0, len(ahead) + 1, run))
+                logs = np.log10(np.multiply.reduceat(share * parts[0] + (1 - share) * parts[1], cuts[:-1])) if len(ahead) else np.zeros(0)
+                logs = np.concatenate([[0.0], np.cumsum(logs)])
+                sums = np.diff(largest[first] + logs[np.searchsorted(cuts, first)])
+            texts = np.logaddexp(texts, sums * np.log(10))
     return (texts - np.log(len(shares))) / np.log(10)
 
 

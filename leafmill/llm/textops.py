@@ -23,8 +23,8 @@ BATCH_ROWS = 1000
 DELIMITER = np.zeros(256, bool)
 DELIMITER[[0x20, *range(0x09, 0x0E)]] = True
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Keeps the first 0 to 8 bytes of a little-endian number.
 _FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 _ODD = np.random.default_rng(20240607).integers(1, 1 << 62, 3, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -62,7 +62,7 @@ class Texts:
         Eight bytes of all spans at a time are mixed in by a bijection, so two spans of up to eight bytes never share a hash;
         longer than LONG_SPAN, a span's hash is taken from BLAKE2."""
         padded = np.zeros(len(self.data) + 8, np.uint8)
-        padded[:-8] = _LOWER[self.data] if lower else self.data
+        padded[:-8] = LOWER[self.data] if lower else self.data
         eight = np.ndarray(len(self.data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
         size = end - start
         h = mix64(size.astype(np.uint64) * _ODD[0] + _ODD[1])

@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafmill.llm import lm_scoring as lm
 from leafmill.llm.lm_scoring import CONTEXT, Line, all_log_p, first_weights, gradient, op9_lm_scoring, score, target_log_p, unpack
+from leafmill.llm.textops import Texts
 
 from . import awkward
 
@@ -191,3 +193,21 @@ def test_places_of_words_are_those_of_a_binary_search(monkeypatch, n):
     reader = lm.Reader(frequent, np.zeros(1, np.int32), "")
     asked = np.concatenate([words, words - np.uint64(1), words + np.uint64(1), rng.integers(0, 1 << 64, 500, dtype=np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
     assert (reader.find(asked) == np.searchsorted(words, asked)).all()
+
+
+def test_interpolation_of_long_texts_by_runs_of_tokens():
+    rng, shares, other = np.random.default_rng(8), (0.05, 0.6, 1.0), 0.2
+    attention = -rng.random(5000) * 6
+    word = np.where(rng.random(5000) < 0.1, np.nan, -rng.random(5000) * 6)
+    first = np.array([0, 1, 4000, 5000])
+    by_count = np.where(np.isnan(word), np.log10(other) + attention, word)
+    tokens = [np.log(share * 10**attention + (1 - share) * 10**by_count) for share in shares]
+    want = [(np.logaddexp.reduce([x[a:b].sum() for x in tokens]) - np.log(3)) / np.log(10) for a, b in zip(first, first[1:])]
+    assert np.allclose(lm.interpolated(attention, word, first, shares, other), want, rtol=1e-9)
+
+
+def test_spellings_without_python_strings():
+    texts = Texts(pa.array(["ABC d\u00e9F  x", None, "\u00c4 Z"]))
+    starts, ends, _ = texts.words()
+    assert lm._spelled(texts, starts, ends).to_pylist() == lm._strings(texts, starts, ends) == ["abc", "d\u00e9f", "x", "\u00c4", "z"]
+    assert lm._spelled(texts, starts[:0], ends[:0]).to_pylist() == []
